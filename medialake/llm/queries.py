@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding
+from . import decontamination, fingerprints, packing, secret_scans, sharding, token_counts
 from .common import table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=1024)
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digests(secret_scans.secrets(table(spark, sf_dir, "documents")))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), room=1024, end_id=2)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.verdicts(decontamination.contamination(docs, items))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -20,6 +37,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
+        "op5_secret_scans": op5_secret_scans,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_sharding": op9_sharding,
     }
