@@ -50,25 +50,35 @@ def partitions_for(df: DataFrame) -> int:
 
 
 def range_buckets(ids: DataFrame, key: str, rows_per_bucket: int = 20_000) -> list[int]:
-    """Ascending cut points of an integer key, one per rows_per_bucket rows or so; a bounded list on the driver.
+    """Ascending cut points of an integer key, one per rows_per_bucket rows or so, at most 65,535 of them.
 
     The cut points only decide how work is spread; results never depend on them.
     """
-    n = ids.count()
-    k = max(1, min(4096, n // rows_per_bucket))
+    k = max(1, min(1 << 16, ids.count() // rows_per_bucket))
     if k == 1:
         return []
-    cuts = ids.select(F.percentile_approx(key, [i / k for i in range(1, k)], 10_000)).first()[0] or []
+    cuts = ids.select(F.percentile_approx(key, [i / k for i in range(1, k)], max(10_000, 4 * k))).first()[0] or []
     return sorted(set(cuts))
 
 
+def _at_or_below(points: Column, key: Column) -> Column:
+    """How many of the ascending points are at or below the key."""
+    return F.size(F.filter(points, lambda c: c <= key))
+
+
 def bucket_of(key: Column, cuts: list[int]) -> Column:
-    """Number of cut points at or below the key, 0 for null keys: buckets ascend with the key."""
+    """Number of cut points at or below the key, 0 for null keys: buckets ascend with the key.
+
+    Two levels of at most 256 points each are compared, not all points.
+    """
     if not cuts:
         return F.lit(0)
-    points = F.array(*[F.lit(c).cast("long") for c in cuts])
-    place = F.array_position(F.transform(points, lambda c: c > key), True)
-    return F.when(key.isNull(), 0).when(place == 0, len(cuts)).otherwise(place - 1).cast("int")
+    step = max(1, round(len(cuts) ** 0.5), -(-len(cuts) // 256))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    coarse = _at_or_below(longs([p[0] for p in parts]), key)
+    fine = _at_or_below(F.element_at(F.array(*[longs(p) for p in parts]), F.greatest(coarse, F.lit(1))), key)
+    return F.when(key.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine).cast("int")
 
 
 def running(per_bucket: DataFrame, sums: list[str]) -> DataFrame:

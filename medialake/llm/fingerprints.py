@@ -17,6 +17,8 @@ PIECE = 24
 #: The lowest bit of each packed lane: 32 bits apart, so that no text Spark can hold overflows a lane.
 LANES = 0x0000000100000001
 LIMIT32 = 0xFFFFFFFF
+#: Documents in a range bucket, which one task sorts.
+ROWS_PER_BUCKET = 2_000
 
 
 def _pieces(paragraph: Column) -> Column:
@@ -102,12 +104,12 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ignored.
     """
     rows = docs.select(docs[id_column].cast("long").alias("id"), text_of(docs, text_column).alias("text"))
-    cuts = range_buckets(rows, "id")
+    cuts = range_buckets(docs.select(docs[id_column].cast("long").alias("id")), "id", ROWS_PER_BUCKET)
     rows = rows.withColumn("bucket", bucket_of(F.col("id"), cuts)).withColumn("tie", F.xxhash64("text"))
     inside = W.partitionBy("bucket").orderBy(F.asc_nulls_first("id"), "tie")
     placed = rows.withColumns({"place": F.row_number().over(inside), "after": F.lead("text").over(inside)})
-    starts = rows.groupBy("bucket").agg(F.min_by(F.struct("text"), F.struct(F.col("id").isNotNull(), "id", "tie")).alias("start"))
-    # one row per bucket (at most 4096): the first text of the bucket that follows, around the end
+    starts = placed.filter("place = 1").select("bucket", F.struct("text").alias("start"))
+    # one row per bucket: the first text of the bucket that follows, around the end
     ring = W.orderBy("bucket")
     following = starts.select(
         "bucket",

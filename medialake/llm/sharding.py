@@ -37,7 +37,7 @@ def byte_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", te
                 "in_rows": F.row_number().over(inside),
             }
         )
-        # one row per bucket, at most 4096: bounded
+        # one row per bucket, at most 65,536: bounded
         .join(F.broadcast(before), "bucket")
         .join(F.broadcast(whole))
         .withColumn("middle", F.col("before_bytes") + F.col("in_bytes") - F.col("size") / 2)
