@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, packing, secret_scans, sharding, token_counts
+from . import decontamination, fingerprints, packing, secret_scans, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.verdicts(toxicity.scored(docs, toxicity.fit(docs, labels)))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(secret_scans.secrets(table(spark, sf_dir, "documents")))
 
@@ -35,14 +40,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_toxicity": op4_toxicity,
         "op5_secret_scans": op5_secret_scans,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_sharding": op9_sharding,
+        "op10_warc": op10_warc,
     }
 
 
