@@ -67,17 +67,17 @@ def prefix_length(n: int, k: int) -> int:
     return n - -(-PERCENT * n // 100) + k
 
 
-def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool, bool]:
-    """Index keys of a set: (keys, whether frequent shingles are among them, whether these are single ones).
+def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and which of them are strict: these may meet only with keys that aren't.
 
     Rare shingles come first. Of these, the ones in the prefix are keys of their own, if other documents have them. A
     set whose rare ones don't fill the prefix extends it by one: sets that link then share two frequent ones in it, so
     pairs of these are keys. Where that makes too many pairs, single frequent ones of the plain prefix are keys; so
-    that both kinds meet, sets with pairs have the single keys too, for sets with single keys only.
+    that both kinds meet, sets with pairs have the single keys too, strictly for sets that have no pairs.
     """
     n = len(tokens)
     if n < 100 // (100 - PERCENT) - 1:
-        return np.zeros(0, np.uint64), False, False  # nothing but an equal set is near enough
+        return np.zeros(0, np.uint64), np.zeros(0, bool)  # nothing but an equal set is near enough
     slots = tokens >> np.uint64(64 - SLOT_BITS)
     byte, bit = (slots >> np.uint64(3)).astype(np.int64), (slots & np.uint64(7)).astype(np.uint8)
     common = (frequent[byte] >> bit) & 1 == 1
@@ -85,16 +85,20 @@ def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> t
     first = prefix_length(n, 1)
     singles = tokens[~common & ((repeated[byte] >> bit) & 1 == 1)]
     if len(rare) >= first:
-        return mixed(singles[singles <= rare[first - 1]] ^ np.uint64(1)), False, False
+        own = singles[singles <= rare[first - 1]]
+        return mixed(own ^ np.uint64(1)), np.zeros(len(own), bool)
     often = tokens[common]
     extended = often[: prefix_length(n, 2) - len(rare)]
     alone = mixed(often[: first - len(rare)] ^ np.uint64(2))
     parts = [mixed(singles ^ np.uint64(1))]
-    big = len(extended) > PAIRS_OF
-    if not big:
+    pairs = len(extended) <= PAIRS_OF
+    if pairs:
         i, j = np.triu_indices(len(extended), 1)
         parts.append(mixed(mixed(extended[i]) + extended[j] * MIX))
-    return np.concatenate([*parts, alone]), True, big
+    keys = np.concatenate([*parts, alone])
+    strict = np.zeros(len(keys), bool)
+    strict[len(keys) - len(alone) :] = pairs
+    return keys, strict
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -170,16 +174,7 @@ def _postings(docs: DataFrame, repeated: np.ndarray, frequent: np.ndarray) -> Da
                 if name in seen:
                     continue
                 seen.add(name)
-                keys, often, big = keys_of(tokens, *shared.value)
-                if not len(keys):
-                    continue
-                alone = 0
-                if often and not big:  # its single frequent keys, at the end, are for sets without pairs
-                    n_rare = int((~_marked(tokens, shared.value[1])).sum())
-                    alone = min(prefix_length(len(tokens), 1), len(tokens)) - n_rare
-                strict = np.zeros(len(keys), bool)
-                if alone:
-                    strict[-alone:] = True
+                keys, strict = keys_of(tokens, *shared.value)
                 parts.append(pd.DataFrame({"key": keys.view(np.int64), "c1": name[0], "c2": name[1], "n": len(tokens), "strict": strict}))
             if parts:
                 yield pd.concat(parts)
@@ -187,11 +182,6 @@ def _postings(docs: DataFrame, repeated: np.ndarray, frequent: np.ndarray) -> Da
     return docs.mapInPandas(index, "key long, c1 long, c2 long, n long, strict boolean")
 
 
-def _marked(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
-    slots = tokens >> np.uint64(64 - SLOT_BITS)
-    return (table[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _near(pairs: DataFrame) -> DataFrame:
     """Pairs whose sizes allow a link."""
     return pairs.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
@@ -204,7 +194,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     bits = 26
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
-    words = wanted.select(F.shiftrightunsigned(slot, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = wanted.withColumn("place", slot.bitwiseAND(F.lit(63)).cast("int")).select(F.shiftrightunsigned(slot, 6).alias("word"), F.col("place")).withColumn("bit", F.expr("shiftleft(1L, place)"))
     table = np.zeros(1 << (bits - 6), np.int64)
     for row in words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
         table[row.word] = row.bit
@@ -284,7 +274,7 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, tables: tuple[np
             cross = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
             if cross <= CROSS_MOST * size:
                 break
-        order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), F.col("id"), F.col("n"), F.col("strict"))
+        order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("turn"), F.col("id"), F.col("n"), F.col("strict"))
         pivots = here.withColumn("pivot", F.min(order).over(per_key)).filter("pivot.id != id and not (strict and pivot.strict)")
         if labels is not None:
             pivots = pivots.join(labels.select(F.col("id").alias("pivot_id"), F.col("label").alias("pivot_label")), pivots["pivot.id"] == F.col("pivot_id"), "left").filter(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, packing, secret_scans, sharding, token_counts, toxicity, warc
+from . import decontamination, fingerprints, jaccard_join, packing, secret_scans, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.verdicts(toxicity.scored(docs, toxicity.fit(docs, labels)))
@@ -47,6 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_toxicity": op4_toxicity,
         "op5_secret_scans": op5_secret_scans,
         "op6_best_fit_packing": op6_best_fit_packing,
