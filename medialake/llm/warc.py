@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, scratch
+from .common import cut, scratch, stored
 
 #: Fixed values of the format: what a record begins with, and what ends lines, headers and records.
 MAGIC = "WARC/1.1\r\n"
@@ -31,17 +31,26 @@ def write_archives(
 
     Of pages with equal payloads of at least `least` bytes the one with the smallest id is a response and the others
     revisit it; a row that repeats that id is a response too. Null payloads are empty; a null id stays null and is
-    never referred to. Digests meet in an aggregate that Spark combines before the shuffle; texts aren't shuffled with
-    it but once, in the join back, whose skewed partitions Spark splits.
+    never referred to. Only ids and digests are grouped and joined by digest; pages then meet their marks by id, so
+    no group of equal payloads gathers texts in one task.
     """
     payload = F.coalesce(pages[html_column], F.lit(""))
-    rows = pages.select(
-        pages[id_column].alias("id"), F.coalesce(pages[url_column], F.lit("")).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest")
+    keys = stored(
+        pages.select(pages[id_column].alias("id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")), "payload-digests"
     )
-    keys = pages.select(pages[id_column].alias("id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     firsts = keys.filter((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     # only groups of several pages are joined: most pages are alone
-    made = rows.join(firsts.filter("n > 1").drop("n"), "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    marks = (
+        keys.join(firsts.filter("n > 1").drop("n"), "digest")
+        .filter(~F.col("id").eqNullSafe(F.col("first")))
+        .groupBy(F.col("id").alias("marked"))  # one row per id, also where rows with one id differ
+        .agg(F.map_from_entries(F.collect_set(F.struct("digest", "first"))).alias("firsts"))
+    )
+    rows = pages.select(
+        pages[id_column].alias("id"), F.coalesce(pages[url_column], F.lit("")).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest")
+    )
+    made = rows.join(stored(marks, "revisits"), F.col("id").eqNullSafe(F.col("marked")), "left").withColumn("first", F.try_element_at("firsts", F.col("digest")))
+    made = made.withColumn("revisit", F.col("first").isNotNull())
     http = F.concat_ws(LINE, F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length("payload")))
     block = F.concat(http, F.lit(END), F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")))
     made = made.withColumn("block", block)
@@ -95,14 +104,12 @@ def parsed(pieces: DataFrame) -> DataFrame:
     head = F.substring_index("value", END, 1)
     stated = F.regexp_extract(F.concat(F.lit(LINE), F.col("head")), r"\r\nContent-Length: (\d{1,18})(?:\r\n|$)", 1)
     body = F.expr("substr(value, length(head) + 5)")
-    http = F.substring_index("body", END, 1)
     return (
         pieces.withColumn("head", head)
         .withColumn("length", F.when(stated != "", stated.cast("long")))
         .withColumn("body", body)
         .withColumn("payload", F.expr("substr(body, length(substring_index(body, '\\r\\n\\r\\n', 1)) + 5)"))
         .withColumn("payload", F.expr("left(payload, greatest(0, length(payload) - 4))"))
-        .drop("http")
     )
 
 
