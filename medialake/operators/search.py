@@ -20,7 +20,8 @@ def tokens(text: Column) -> Column:
 
 def index(docs: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     """Postings (token, id, field, tf) and each document's length dl: one row per token of a document and field."""
-    listed = F.concat(*[F.transform(tokens(F.col(f)), lambda t, f=f: F.struct(F.lit(f).alias("field"), t.alias("token"))) for f in fields])
+    entry = lambda f: lambda t: F.struct(F.lit(f).alias("field"), t.alias("token"))
+    listed = F.concat(*[F.transform(tokens(F.col(f)), entry(f)) for f in fields])
     rows = docs.select(F.col(id_column).alias("id"), listed.alias("all"), F.size(listed).alias("dl"))
     return rows.select("id", "dl", F.explode("all").alias("e")).groupBy("id", "dl", "e.field", "e.token").agg(F.count(F.lit(1)).alias("tf"))
 
