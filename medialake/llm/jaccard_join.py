@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import cut, stored, text_of
 from .components import components
@@ -18,13 +18,19 @@ PERCENT = 80
 #: Shingles in more documents than this are frequent: they come last in the order of prefixes.
 RARE_MOST = 32
 #: Frequent shingles in an extended prefix up to which all pairs of them are indexed; longer ones index single shingles.
-PAIRS_OF = 24
+PAIRS_OF = 12
+#: Share of a set, in percent, by which prefixes of rare shingles are extended: what they have in common bounds the rest.
+EXTENDED = 10
 #: Bits of the broadcast tables of repeated and of frequent shingles: 8 MB each, whatever the input.
 SLOT_BITS = 26
 #: Shingles counted in one group.
 COUNTED_TOGETHER = 4_000_000
-#: Cross pairs, as a multiple of the postings, from which another round of pivots comes first.
-CROSS_MOST, PIVOT_ROUNDS = 4, 6
+#: Bits of a set's sketch: a set bit says that an odd number of its shingles fell there.
+SKETCH = 1024
+#: Classes under one key from which pivots come first, how many rounds of them, and how many a class meets in each.
+HOT, PIVOT_ROUNDS, PIVOTS = 16, 3, 16
+#: Kinds of keys: a rare shingle; a pair of frequent ones; a single frequent one, of a set that has pairs and of one that hasn't.
+RARE, PAIR, STRICT, OPEN = range(4)
 
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,23 +43,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """The text's set of shingles as ascending 64-bit hashes; a shorter text is one shingle, one without words none.
+def _byte_hashes() -> np.ndarray:
+    """A fixed random number for each byte at each of 64 places of a word."""
+    return np.array([xxhash.xxh3_64_intdigest(bytes((place, b))) for place in range(64) for b in range(256)], np.uint64)
+
+
+BYTES = _byte_hashes()
+SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in a buffer, and where they begin: sums of their bytes' numbers, mixed."""
+    inside = ~SPACE[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(starts, lengths)
+    numbers = BYTES[((place & 63) << 8) + raw[at]]
+    if lengths.max() > 64:
+        numbers = numbers * (2 * (place >> 6) + 1).astype(np.uint64)
+    return mixed(np.add.reduceat(numbers, np.cumsum(lengths) - lengths) ^ lengths.astype(np.uint64)), starts
+
+
+def shingle_sets(texts: list[str | None], size: int = WORDS) -> list[np.ndarray]:
+    """Each text's set of shingles as ascending 64-bit hashes; a shorter text is one shingle, one without words none.
 
     Two shingles of a pair of texts share a hash with a chance of about n * m / 2^64, which is neglected.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known: dict[bytes, int] = {}
-    for w in set(words):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    take = min(size, len(words))
-    out = np.full(len(words) - take + 1, take, np.uint64)
-    for i in range(take):
-        out = mixed(out * MIX + hashes[i : i + len(out)])
-    return np.unique(out)
+    raws = [(t or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER) for t in texts]
+    hashes, starts = _word_hashes(np.frombuffer(b"\n".join(raws), np.uint8))
+    begins = np.cumsum([0] + [len(r) + 1 for r in raws])
+    first = np.searchsorted(starts, begins)
+    rolled = hashes[: max(0, len(hashes) - size + 1)] + np.uint64(size)
+    for i in range(1, size):
+        rolled = rolled * MIX + hashes[i : i + len(rolled)]
+    rolled = mixed(rolled)
+    out = []
+    for a, b in zip(first, first[1:]):
+        if b - a >= size:
+            out.append(np.unique(rolled[a : b - size + 1]))
+            continue
+        short = hashes[a : min(a + 1, b)] + np.uint64(b - a)
+        for i in range(a + 1, b):
+            short = short * MIX + hashes[i]
+        out.append(mixed(short))
+    return out
+
+
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    return shingle_sets([text], size)[0]
+
+
+def chunks(batch: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Slices of a batch with about a megabyte of text each: what one task works on at once."""
+    ends = np.cumsum([len(t) for t in batch["text"]]) // most
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.iloc[a:b]
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """SKETCH bits: two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -67,49 +122,40 @@ def prefix_length(n: int, k: int) -> int:
     return n - -(-PERCENT * n // 100) + k
 
 
-def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and which of them are strict: these may meet only with keys that aren't.
+def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Index keys of a set, their kinds, how many of its shingles are frequent, and how many follow its prefix.
 
-    Rare shingles come first. Of these, the ones in the prefix are keys of their own, if other documents have them. A
-    set whose rare ones don't fill the prefix extends it by one: sets that link then share two frequent ones in it, so
-    pairs of these are keys. Where that makes too many pairs, single frequent ones of the plain prefix are keys; so
-    that both kinds meet, sets with pairs have the single keys too, strictly for sets that have no pairs.
+    Rare shingles come first. Those in the extended prefix are keys, if other documents have them; a set whose rare
+    ones don't fill it has all rare ones as keys, and -1 is given for what follows. Where rare ones don't fill even the plain prefix, sets that link and share no rare one share
+    two frequent ones in the prefix extended by one: pairs of these are keys. Where that makes too many pairs, single
+    frequent ones of the plain prefix are keys; so that both sorts meet, sets with pairs have these too, as strict keys
+    that meet open ones only.
     """
     n = len(tokens)
     if n < 100 // (100 - PERCENT) - 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)  # nothing but an equal set is near enough
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), 0, -1  # nothing but an equal set is near enough
     slots = tokens >> np.uint64(64 - SLOT_BITS)
     byte, bit = (slots >> np.uint64(3)).astype(np.int64), (slots & np.uint64(7)).astype(np.uint8)
     common = (frequent[byte] >> bit) & 1 == 1
-    rare = tokens[~common]
-    first = prefix_length(n, 1)
+    rare, often = tokens[~common], tokens[common]
     singles = tokens[~common & ((repeated[byte] >> bit) & 1 == 1)]
-    if len(rare) >= first:
-        own = singles[singles <= rare[first - 1]]
-        return mixed(own ^ np.uint64(1)), np.zeros(len(own), bool)
-    often = tokens[common]
-    extended = often[: prefix_length(n, 2) - len(rare)]
-    alone = mixed(often[: first - len(rare)] ^ np.uint64(2))
+    length = prefix_length(n, max(1, EXTENDED * n // 100))
+    rich = len(rare) >= length
+    if rich:
+        singles = singles[singles <= rare[length - 1]]
     parts = [mixed(singles ^ np.uint64(1))]
-    pairs = len(extended) <= PAIRS_OF
-    if pairs:
-        i, j = np.triu_indices(len(extended), 1)
-        parts.append(mixed(mixed(extended[i]) + extended[j] * MIX))
-    keys = np.concatenate([*parts, alone])
-    strict = np.zeros(len(keys), bool)
-    strict[len(keys) - len(alone) :] = pairs
-    return keys, strict
-
-
-def _classes(docs: DataFrame) -> DataFrame:
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            names = [set_hash(s) for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "c1": [a for a, _ in names], "c2": [b for _, b in names]})
-
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "c1", "c2")]])
-    return stored(docs.mapInPandas(name, schema), "classes")
+    kinds = [np.full(len(singles), RARE, np.int8)]
+    first = prefix_length(n, 1)
+    if len(rare) < first:
+        extended, alone = often[: prefix_length(n, 2) - len(rare)], often[: first - len(rare)]
+        pairs = len(extended) <= PAIRS_OF
+        if pairs:
+            i, j = np.triu_indices(len(extended), 1)
+            parts.append(mixed(mixed(extended[i]) + extended[j] * MIX))
+            kinds.append(np.full(len(i), PAIR, np.int8))
+        parts.append(mixed(alone ^ np.uint64(2)))
+        kinds.append(np.full(len(alone), STRICT if pairs else OPEN, np.int8))
+    return np.concatenate(parts), np.concatenate(kinds), len(often), n - length if rich else -1
 
 
 def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +168,12 @@ def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     shard_bits = min(SLOT_BITS - 3, max(2, (total // COUNTED_TOGETHER).bit_length()))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [s for t in batch["text"] if len(s := shingles(t))]
-            if not sets:
+        for part in (p for batch in batches for p in chunks(batch, 8 << 20)):
+            sets = [s for p in chunks(part) for s in shingle_sets(list(p["text"]))]
+            every = np.concatenate(sets)
+            if not len(every):
                 continue
-            short, times = np.unique(np.concatenate(sets) >> np.uint64(32 - shard_bits), return_counts=True)
+            short, times = np.unique(every >> np.uint64(32 - shard_bits), return_counts=True)
             shard, rest = (short >> np.uint64(32)).astype(np.int64), short.astype(np.uint32)
             edges = np.flatnonzero(np.diff(shard)) + 1
             rows = []
@@ -161,36 +208,53 @@ def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return repeated, frequent
 
 
-def _postings(docs: DataFrame, repeated: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """Rows (key, c1, c2, n, strict): strict ones may meet only with rows of the key that aren't."""
-    shared = docs.sparkSession.sparkContext.broadcast((repeated, frequent))
+def _indexed(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """In one pass a row (id, n, c1, c2) for each document, and rows with a key too for its class."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen, parts = set(), []
-            for text in batch["text"]:
-                tokens = shingles(text)
-                name = set_hash(tokens)
-                if name in seen:
-                    continue
-                seen.add(name)
-                keys, strict = keys_of(tokens, *shared.value)
-                parts.append(pd.DataFrame({"key": keys.view(np.int64), "c1": name[0], "c2": name[1], "n": len(tokens), "strict": strict}))
-            if parts:
-                yield pd.concat(parts)
-
-    return docs.mapInPandas(index, "key long, c1 long, c2 long, n long, strict boolean")
-
-
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    return pairs.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+        for batch in (p for b in batches for p in chunks(b)):
+            sets = shingle_sets(list(batch["text"]))
+            names = [set_hash(s) for s in sets]
+            sizes = [len(s) for s in sets]
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "n": sizes, "c1": [a for a, _ in names], "c2": [b for _, b in names]}).reindex(columns=schema.names)
+            seen, keys, heads = set(), [], []
+            for tokens, name in zip(sets, names):
+                if name not in seen:
+                    seen.add(name)
+                    own, kinds, often, rest = keys_of(tokens, *shared.value)
+                    if len(own):
+                        keys.append((own, kinds))
+                        heads.append((len(own), len(tokens), *name, often, rest))
+            if heads:
+                times, n, c1, c2, often, rest = (np.array(x, np.int64) for x in zip(*heads))
+                per_key = {c: np.repeat(v, times) for c, v in (("n", n), ("c1", c1), ("c2", c2), ("often", often), ("rest", rest))}
+                per_key |= {"key": np.concatenate([k for k, _ in keys]).view(np.int64), "kind": np.concatenate([k for _, k in keys])}
+                yield pd.DataFrame(per_key).reindex(columns=schema.names)
+
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "c1", "c2", "key")], T.StructField("kind", T.ByteType()), T.StructField("often", T.LongType()), T.StructField("rest", T.LongType())])
+    return stored(docs.mapInPandas(index, schema), "index")
+
+
+def _may_link(one: str, other: str) -> Column:
+    """Whether two postings of one key can be of sets that link, by their sizes and kinds.
+
+    Where a pair meets only in frequent shingles it has no others in common: then the smaller number of frequent ones
+    bounds what is common.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    sizes = 100 * F.least(c(one, "n"), c(other, "n")) >= PERCENT * F.greatest(c(one, "n"), c(other, "n"))
+    common = F.least(c(one, "often"), c(other, "often"))
+    bound = 100 * common >= PERCENT * (c(one, "n") + c(other, "n") - common)
+    strict = (c(one, "kind") == STRICT) & (c(other, "kind") == STRICT)
+    return sizes & ((c(one, "kind") == RARE) | (bound & ~strict))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the wanted ids (one row each), without shuffling the other texts.
+    """Shingle sets of the wanted ids, made where the texts lie, without a shuffle.
 
-    A bit table of the wanted ids' hashes, 8 MB whatever the input, keeps most other rows from leaving their task.
+    A bit table of the wanted ids' hashes, 8 MB whatever the input, keeps other rows from being worked on; few others
+    of equal hash bits get in, and do no harm.
     """
     bits = 26
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
@@ -204,32 +268,47 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch["slot"].to_numpy()
             batch = batch[(shared.value[at >> 6] >> (at & 63)) & 1 == 1]
-            yield pd.DataFrame({"id": batch["id"], "tokens": [shingles(t).view(np.int64) for t in batch["text"]]})
+            for part in chunks(batch):
+                sets = shingle_sets(list(part["text"]))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "tokens")]])
     made = docs.withColumn("slot", slot).mapInPandas(make, schema)
-    return stored(made.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    return stored(made, "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(pairs: DataFrame, sets: DataFrame, each: int | None = None) -> DataFrame:
+    """The pairs (a, b) that link; with `each` only that many for each a are tried, those that look nearest.
+
+    Sketches come first, a few per cent of the sets' bytes: they bound what a pair has in common from above, so only
+    pairs that may link meet their whole sets.
+    """
+    small = sets.select("id", "n", "sketch")
+    one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    other = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("na") + F.col("nb")
+    # both = (total - apart) / 2 at most; a link has (100 + PERCENT) * both >= PERCENT * total
+    likely = pairs.join(one, "a").join(other, "b").withColumn("apart", apart).filter((100 + PERCENT) * (total - F.col("apart")) >= 2 * PERCENT * total)
+    if each:
+        likely = likely.withColumn("turn", F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))).filter(F.col("turn") <= each)
+    likely = cut(likely.select("a", "b"))
     one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     other = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    found = pairs.join(one, "a").join(other, "b").withColumn("both", both)
+    found = likely.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
     return cut(found.filter(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b"))
 
 
 def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Components of the documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-    1. Equal sets are one class from here on, so copies never meet as pairs.
-    2. All shingles are counted; two bit tables of fixed size tell repeated and frequent ones.
-    3. Each class gives the index keys of keys_of(): rare shingles of its prefix, pairs of frequent ones.
-    4. Classes that share a key are candidates. Rounds compare each class with one pivot of each of its keys, and what
-       links becomes one component; then only classes of different components under a key are compared, all of them.
-       So a group of near copies costs about its size, and no link between different components is missed.
-    5. Candidates are verified exactly on their whole sets.
+    1. All shingles are counted; two bit tables of fixed size tell repeated and frequent ones.
+    2. Each text gives the index keys of keys_of(). Equal sets are one class from here on: copies never meet as pairs.
+    3. Classes that share keys are candidates, if what they share in their prefixes and all that follows could make a
+       link. Under hot keys classes first meet a few pivots a round, and what links becomes one component;
+       then classes of different components meet, all of them. So a group of near copies costs about its size, and no
+       link between components is missed.
+    4. Candidates are verified exactly on their whole sets.
 
     Texts leave their tasks as index keys, and as sets where a candidate needs them. Null and empty texts have empty
     sets and are alone. Rows with equal ids and equal texts stay apart in the result; ids should not be null and be
@@ -237,68 +316,86 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     Returns id, n_shingles, component_id (the smallest id reachable by links).
     """
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
-    members = _classes(rows)
+    length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    index = _indexed(rows, _tables(rows, length // 6))  # about six bytes a word
+    members = index.filter("key is null").select("id", "n", "c1", "c2")
     classes = stored(members.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "class-reps")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    by_class = classes.select("c1", "c2", F.col("rep").alias("component"), "n")
-    if total:
-        found = _components_of_classes(rows, classes, _tables(rows, total))
-        by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("component"), "n")
-    return members.drop("n").join(by_class, ["c1", "c2"]).select(
+    found = _components_of_classes(rows, classes, index.filter("key is not null"))
+    by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("component"))
+    return members.join(by_class, ["c1", "c2"]).select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
-def _components_of_classes(rows: DataFrame, classes: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
     """Labels (id, label) of the classes, by their smallest ids, that link with others."""
     per_key = W.partitionBy("key")
     met = (
-        _postings(rows, *tables)
-        .repartition("key")
+        postings.repartition("key")
         .groupBy("key", "c1", "c2")
-        .agg(F.first("n").alias("n"), F.min("strict").alias("strict"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "kind", "often", "rest")])
         .withColumn("met", F.count(F.lit(1)).over(per_key))
         .filter("met > 1")
-        .drop("met")
     )
-    posted = stored(met.join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2"]).select("key", "id", "n", "strict"), "postings")
-    sets = _sets(rows, posted.select("id").distinct())
-    size = posted.count()
-    edges = labels = None
+    posted = met.join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2"]).select("key", "id", "n", "kind", "often", "rest", "met")
+    posted = stored(posted, "postings")
+    hot = posted.filter(F.col("met") > HOT)
+    edges = cut(posted.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
+    labels = components(edges)
+    sets = pool = None
     for turn in range(PIVOT_ROUNDS):
-        here = posted if labels is None else _crossing(posted, labels)
-        if labels is not None:
-            counts = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            cross = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-            if cross <= CROSS_MOST * size:
-                break
-        order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("turn"), F.col("id"), F.col("n"), F.col("strict"))
-        pivots = here.withColumn("pivot", F.min(order).over(per_key)).filter("pivot.id != id and not (strict and pivot.strict)")
-        if labels is not None:
-            pivots = pivots.join(labels.select(F.col("id").alias("pivot_id"), F.col("label").alias("pivot_label")), pivots["pivot.id"] == F.col("pivot_id"), "left").filter(
-                F.col("label") != F.coalesce("pivot_label", "pivot_id", F.col("pivot.id"))
-            )
-        pairs = pivots.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.col("n").alias("na"), F.col("pivot.n").alias("nb"))
-        new = _verified(_near(pairs).select("a", "b").distinct(), sets)
-        edges = new if edges is None else edges.union(new)
+        # a key's pivot is of its largest component, by chance one or another of it
+        entry = F.struct((-F.col("size")).alias("order"), F.xxhash64("id", "key", F.lit(turn)).alias("turn"), "id", "n", "kind", "often", "label")
+        if not turn:
+            entry = F.struct(F.col("id").alias("order"), F.col("id").alias("turn"), "id", "n", "kind", "often", "label")
+        here = _crossing(hot, labels)
+        pivots = here.withColumn("pivot", F.min(entry).over(per_key)).filter("pivot.label != label").select(F.struct("id", "n", "kind", "often").alias("one"), F.col("pivot").alias("other"))
+        pairs = pivots.filter(_may_link("one", "other")).groupBy(F.col("one.id").alias("a"), F.col("other.id").alias("b")).count()
+        first = F.row_number().over(W.partitionBy("a").orderBy(F.desc("count"), "b"))
+        if not turn:  # classes that could link with a pivot are the ones that later rounds look at
+            pairs = cut(pairs)
+            pool = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            hot = hot.join(pool, "id", "left_semi")
+        best = cut(pairs.withColumn("turn", first).filter(F.col("turn") <= (PIVOTS if turn else 2)).select("a", "b"))
+        if best.isEmpty():
+            break
+        if sets is None:
+            sets = _sets(rows, pool)
+        edges = cut(edges.union(_verified(best, sets, each=2)))
         labels = components(edges)
-    here = _crossing(posted, labels)
-    one = here.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("strict").alias("sa"), F.col("label").alias("la"))
-    other = here.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("strict").alias("sb"), F.col("label").alias("lb"))
-    rest = _near(one.join(other, "key").filter("la != lb and a < b and not (sa and sb)")).select("a", "b").distinct()
-    return components(edges.union(_verified(rest, sets)))
+    here = posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    one, other = here.alias("one"), here.alias("other")
+    met_again = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.id") < F.col("other.id")) & (F.col("one.label") != F.col("other.label")) & _may_link("one", "other"))
+    follow = F.greatest("one.rest", "other.rest")  # shared shingles past the earlier end of two prefixes; of one prefix where the other holds all rare ones
+    follow = F.when(follow >= 0, follow).otherwise(F.least("one.often", "other.often"))
+    rest = (
+        met_again.select(F.col("one.id").alias("a"), F.col("other.id").alias("b"), (F.col("one.kind") == RARE).alias("rare"), follow.alias("follow"), (F.col("one.n") + F.col("other.n")).alias("sum"))
+        .groupBy("a", "b")
+        .agg(F.count_if("rare").alias("rare"), F.first("follow").alias("follow"), F.first("sum").alias("sum"))
+        .filter((100 + PERCENT) * (F.col("rare") + F.col("follow")) >= PERCENT * F.col("sum"))
+        .select("a", "b")
+    )
+    rest = stored(rest, "candidates")
+    last = _sets(rows, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
+    return components(edges.union(_verified(rest, last)))
 
 
 def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of the keys that more than one component has, with their labels."""
+    """Postings of the keys that more than one component has, with their labels and these components' sizes."""
     per_key = W.partitionBy("key")
-    labelled = posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
+    labelled = posted.join(sized, "id", "left").withColumns({"label": F.coalesce("label", "id"), "size": F.coalesce("size", F.lit(1))})
     return labelled.withColumns({"low": F.min("label").over(per_key), "high": F.max("label").over(per_key)}).filter("low != high").drop("low", "high")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one document, the smallest id, of each component. All columns stay; repeated rows of that id stay one."""
-    kept = linked(docs, id_column, text_column).filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_column])
+    """docs with one document, the smallest id, of each component, and one of its rows where they repeat.
+
+    All columns stay. Rows without an id are kept as they are. Kept rows are found and made distinct in one shuffle.
+    """
+    whole = docs.filter(docs[id_column].isNotNull())
+    kept = linked(whole, id_column, text_column).filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("kept_id"))
+    chosen = whole.join(stored(kept, "kept"), whole[id_column] == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
+    return chosen.unionByName(docs.filter(docs[id_column].isNull()))
