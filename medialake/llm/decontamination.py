@@ -70,6 +70,28 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int) ->
     yield block
 
 
+def hits(w: list[bytes], auto) -> tuple[np.ndarray, list[int]] | None:
+    """Which words lie in windows that occur, and the indices of the items these come from; None if none does."""
+    if auto is None or not w:
+        return None
+    found = list(auto.iter(f" {b' '.join(w).decode('latin-1')} "))
+    if not found:
+        return None
+    starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in w])))  # of each word's leading space
+    marks, who = np.zeros(len(w) + 1, np.int64), set()
+    for end, (n, owners) in found:
+        last = int(np.searchsorted(starts, end))  # the space after the window's last word
+        marks[last - n] += 1
+        marks[last] -= 1
+        who.update(owners)
+    return np.cumsum(marks[:-1]) > 0, sorted(who)
+
+
+def contaminated(n_hit: int, n_words: int) -> bool:
+    """Whether a twentieth of the words or more is hit."""
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[str, str]], keep_hits: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((items, automaton(items)))
 
@@ -79,30 +101,18 @@ def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[s
             out = []
             for text in batch["text"]:
                 w = words(text)
-                if auto is None or not w:
-                    out.append((len(w), 0, [], []))
-                    continue
-                line = f" {b' '.join(w).decode('latin-1')} "
-                found = list(auto.iter(line))
-                if not found:
+                got = hits(w, auto)
+                if got is None:
                     out.append((len(w), 0, [], []))
                     continue
-                starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in w])))  # of each word's leading space
-                marks, who = np.zeros(len(w) + 1, np.int64), set()
-                for end, (n, owners) in found:
-                    last = int(np.searchsorted(starts, end))  # the space after the window's last word
-                    marks[last - n] += 1
-                    marks[last] -= 1
-                    who.update(owners)
-                hit = np.cumsum(marks[:-1]) > 0
-                runs = []
+                hit, who = got
                 if keep_hits:
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                     at = spans(text)
                     runs = [[at[a][0], at[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])]
                 else:
                     runs = [[int(i)] for i in np.flatnonzero(hit)]
-                out.append((len(w), int(hit.sum()), runs, [listed[i][0] for i in sorted(who)]))
+                out.append((len(w), int(hit.sum()), runs, [listed[i][0] for i in who]))
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
@@ -170,3 +180,26 @@ def verdicts(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, all columns as they are; null texts are kept.
+
+    With one block of items rows are judged where they lie; with more, the ids of contaminated rows are joined away.
+    """
+    parts = list(blocks(benchmark, "item_id", "text", block_bytes))
+    if len(parts) > 1:
+        bad = verdicts(contamination(docs, benchmark, id_column, text_column, block_bytes=block_bytes), id_column).filter("contaminated").select(F.col(id_column).alias("bad_id"))
+        return docs.join(bad, docs[id_column].eqNullSafe(F.col("bad_id")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(automaton(parts[0]))
+
+    @F.pandas_udf("boolean")
+    def bad(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            w = words(text or "")
+            got = hits(w, shared.value)
+            out.append(got is not None and contaminated(int(got[0].sum()), len(w)))
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(~bad(docs[text_column]))

@@ -265,3 +265,15 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 def verdicts(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The digest of scored()."""
     return found.select(id_column, (~in_training(F.col(id_column))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are; null texts score as empty ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        one = shared.value
+        return pd.Series([one.probability(one.evidence(*one.passages(t or ""))) for t in texts], dtype=float)
+
+    return docs.filter(score(docs[text_column]) < threshold)
