@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from .names import scene_title
 
@@ -85,3 +89,42 @@ def is_heuristic(name: Column, version: Column, gave_up: bool = False) -> Column
     """Not a real model's annotation, in SQL's three values: a null version excludes the row, as the catalogue's own filter does."""
     marks = name.isNull() | (name == "") | name.ilike("%heuristic%") | name.ilike("%quality-gate%") | name.ilike("%vlm-failed%") | version.ilike("%vlm-failed%")
     return marks | version.ilike("%vlm-gave-up%") if gave_up else marks & ~version.ilike("%vlm-gave-up%")
+
+
+def repaired(text: str | None) -> str | None:
+    """The JSON object in a model's answer, as JSON again: fences and talk around it gone, trailing commas too, and
+    what a cut-off left open closed in the order it was opened; null where there is no object."""
+    start = (text or "").find("{")
+    if start < 0:
+        return None
+    end = text.rfind("}")
+    whole, rest = text[start : end + 1] if end > start else "", re.sub(r"\s*```\s*$", "", text[start:])
+    for candidate in (whole, _closed(whole), _closed(rest)):
+        for attempt in (candidate, re.sub(r",\s*([}\]])", r"\1", candidate)):
+            try:
+                found = json.loads(attempt)
+            except json.JSONDecodeError:
+                continue
+            if isinstance(found, dict):
+                return json.dumps(found, ensure_ascii=False)
+    return None
+
+
+def _closed(text: str) -> str:
+    """The text with an open string and open brackets closed."""
+    stack, quoted, skip = [], False, False
+    for ch in text:
+        if skip or (quoted and ch == "\\"):
+            skip = not skip
+        elif ch == '"':
+            quoted = not quoted
+        elif not quoted and ch in "{[":
+            stack.append("}" if ch == "{" else "]")
+        elif not quoted and stack and ch == stack[-1]:
+            stack.pop()
+    return re.sub(r"[,:]\s*$", "", (text + '"' if quoted else text).rstrip()) + "".join(reversed(stack))
+
+
+@F.pandas_udf(T.StringType())
+def repaired_json(texts: pd.Series) -> pd.Series:
+    return pd.Series([repaired(t) for t in texts], dtype=object)

@@ -95,3 +95,22 @@ def search_or_name(docs: DataFrame, query: str, id_column: str, fields: list[str
     named = docs.filter(F.col(name).ilike(f"%{query}%")).select(F.col(id_column).alias("id"))
     any_hit = hits.limit(1).select(F.lit(1).alias("one"))
     return hits.unionByName(named.join(F.broadcast(any_hit), F.lit(True), "left_anti")) if query.strip() else hits
+
+
+def nearest(vectors: DataFrame, query: list[float], limit: int = 200) -> DataFrame:
+    """Ids (id, score) of the vectors nearest to a query by cosine."""
+    from ..functions.vectors import cosine
+
+    point = F.array(*[F.lit(float(x)) for x in query])
+    return vectors.select("id", cosine(F.col("embedding"), point).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def fused(rankings: list[DataFrame], limit: int = 50, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of short rankings (id, score): each adds 1 / (k + rank)."""
+    from pyspark.sql import Window as W
+
+    parts = None
+    for ranking in rankings:  # each holds at most its own limit of rows
+        one = ranking.select("id", (1.0 / (k + F.row_number().over(W.orderBy(F.desc("score"), "id")))).alias("part"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(limit)

@@ -53,6 +53,12 @@ def _review(s, d):
     return queue.join(m, queue["media_id"] == m["id"], "left").select("media_id", "priority", "filename")
 
 
+def _hybrid(s, d):
+    v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    words = S.search(s.read.parquet(f"{d}/documents.parquet"), "this", "doc_id", ["text"], 50)
+    return S.fused([words, S.nearest(v, [1.0] + [0.0] * 63, 50)], 30).select("id", F.round("score", 6).alias("score"))
+
+
 def _first_of_each(s, d):
     order = W.partitionBy("sha256").orderBy("id")
     return media(s, d).withColumn("turn", F.row_number().over(order)).filter("turn = 1").select("id", "sha256")
@@ -147,6 +153,7 @@ QUERIES = {
     "ft3_bm25": (
         lambda s, d: S.search(s.read.parquet(f"{d}/documents.parquet"), "this and", "doc_id", ["text"]).withColumn("score", F.round("score", 6)), BM25,
     ),
+    "ft6_hybrid": (_hybrid, None),
     "ft5_name_fallback": (
         lambda s, d: S.search_or_name(media(s, d), "IMG 7 e", "id", ["camera_model"], "filename"), f"{CTE} select id from media where filename ilike '%IMG 7 e%'",
     ),

@@ -91,7 +91,26 @@ def _embedded(s, d):
     return m.select("id", P.hash_embedding(F.col("sha256"), F.col("width"), F.col("height"), F.col("media_type")).alias("v")).select("id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
+def _repaired(s, d):
+    """Answers made of documents: fenced, with a trailing comma, or cut off inside a string."""
+    m = media(s, d).withColumn("name", F.concat(F.lit("IMG "), F.col("id")))
+    answer = F.when(F.col("id") % 3 == 0, F.concat(F.lit('```json\n{"n": "'), "name", F.lit('", "t": ["a", "b",]}\n```'))).when(F.col("id") % 3 == 1, F.concat(F.lit('Sure: {"t": ["a"], "n": "'), "name"))
+    return m.select("id", F.get_json_object(A.repaired_json(answer), "$.n").alias("name"))
+
+
+def _turned(s, d):
+    """Pictures made of ids: bands of light, some lying on their side."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: (F.when(F.col("id") % 2 == 0, i).otherwise(j) * 10.0)))
+    return media(s, d).select("id", P.upright_degrees(rows).alias("turn"), P.blur_score(rows).alias("blur"))
+
+
 QUERIES = {
+    "sf31_json_repair": (_repaired, f"{CTE} select id, case when id % 3 <> 2 then 'IMG ' || id end as name from media"),
+    "sf26_upright": (_turned, None),
+    "sf25_orientation": (
+        lambda s, d: media(s, d).select("id", P.degrees((F.col("id") % 10).cast("int")).alias("degrees")),
+        f"{CTE} select id, cast(case id % 10 when 3 then 180 when 4 then 180 when 5 then 270 when 6 then 90 when 7 then 90 when 8 then 270 else 0 end as int) as degrees from media",
+    ),
     "sc5_media_type": (
         lambda s, d: media(s, d).select("id", N.media_type(N.suffix(F.col("original_path"))).alias("kind")),
         f"{CTE} select id, case when {EXT} in ({', '.join(repr(e) for e in N.IMAGES)}) then 'image' when {EXT} in ({VIDEOS}) then 'video' end as kind from media",

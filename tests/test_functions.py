@@ -167,3 +167,25 @@ def test_event_windows_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet(str(tmp_path / "e")).count()
+
+
+def test_repair():
+    import json
+
+    assert json.loads(A.repaired('```json\n{"a": [1, 2,], }\n```')) == {"a": [1, 2]}
+    assert json.loads(A.repaired('So: {"a": {"b": ["x", "y \\" z')) == {"a": {"b": ["x", 'y " z']}}
+    assert A.repaired('{"a": 1, "b":') is None
+    assert A.repaired(None) is None and A.repaired("no") is None and A.repaired("[1]") is None
+
+
+def test_upright():
+    import numpy as np
+
+    sky = np.repeat(np.linspace(255, 0, 64)[:, None], 64, axis=1) + np.random.default_rng(1).normal(0, 1, (64, 64))
+    assert P.upright_turn(sky) == 0 and P.upright_turn(sky, aggressive=True) == 0
+    assert P.upright_turn(np.ones((4, 4))) == 0
+
+
+def test_fusion(spark):
+    one, other = spark.createDataFrame([(1, 9.0), (2, 8.0)], "id long, score double"), spark.createDataFrame([(2, 0.5), (3, 0.4)], "id long, score double")
+    assert [r.id for r in S.fused([one, other]).collect()] == [2, 1, 3]
