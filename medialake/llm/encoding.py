@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import re
+from array import array
+from functools import cache
 
 import numpy as np
 
@@ -30,6 +30,21 @@ def _shown() -> dict[int, str]:
 SHOWN = _shown()
 
 
+class Known(dict):
+    """What a function gives for pre-tokens, kept up to the bounds above."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, piece: str):
+        value = self.find(piece)
+        if len(self) >= CACHED:
+            self.clear()
+        if len(piece) <= LONGEST:
+            self[piece] = value
+        return value
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does with one vocabulary file, without added special tokens.
 
@@ -43,7 +58,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.split, self.odd = re.compile(SPLIT).findall, re.compile(f"[^{PLAIN}]").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(lambda piece: array("I", [t.id for t in self.tokens(piece)]).tobytes())
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -55,13 +70,6 @@ class Encoder:
             return self.model.tokenize(piece.replace(" ", SHOWN[32]))
         return self.model.tokenize(piece.encode().decode("latin-1").translate(SHOWN))
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        new = {p: np.asarray([t.id for t in self.tokens(p)], "<u4").tobytes() for p in pieces}
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-        self.known.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
-        return new
-
     def plainly(self, text: str) -> bool:
         """Whether the text may be split here rather than by the library."""
         return self.odd(text) is None and not any(s in text for s in self.special)
@@ -70,14 +78,7 @@ class Encoder:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if not self.plainly(text):
             return self.whole(text)
-        pieces = self.split(text)
-        try:
-            return b"".join([self.known[p] for p in pieces])
-        except KeyError:
-            wanted = set(pieces)
-            own = {p: self.known[p] for p in wanted if p in self.known}
-            own |= self._learn([p for p in wanted if p not in own])
-            return b"".join([own[p] for p in pieces])
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 @cache

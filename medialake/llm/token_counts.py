@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import text_of
-from .encoding import encoder, vocabulary_path
+from .encoding import Known, encoder, vocabulary_path
 
 #: Slots of the broadcast table, a power of two: 8 + 1 bytes each, so 1.2 MB whatever the input.
 SLOTS = 1 << 17
@@ -49,29 +49,16 @@ class Counter:
         self.coder, (keys, lengths) = encoder(path), table
         self.slots = len(keys)
         self.frequent = {int(k): int(n) for k, n in zip(keys, lengths) if k}
-        self.known: dict[str, int] = {}
+        self.known = Known(self._find)
 
-    def _look_up(self, pieces: set[str]) -> dict[str, int]:
-        found = {}
-        for p in pieces:
-            n = self.frequent.get(slot_hash(p))
-            found[p] = len(self.coder.tokens(p)) if n is None else n
-        return found
+    def _find(self, piece: str) -> int:
+        n = self.frequent.get(slot_hash(piece))
+        return len(self.coder.tokens(piece)) if n is None else n
 
     def count(self, text: str) -> int:
         if not self.coder.plainly(text):
             return len(self.coder.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces, known = self.coder.split(text), self.known
-        try:
-            return sum([known[p] for p in pieces])
-        except KeyError:
-            wanted = set(pieces)
-            own = {p: known[p] for p in wanted if p in known}
-            own |= self._look_up({p for p in wanted if p not in own})
-            if len(known) + len(own) > 300_000:
-                known.clear()
-            known.update((p, n) for p, n in own.items() if len(p) <= 64)
-            return sum([own[p] for p in pieces])
+        return sum(map(self.known.__getitem__, self.coder.split(text)))
 
 
 #: One per worker process and vocabulary, kept from task to task.
