@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, extraction, fingerprints, jaccard_join, packing, secret_scans, sharding, token_counts, toxicity, warc
+from . import decontamination, extraction, fingerprints, jaccard_join, oracles, packing, secret_scans, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
