@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.stem import stem, stems
+
 K1, B = 1.2, 0.75
 #: Letters with marks, and the same without: what folds away before tokens are compared.
 MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -18,10 +20,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def index(docs: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+def index(docs: DataFrame, id_column: str, fields: list[str], stemmed: bool = False) -> DataFrame:
     """Postings (token, id, field, tf) and each document's length dl: one row per token of a document and field."""
     entry = lambda f: lambda t: F.struct(F.lit(f).alias("field"), t.alias("token"))
-    listed = F.concat(*[F.transform(tokens(F.col(f)), entry(f)) for f in fields])
+    listed = F.concat(*[F.transform(stems(tokens(F.col(f))) if stemmed else tokens(F.col(f)), entry(f)) for f in fields])
     rows = docs.select(F.col(id_column).alias("id"), listed.alias("all"), F.size(listed).alias("dl"))
     return rows.select("id", "dl", F.explode("all").alias("e")).groupBy("id", "dl", "e.field", "e.token").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -54,13 +56,17 @@ def parsed(query: str, fields: list[str]) -> list[list[Term]]:
     return [terms for terms in out if terms]
 
 
-def search(docs: DataFrame, query: str, id_column: str, fields: list[str], limit: int = 500) -> DataFrame:
+def search(docs: DataFrame, query: str, id_column: str, fields: list[str], limit: int = 500, stemmed: bool = False) -> DataFrame:
     """The best matches (id, score) by BM25 over all fields alike; a blank query gives none.
 
+    With stemmed, words of texts and query are compared by their stems (prefixes are not).
+
     Only postings of the query's tokens are joined; document numbers and mean length are one-row aggregates.
     """
     alternatives = parsed(query, fields)
-    postings = index(docs, id_column, fields)
+    if stemmed:
+        alternatives = [[t if t.prefix else replace(t, text=stem(t.text)) for t in terms] for terms in alternatives]
+    postings = index(docs, id_column, fields, stemmed)
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(F.concat(*[tokens(F.col(f)) for f in fields]))).alias("mean"))
     found = None
     for terms in alternatives:

@@ -153,6 +153,9 @@ QUERIES = {
     "ft3_bm25": (
         lambda s, d: S.search(s.read.parquet(f"{d}/documents.parquet"), "this and", "doc_id", ["text"]).withColumn("score", F.round("score", 6)), BM25,
     ),
+    "ft2_stemmed_search": (
+        lambda s, d: S.search(s.read.parquet(f"{d}/documents.parquet"), "thing", "doc_id", ["text"], stemmed=True).select("id", F.round("score", 6).alias("score")), None,
+    ),
     "ft6_hybrid": (_hybrid, None),
     "ft5_name_fallback": (
         lambda s, d: S.search_or_name(media(s, d), "IMG 7 e", "id", ["camera_model"], "filename"), f"{CTE} select id from media where filename ilike '%IMG 7 e%'",

@@ -189,3 +189,16 @@ def test_upright():
 def test_fusion(spark):
     one, other = spark.createDataFrame([(1, 9.0), (2, 8.0)], "id long, score double"), spark.createDataFrame([(2, 0.5), (3, 0.4)], "id long, score double")
     assert [r.id for r in S.fused([one, other]).collect()] == [2, 1, 3]
+
+
+def test_stems(spark):
+    from medialake.functions.stem import stem
+
+    known = {
+        "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+        "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam",
+        "triplicate": "triplic", "hopefulness": "hope", "revival": "reviv", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll",
+    }
+    assert {w: stem(w) for w in known} == known
+    docs = spark.createDataFrame([(1, "Running boats"), (2, "a boat ran")], "id long, t string")
+    assert [r.id for r in S.search(docs, "boats run", "id", ["t"], stemmed=True).collect()] == [1]
