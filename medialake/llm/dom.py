@@ -42,13 +42,13 @@ WORDS = {
 GROUP_OF = {w: i for i, ws in enumerate(WORDS.values()) for w in ws.split()}
 TOKEN = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-STOPS = re.compile(r"[.!?,;:]")
+STOPS = ".!?,;:"
 
 
 class Node:
     """A block: its tag, attribute word groups, parent's index, and the runs of text in it that no inner block holds."""
 
-    __slots__ = ("tag", "groups", "parent", "children", "text", "links", "tags", "silent")
+    __slots__ = ("tag", "groups", "parent", "children", "text", "links", "tags")
 
     def __init__(self, tag: str, groups: frozenset[int], parent: int):
         self.tag, self.groups, self.parent = tag, groups, parent
@@ -166,72 +166,76 @@ NAMES = [
     *[f"below_{g}" for g in WORDS], "in_article", "in_nav", "in_header", "in_footer", "in_aside", "in_form", "in_list", "has_article", "has_h1",
 ]
 ABOVE = [{"article", "main"}, {"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form"}, {"ul", "ol", "dl", "li"}]
+IS_ABOVE = {t: sum(1 << i for i, ts in enumerate(ABOVE) if t in ts) for t in set().union(*ABOVE)}
 TAG_GROUP = {t: i for i, ts in enumerate(TAGS) for t in ts}
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row per node, columns NAMES. Nodes are in page order, parents before children."""
     n = len(nodes)
-    chars, links, tags, blocks, paras, stops, leaves = (np.zeros(n) for _ in range(7))
-    below = np.zeros((n, N_GROUPS))
-    has = np.zeros((n, 2))
+    parent = [node.parent for node in nodes]
+    chars, links, tags, blocks, paras, stops, leaves, has = ([0] * n for _ in range(8))
+    below = np.zeros((n, N_GROUPS), np.float32)
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         if node.text:
             text = "".join(node.text)
             chars[i] += len(text)
             links[i] += node.links
-            stops[i] += len(STOPS.findall(text))
+            stops[i] += sum(map(text.count, STOPS))
             leaves[i] += 1
         tags[i] += node.tags
-        if node.parent >= 0:
-            p = node.parent
-            for a in (chars, links, stops, leaves):
-                a[p] += a[i]
+        p = node.parent
+        if p >= 0:
+            chars[p] += chars[i]
+            links[p] += links[i]
+            stops[p] += stops[i]
+            leaves[p] += leaves[i]
             tags[p] += tags[i] + 1
             blocks[p] += blocks[i] + 1
             paras[p] += paras[i] + (node.tag == "p")
-            below[p] += below[i]
+            has[p] |= has[i] | (node.tag in ABOVE[0]) | (node.tag == "h1") << 1
             for g in node.groups:
-                below[p, g] += 1
-            has[p] = np.maximum(has[p], np.maximum(has[i], (node.tag in ABOVE[0], node.tag == "h1")))
-    out = np.zeros((n, len(NAMES)), np.float32)
-    depth, start, total = np.zeros(n), np.zeros(n), max(1.0, chars[0])
-    own0 = 19 + len(TAGS)
-    above0, below0 = own0 + N_GROUPS, own0 + 2 * N_GROUPS
-    ctx0 = own0 + 3 * N_GROUPS
+                above = p
+                while above >= 0:
+                    below[above, g] += 1
+                    above = parent[above]
+    depth, start, kids, place, alike, over, within = ([0] * n for _ in range(7))
+    own = [sum(1 << g for g in node.groups) for node in nodes]
+    kids[0] = 1
     for i, node in enumerate(nodes):
-        p = node.parent
-        kids = nodes[p].children if p >= 0 else [0]
-        if p >= 0:
+        if i:
+            p = parent[i]
             depth[i] = depth[p] + 1
-            out[i, above0:below0] = np.maximum(out[p, above0:below0], out[p, own0:above0])
-            out[i, ctx0 : ctx0 + 7] = out[p, ctx0 : ctx0 + 7]
-            for c, names in enumerate(ABOVE):
-                if nodes[p].tag in names:
-                    out[i, ctx0 + c] = 1
-        for g in node.groups:
-            out[i, own0 + g] = 1
-        at, so_far, tags_alike = start[i], start[i], {}
+            over[i] = over[p] | own[p]
+            within[i] = within[p] | IS_ABOVE.get(nodes[p].tag, 0)
+            kids[i] = len(nodes[p].children)
+        so_far, last, same = start[i], max(1, len(node.children) - 1), {}
         for c in node.children:
+            tag = nodes[c].tag
+            same[tag] = same.get(tag, 0) + 1
+        for at, c in enumerate(node.children):
             start[c] = so_far
             so_far += chars[c]
-            tags_alike[nodes[c].tag] = tags_alike.get(nodes[c].tag, 0) + 1
-        for place, c in enumerate(node.children):
-            out[c, 8] = place / max(1, len(node.children) - 1)
-            out[c, 10] = tags_alike[nodes[c].tag] / len(node.children)
-        parent_chars = chars[p] if p >= 0 else chars[i]
-        out[i, :8] = (
-            depth[i], np.log1p(chars[i]), links[i] / max(1.0, chars[i]), 100 * tags[i] / (chars[i] + 100), np.log1p(blocks[i]), paras[i] / (blocks[i] + 1),
-            chars[i] / total, chars[i] / max(1.0, parent_chars),
-        )
-        out[i, 9] = np.log1p(len(kids))
-        out[i, 11:19] = (
-            np.log1p(chars[i] / max(1.0, leaves[i])), 100 * stops[i] / (chars[i] + 20), at / total, np.log1p(leaves[i]), len(kids) == 1,
-            links[p] / max(1.0, chars[p]) if p >= 0 else 0, np.log1p(at), np.log1p(max(0.0, total - at - chars[i])),
-        )
+            place[c] = at / last
+            alike[c] = same[nodes[c].tag] / len(node.children)
+    arrays = (np.array(x, float) for x in (chars, links, tags, blocks, paras, stops, leaves, depth, start, kids, place, alike))
+    chars_, links_, tags_, blocks_, paras_, stops_, leaves_, depth_, start_, kids_, place_, alike_ = arrays
+    up = np.maximum(np.array(parent), 0)
+    total = max(1.0, chars_[0])
+    filled = np.maximum(chars_, 1)
+    in_links = links_ / filled
+    head = np.stack(
+        [
+            depth_, np.log1p(chars_), in_links, 100 * tags_ / (chars_ + 100), np.log1p(blocks_), paras_ / (blocks_ + 1), chars_ / total, chars_ / filled[up], place_,
+            np.log1p(kids_), alike_, np.log1p(chars_ / np.maximum(leaves_, 1)), 100 * stops_ / (chars_ + 20), start_ / total, np.log1p(leaves_), kids_ == 1,
+            np.where(np.array(parent) >= 0, in_links[up], 0), np.log1p(start_), np.log1p(np.maximum(0, total - start_ - chars_)),
+        ],
+        axis=1,
+    )
+    kind = np.zeros((n, len(TAGS)))
+    for i, node in enumerate(nodes):
         if node.tag in TAG_GROUP:
-            out[i, 19 + TAG_GROUP[node.tag]] = 1
-    out[:, below0:ctx0] = np.log1p(below)
-    out[:, ctx0 + 7 : ctx0 + 9] = has
-    return out
+            kind[i, TAG_GROUP[node.tag]] = 1
+    bits = lambda masks, k: (np.array(masks)[:, None] >> np.arange(k)) & 1
+    return np.concatenate([head, kind, bits(own, N_GROUPS), bits(over, N_GROUPS), np.log1p(below), bits(within, len(ABOVE)), bits(has, 2)], axis=1).astype(np.float32)

@@ -18,6 +18,8 @@ from .page_samples import KEEP, page
 #: Made-up pages the model is fitted on; no row of the input is.
 FIT_PAGES = 1_500
 TREES, DEPTH = 12, 5
+#: Pages whose blocks are scored at once.
+TOGETHER = 200
 
 
 class Marked(Page):
@@ -130,17 +132,18 @@ def decoded(nodes: list[Node], keep: np.ndarray, mixed: np.ndarray) -> np.ndarra
     keep, mixed = np.clip(keep, 0.002, 0.998), np.clip(mixed, 0.002, 0.998)
     leaf = np.array([not n.children for n in nodes])
     whole = np.where(leaf, 0.0, np.log(1 - mixed))
-    scores = np.stack([whole + np.log(keep), whole + np.log(1 - keep), np.where(leaf, -np.inf, np.log(mixed))])
+    kept, dropped = (whole + np.log(keep)).tolist(), (whole + np.log(1 - keep)).tolist()
+    free = np.where(leaf, -np.inf, np.log(mixed)).tolist()
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
-        scores[0, p] += scores[0, i]
-        scores[1, p] += scores[1, i]
-        scores[2, p] += scores[:, i].max()
-    label = np.zeros(len(nodes), int)
+        kept[p] += kept[i]
+        dropped[p] += dropped[i]
+        free[p] += max(kept[i], dropped[i], free[i])
+    label: list[str] = []
     for i, node in enumerate(nodes):
-        above = label[node.parent] if i else 2
-        label[i] = above if above != 2 else int(scores[:, i].argmax())
-    return label == 0
+        above = label[node.parent] if i else "free"
+        label.append(above if above != "free" else "kept" if kept[i] >= max(dropped[i], free[i]) else "dropped" if dropped[i] >= free[i] else "free")
+    return np.array([x == "kept" for x in label])
 
 
 def blocks_of(nodes: list[Node], kept: np.ndarray) -> str:
@@ -159,17 +162,16 @@ def main_text(pages: DataFrame, model: tuple[Boosted, Boosted] | None = None, id
 
     @F.pandas_udf("string")
     def extract(htmls: pd.Series) -> pd.Series:
-        trees = [Page(h).nodes for h in htmls]
-        x = [features(nodes) for nodes in trees]
-        if not x:
-            return pd.Series([], dtype=object)
-        every = np.concatenate(x)
-        keep, mixed = (m.probability(every) for m in shared.value)
-        out, at = [], 0
-        for nodes in trees:
-            part = slice(at, at + len(nodes))
-            out.append(blocks_of(nodes, decoded(nodes, keep[part], mixed[part])))
-            at += len(nodes)
+        out: list[str] = []
+        for begin in range(0, len(htmls), TOGETHER):
+            trees = [Page(h).nodes for h in htmls.iloc[begin : begin + TOGETHER]]
+            every = np.concatenate([features(nodes) for nodes in trees])
+            keep, mixed = (m.probability(every) for m in shared.value)
+            at = 0
+            for nodes in trees:
+                part = slice(at, at + len(nodes))
+                out.append(blocks_of(nodes, decoded(nodes, keep[part], mixed[part])))
+                at += len(nodes)
         return pd.Series(out, dtype=object)
 
     rest = [pages[c] for c in pages.columns if c not in (html_column, "text")]
