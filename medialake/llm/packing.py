@@ -21,8 +21,8 @@ PIECES = T.StructType(
     ]
 )
 RUNS = "length long, first long, pieces long, sequence long, base long, each long"
-#: Pieces that one task ranks at once, within a length.
-RANKED_TOGETHER = 20_000
+#: Pieces of one length that are ranked together.
+RANKED_TOGETHER = 5_000
 
 
 def cut_points(n: int, room: int) -> list[int]:
@@ -98,15 +98,17 @@ def packed(
     """
     spark = docs.sparkSession
     made = stored(pieces(docs, room, end_id, path or vocabulary_path(), id_column, text_column), "pieces")
-    salts = max(1, made.count() // RANKED_TOGETHER)
-    salted = made.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    by_length = made.groupBy("length").count()
+    lengths = {r["length"]: r["count"] for r in by_length.collect()}  # at most room rows
+    # as many salts for a length as its pieces need; again at most room rows
+    salts = spark.createDataFrame([(n, many // RANKED_TOGETHER + 1) for n, many in lengths.items()], "length long, salts long")
+    salted = made.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), "salts"))
     counts = salted.groupBy("length", "salt").count()
     before = counts.select(
         "length",
         "salt",
         F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most room rows
     runs = spark.createDataFrame(best_fit(lengths, room), RUNS)
     ranks = W.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = (
