@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULTS
-from ..functions.vectors import cosine, hamming_hex
+from ..functions.vectors import hamming_hex
 from .catalog import active
 from .graph import components
 
@@ -45,17 +47,30 @@ def hamming_pairs(classes: DataFrame, column: str = "phash", most: int = DEFAULT
     return met.filter((first == F.col("one.band")) & (distance <= most)).select(F.col("one.id").alias("a"), F.col("other.id").alias("b"), distance.alias("distance"))
 
 
-def cosine_pairs(vectors: DataFrame, least: float = DEFAULTS.cosine_threshold, blocks: int = 8) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, least: float = DEFAULTS.cosine_threshold, block_rows: int = 2_000) -> DataFrame:
     """Pairs (a < b) of vectors (id, embedding) with a cosine of at least `least`: exact, block against block.
 
-    Every pair is compared, as the catalogue does; blocks keep each task's share small. Meant for a library's items,
-    not for a corpus.
+    Every pair is compared, as the catalogue does, by one matrix product for two blocks of about block_rows vectors;
+    there are as many blocks as the table needs, so tasks stay small, but the work grows with the square of the rows:
+    meant for a library's items, not for a corpus. Vectors of norm 0 have cosine 0; null ones are left out.
     """
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    left = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"), block.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    right = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), block.alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
-    near = cosine(F.col("va"), F.col("vb"))
-    return left.join(right, ["i", "j"]).filter(F.col("a") < F.col("b")).select("a", "b", near.alias("similarity")).filter(F.col("similarity") >= least)
+    blocks = vectors.count() // block_rows + 1
+    placed = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = placed.withColumn("other", other).select("id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def near(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        unit = np.stack(rows["embedding"].to_numpy()).astype(float)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+        ids, first = rows["id"].to_numpy(), (rows["own"] == key[0]).to_numpy()
+        left, right = (first, ~first) if key[0] != key[1] else (first, first)
+        product = unit[left] @ unit[right].T
+        x, y = np.nonzero(product >= least)
+        a, b = ids[left][x], ids[right][y]
+        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": product[x, y]})
+        return found[(found["a"] != found["b"])] if key[0] != key[1] else found[a < b]
+
+    return met.groupBy("i", "j").applyInPandas(near, "a long, b long, similarity double")
 
 
 def groups(edges: DataFrame) -> DataFrame:

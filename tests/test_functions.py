@@ -202,3 +202,16 @@ def test_stems(spark):
     assert {w: stem(w) for w in known} == known
     docs = spark.createDataFrame([(1, "Running boats"), (2, "a boat ran")], "id long, t string")
     assert [r.id for r in S.search(docs, "boats run", "id", ["t"], stemmed=True).collect()] == [1]
+
+
+def test_cosine_pairs_in_blocks(spark):
+    import numpy as np
+
+    vectors = np.random.default_rng(3).normal(size=(60, 4))
+    vectors[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(99, None)], "id long, embedding array<double>")
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+    expect = {(i, j) for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.92}
+    for rows in (7, 1000):
+        assert {(r.a, r.b) for r in U.cosine_pairs(df, 0.92, block_rows=rows).collect()} == expect
+    assert U.cosine_pairs(df.limit(0)).count() == 0
