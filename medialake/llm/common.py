@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
+#: Rows that Python workers get at once: documents may be long, and a batch is held several times over.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables."""
+    """One of the driver's Parquet tables; the session hands rows to Python in small batches from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,11 +49,6 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def range_buckets(ids: DataFrame, key: str, rows_per_bucket: int = 20_000) -> list[int]:
     """Ascending cut points of an integer key, one per rows_per_bucket rows or so, at most 65,535 of them.
 

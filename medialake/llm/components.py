@@ -15,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     comes to the driver. An edge of a vertex with itself is allowed; no edges give no rows.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label"))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))

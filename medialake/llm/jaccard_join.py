@@ -28,7 +28,7 @@ COUNTED_TOGETHER = 4_000_000
 #: Bits of a set's sketch: a set bit says that an odd number of its shingles fell there.
 SKETCH = 1024
 #: Classes under one key from which pivots come first, how many rounds of them, and how many a class meets in each.
-HOT, PIVOT_ROUNDS, PIVOTS = 16, 3, 16
+HOT, PIVOT_ROUNDS, PIVOTS = 16, 2, 16
 #: Kinds of keys: a rare shingle; a pair of frequent ones; a single frequent one, of a set that has pairs and of one that hasn't.
 RARE, PAIR, STRICT, OPEN = range(4)
 
@@ -233,7 +233,9 @@ def _indexed(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFram
                 yield pd.DataFrame(per_key).reindex(columns=schema.names)
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "c1", "c2", "key")], T.StructField("kind", T.ByteType()), T.StructField("often", T.LongType()), T.StructField("rest", T.LongType())])
-    return stored(docs.mapInPandas(index, schema), "index")
+    made = stored(docs.mapInPandas(index, schema), "index")
+    shared.destroy()
+    return made
 
 
 def _may_link(one: str, other: str) -> Column:
@@ -274,7 +276,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "tokens")]])
     made = docs.withColumn("slot", slot).mapInPandas(make, schema)
-    return stored(made, "sets")
+    made = stored(made, "sets")
+    shared.destroy()
+    return made
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, each: int | None = None) -> DataFrame:
@@ -342,9 +346,7 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
     posted = met.join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2"]).select("key", "id", "n", "kind", "often", "rest", "met")
     posted = stored(posted, "postings")
     hot = posted.filter(F.col("met") > HOT)
-    edges = cut(posted.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
-    labels = components(edges)
-    sets = pool = None
+    edges = labels = sets = pool = None
     for turn in range(PIVOT_ROUNDS):
         # a key's pivot is of its largest component, by chance one or another of it
         entry = F.struct((-F.col("size")).alias("order"), F.xxhash64("id", "key", F.lit(turn)).alias("turn"), "id", "n", "kind", "often", "label")
@@ -363,9 +365,10 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
             break
         if sets is None:
             sets = _sets(rows, pool)
-        edges = cut(edges.union(_verified(best, sets, each=2)))
+        new = _verified(best, sets, each=2)
+        edges = new if edges is None else edges.union(new)
         labels = components(edges)
-    here = posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    here = posted.withColumn("label", F.col("id")) if labels is None else posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     one, other = here.alias("one"), here.alias("other")
     met_again = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.id") < F.col("other.id")) & (F.col("one.label") != F.col("other.label")) & _may_link("one", "other"))
     follow = F.greatest("one.rest", "other.rest")  # shared shingles past the earlier end of two prefixes; of one prefix where the other holds all rare ones
@@ -379,11 +382,14 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
     )
     rest = stored(rest, "candidates")
     last = _sets(rows, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
-    return components(edges.union(_verified(rest, last)))
+    new = _verified(rest, last)
+    return components(new if edges is None else edges.union(new))
 
 
-def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
+def _crossing(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings of the keys that more than one component has, with their labels and these components' sizes."""
+    if labels is None:  # every class is alone
+        return posted.withColumns({"label": F.col("id"), "size": F.lit(1)})
     per_key = W.partitionBy("key")
     sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
     labelled = posted.join(sized, "id", "left").withColumns({"label": F.coalesce("label", "id"), "size": F.coalesce("size", F.lit(1))})

@@ -31,7 +31,7 @@ WORD = re.compile(r"\w+")
 #: Beginnings of words that are tokens too, in characters: inflected and compound words share them.
 STEMS = (4, 5, 6)
 #: Words whose scores a worker keeps, beyond which it starts anew.
-CACHED = 300_000
+CACHED = 100_000
 
 
 def tokens(word: str) -> list[str]:
@@ -179,6 +179,7 @@ def chance(rows: DataFrame, scores: dict[str, float]) -> tuple[np.ndarray, np.nd
             yield pd.DataFrame({"step": list(found), "n": list(found.values())})
 
     steps = rows.filter("toxic = 0").mapInPandas(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
     values = [r.step / 100 for r in steps] + [max(scores.values())]
     return np.array(values), np.array([float(r.n) for r in steps] + [FLOOR])
 
@@ -230,6 +231,7 @@ def fit(
             yield pd.DataFrame({"best": [max((s for _, _, s in f), default=0.0) for f, _ in found], "n": [n for _, n in found], "toxic": batch["toxic"]})
 
     got = rows.mapInPandas(best, "best double, n long, toxic int").toPandas()  # bounded by FIT_ROWS
+    first.destroy()
     clean, n = got[got.toxic == 0], got.n.clip(lower=1)
     size = len(clean) / max(1e-300, float((n[clean.index] * np.exp(-model.rate * clean.best)).sum()))  # most likely, given the rate
     slope, offset = logistic((model.rate * got.best - np.log(size * n)).to_numpy(float), got.toxic.to_numpy(float))
