@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import bucket_of, range_buckets, running, text_of
+from .common import bucket_of, range_buckets, running, stored, text_of
 
 
 def byte_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -19,11 +19,12 @@ def byte_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", te
     other than id and text are ignored. Returns id, size, text_crc32, law, shard, slot, grown_shard.
     """
     text = text_of(docs, text_column)
-    rows = docs.select(
+    narrow = docs.select(
         docs[id_column].alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("crc"),
     )
+    rows = stored(narrow, "sizes")  # texts are read once
     cuts = range_buckets(rows, "id")
     rows = rows.withColumn("bucket", bucket_of(F.col("id"), cuts))
     totals = rows.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
