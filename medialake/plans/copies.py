@@ -18,8 +18,6 @@ SCORE = f"""case when {ACTIVE} then (coalesce(width, 0) * coalesce(height, 0))::
  * (case when coalesce(flag, false) then 0.85::double else 1.0::double end * (1.0::double + case when taken_at is not null then 0.12::double else 0.0::double end + case when coalesce(camera_make, '') <> '' then 0.06::double else 0.0::double end
     + case when gps_lat is not null then 0.05::double else 0.0::double end + 0.04::double * coalesce(rating, 0)))
  * case when coalesce(lifecycle, 'library') = 'library' then 1.0::double else 0.9::double end else -1.0::double end"""
-#: A 64-bit hash of an item, the same in both engines: digits of its text's SHA-256. Near ones come from a text's length.
-HASH = "substr(sha256, 1, 12)"
 
 
 def members(s, d):
@@ -28,13 +26,12 @@ def members(s, d):
 
 
 def hashed(s, d):
-    """Items with a hash whose first digits follow from their text's hash and whose last from their id: some are near."""
-    m = media(s, d).filter("id < 4000000000")
+    """Items with a 64-bit hash: sixteen neighbouring ids share 60 random bits and differ in the last four."""
     tail = F.expr("substr('0123456789abcdef', cast(1 + id % 16 as int), 1)")
-    return m.select("id", F.concat(F.substring("sha256", 1, 2), F.lit("0f0f0f0f0f0f0"), tail).alias("phash"))
+    return media(s, d).select("id", F.concat(F.substring(F.sha2(F.floor(F.col("id") / 16).cast("string"), 256), 1, 15), tail).alias("phash"))
 
 
-HASHED = f"{CTE}, h as (select min(id) as id, concat(substr(sha256, 1, 2), '0f0f0f0f0f0f0', substr('0123456789abcdef', cast(1 + id % 16 as int), 1)) as phash from media group by 2)"
+HASHED = f"{CTE}, h as (select min(id) as id, concat(substr(sha256((id // 16)::varchar), 1, 15), substr('0123456789abcdef', cast(1 + id % 16 as int), 1)) as phash from media group by 2)"
 DISTANCE = "bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint))"
 
 
