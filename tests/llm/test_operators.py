@@ -157,6 +157,14 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_components_of_a_shuffled_chain(spark):
+    """A path whose ids are in no order: small labels meet at many places."""
+    ids = list(range(400))
+    random.Random(0).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (1001, 1000)], "a long, b long")
+    assert {r.id: r.label for r in components.components(edges).collect()} == {i: 0 for i in ids} | {1000: 1000, 1001: 1000}
+
+
 def test_segments_are_the_best_ones():
     for seed in range(200):
         r = random.Random(seed)
