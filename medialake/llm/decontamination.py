@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_of
+from .common import stored, text_of
 
 WINDOW = 13
 #: Bytes of normalised windows that one broadcast automaton may hold; more items are scanned for in further blocks.
 BLOCK_BYTES = 32_000_000
+#: The column that tells rows apart where several blocks are scanned for.
+ROW = "__decontamination_row__"
 
 #: Bytes to what words are made of: A-Z to lower case, 0-9, a-z and all of 0x80 and above kept, the rest to spaces.
 FOLD = bytes(
@@ -92,7 +94,19 @@ def contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[str, str]], keep_hits: bool) -> DataFrame:
+def merged(hit: list[list[int]]) -> list[list[int]]:
+    """Spans of neighbouring words, from ascending (index, start, end) of each."""
+    runs, last = [], -2
+    for i, start, end in hit:
+        if i == last + 1:
+            runs[-1][1] = end
+        else:
+            runs.append([start, end])
+        last = i
+    return runs
+
+
+def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[str, str]], as_spans: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((items, automaton(items)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,12 +120,9 @@ def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[s
                     out.append((len(w), 0, [], []))
                     continue
                 hit, who = got
-                if keep_hits:
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                    at = spans(text)
-                    runs = [[at[a][0], at[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])]
-                else:
-                    runs = [[int(i)] for i in np.flatnonzero(hit)]
+                at = spans(text)
+                each = [[i, *at[i]] for i in np.flatnonzero(hit).tolist()]
+                runs = merged(each) if as_spans else each
                 out.append((len(w), int(hit.sum()), runs, [listed[i][0] for i in who]))
             yield pd.DataFrame(
                 {
@@ -147,27 +158,41 @@ def contamination(
     """Per document the words that lie in benchmark windows and the items these come from.
 
     The items' windows make one automaton (several, one after another, where they exceed block_bytes), which runs
-    once over each text's normalised words; offsets are mapped back to the original, so the first block's `hits` are
-    spans of code points. Documents stay where they are: there is no shuffle with one block. Null texts have no
-    words, null items no windows; an empty benchmark leaves everything clean; ties don't arise. Ids must be unique
-    where there is more than one block. Returns id, n_words, n_hit, hits, items.
+    once over each text's normalised words; offsets are mapped back to the original, so `hits` are spans of code
+    points. Documents stay where they are with one block; with more, rows are numbered and stored once, and what the
+    blocks find in a row is united by its number, so results are the same for any number of blocks. Each row has its
+    own verdict, whether its id is null, repeated or neither. Null texts have no words, null items no windows; an
+    empty benchmark leaves everything clean; ties don't arise. Returns id, n_words, n_hit, hits, items.
     """
     parts = [b for b in blocks(benchmark, item_id, item_text, block_bytes)]
     if len(parts) == 1:
         return _scan(docs, id_column, text_column, parts[0], True).withColumnRenamed("id", id_column)
+    rows = _numbered(docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text")))
+    return _united(rows, "text", parts).join(rows.select(ROW, "id"), ROW).select(F.col("id").alias(id_column), "n_words", "n_hit", "hits", "items")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a number of its own for each row."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _united(rows: DataFrame, text_column: str, parts: list[list[tuple[str, str]]]) -> DataFrame:
+    """What all blocks find in each numbered row: ROW, n_words, n_hit, hits, items."""
     found = None
     for part in parts:
-        one = _scan(docs, id_column, text_column, part, False)
+        one = _scan(rows, ROW, text_column, part, False)
         found = one if found is None else found.union(one)
-    return (
-        found.groupBy("id")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        )
-        .select(F.col("id").alias(id_column), "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")
+
+    @F.pandas_udf("array<array<bigint>>")
+    def as_spans(hits: pd.Series) -> pd.Series:
+        return pd.Series([merged(h) for h in hits], dtype=object)
+
+    per_row = found.groupBy(F.col("id").alias(ROW)).agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
+    return per_row.select(ROW, "n_words", F.size("hits").cast("long").alias("n_hit"), as_spans("hits").alias("hits"), "items")
 
 
 def verdicts(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -185,12 +210,14 @@ def verdicts(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that aren't contaminated, all columns as they are; null texts are kept.
 
-    With one block of items rows are judged where they lie; with more, the ids of contaminated rows are joined away.
+    With one block of items rows are judged where they lie; with more, the numbers of contaminated rows are joined
+    away. Each row is judged by its own text, whatever its id.
     """
     parts = list(blocks(benchmark, "item_id", "text", block_bytes))
     if len(parts) > 1:
-        bad = verdicts(contamination(docs, benchmark, id_column, text_column, block_bytes=block_bytes), id_column).filter("contaminated").select(F.col(id_column).alias("bad_id"))
-        return docs.join(bad, docs[id_column].eqNullSafe(F.col("bad_id")), "left_anti")
+        rows = _numbered(docs)
+        bad = verdicts(_united(rows, text_column, parts), ROW).filter("contaminated").select(ROW)
+        return rows.join(bad, ROW, "left_anti").select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(automaton(parts[0]))
 
     @F.pandas_udf("boolean")

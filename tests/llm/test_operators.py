@@ -285,6 +285,22 @@ def test_decontamination(spark, docs):
     assert [rows[1][1][a:b] for a, b in one.hits] == ["short-item; short item"]
 
 
+def test_decontamination_judges_rows_whatever_their_ids(spark):
+    items = [(1, "alpha beta"), (2, "Gamma, delta"), (3, "omega")]
+    rows = [(None, "alpha beta"), (None, "all is well here"), (None, None), (7, "gamma delta É"), (7, "x " * 100), (7, "é alpha beta gamma delta omega"), (8, "fine"), (8, "fine")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expect = [brute_contamination([(0, t)], items)[0] for _, t in rows]
+    told = lambda rs: sorted(rs, key=repr)
+    spans_of = []
+    for size in (1 << 20, 40):  # one block, and one block an item
+        found = decontamination.contamination(df, bench, block_bytes=size)
+        assert told(tuple(r) for r in decontamination.verdicts(found).collect()) == told((i, *v) for (i, _), v in zip(rows, expect))
+        spans_of.append(told((r.doc_id, r.n_words, r.hits) for r in found.collect()))
+        kept = decontamination.clean(df, bench, block_bytes=size)
+        assert kept.columns == df.columns and told(map(tuple, kept.collect())) == told(r for r, v in zip(rows, expect) if not v[4])
+    assert spans_of[0] == spans_of[1] and (7, 6, [[2, 30]]) in spans_of[1]
+
+
 def sha1_32(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
