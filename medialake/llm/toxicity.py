@@ -39,6 +39,12 @@ def tokens(word: str) -> list[str]:
     return [word, *[word[:k] + "-" for k in STEMS if len(word) > k]]
 
 
+def words_of(text: str) -> list[str]:
+    """The words in lower case, in the order and number of WORD's matches in the text itself."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def in_training(id_column: F.Column) -> F.Column:
     """Rows that may be learned from: crc32 of the id as text, modulo 5, isn't 0."""
     return F.crc32(id_column.cast("string").cast("binary")) % 5 != 0
@@ -65,6 +71,47 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right in kept]
 
 
+def passages_once(words: list[str], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
+    """Maximal segments of scores less drift, where a word's repetitions within one segment add nothing.
+
+    Without repetitions these are those of segments(). A segment runs from a word above 0 to the highest sum before the
+    sum is used up, and is drawn in at its start where that gains; the search goes on right behind it and also over
+    what was left before it, with all words at full score again.
+    """
+    found, todo = [], [(0, len(words))]
+    while todo:
+        i, stop = todo.pop()
+        while i < stop:
+            if scores[i] <= drift:
+                i += 1
+                continue
+            total, top, end, seen = 0.0, 0.0, i, set()
+            for j in range(i, stop):
+                s, w = scores[j], words[j]
+                if s > 0:
+                    s = 0.0 if w in seen else s
+                    seen.add(w)
+                total += s - drift
+                if total > top:
+                    top, end = total, j + 1
+                elif total <= 0:
+                    break
+            total, top, start, seen = 0.0, 0.0, end, set()
+            for j in range(end - 1, i - 1, -1):
+                s, w = scores[j], words[j]
+                if s > 0:
+                    s = 0.0 if w in seen else s
+                    seen.add(w)
+                total += s - drift
+                if total >= top:
+                    top, start = total, j
+            found.append((start, end, top))
+            if start > i:
+                todo.append((i, start))
+            i = end
+    return sorted(found)
+
+
 @dataclass(frozen=True)
 class Model:
     """Scores of tokens, the extreme-value parameters, and the calibration of the evidence."""
@@ -83,7 +130,11 @@ class Model:
 
     def words(self, text: str) -> list[float]:
         """Scores of a text's words, before drift."""
-        found, known = WORD.findall(text.lower()), self.known
+        return self.each(words_of(text))
+
+    def each(self, found: list[str]) -> list[float]:
+        """Scores of words, before drift."""
+        known = self.known
         try:
             return [known[w] for w in found]
         except KeyError:
@@ -95,14 +146,15 @@ class Model:
 
     def passages(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """Maximal segments as (first word, last word + 1, score), and the number of words."""
-        scores, seen = self.words(text), set()
-        if scores and max(scores) > self.drift:
-            # a word says what it says once: repetitions don't add up
-            for i, w in enumerate(WORD.findall(text.lower())):
-                if scores[i] > 0:
-                    scores[i] = 0.0 if w in seen else scores[i]
-                    seen.add(w)
-        return segments([s - self.drift for s in scores]) if scores and max(scores) > self.drift else [], len(scores)
+        found = words_of(text)
+        scores = self.each(found)
+        if not scores or max(scores) <= self.drift:
+            return [], len(scores)
+        # a word says what it says once: repetitions within a segment don't add up
+        telling = [w for w, s in zip(found, scores) if s > 0]
+        if len(set(telling)) == len(telling):
+            return segments([s - self.drift for s in scores]), len(scores)
+        return passages_once(found, scores, self.drift), len(scores)
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of at least this score a clean text of n words has by chance."""
@@ -148,7 +200,7 @@ def token_scores(rows: DataFrame, words: int = FIT_WORDS) -> dict[str, float]:
         for batch in batches:
             sides = (Counter(), Counter())
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                sides[int(toxic)].update({t for w in set(WORD.findall(text.lower())) for t in tokens(w)})
+                sides[int(toxic)].update({t for w in set(words_of(text)) for t in tokens(w)})
             both = list(sides[0].keys() | sides[1].keys())
             yield pd.DataFrame({"token": both, "clean": [sides[0][w] for w in both], "bad": [sides[1][w] for w in both]})
 
@@ -253,8 +305,8 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
             for text in batch["text"]:
                 found, n = one.passages(text)
                 good = [f for f in found if one.expected(f[2], n) <= SIGNIFICANT]
-                at = [m.span() for m in WORD.finditer(text.lower())] if good and len(text.lower()) == len(text) else []
-                listed = [{"start": at[a][0], "end": at[b - 1][1], "score": s, "expected": one.expected(s, n)} for a, b, s in good] if at else []
+                at = [m.span() for m in WORD.finditer(text)] if good else []
+                listed = [{"start": at[a][0], "end": at[b - 1][1], "score": s, "expected": one.expected(s, n)} for a, b, s in good]
                 out.append((one.probability(one.evidence(found, n)), listed))
             yield pd.DataFrame({"id": batch["id"], "score": [o[0] for o in out], "passages": [o[1] for o in out]})
 
