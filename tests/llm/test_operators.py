@@ -337,6 +337,32 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_one_id_with_two_payloads(spark):
+    rows = [(1, "a", "long payload"), (1, "b", "short"), (2, "c", "short"), (3, "d", "long payload"), (None, "e", "short"), (None, "f", "alone")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    expect = [(i, len(h), sha1_32(h), "response" if i == 1 or h == "alone" else "revisit", None if i == 1 or h == "alone" else 1) for i, _, h in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(expect, key=repr)
+
+
+@pytest.mark.parametrize("split", [600, 3000])
+def test_warc_in_splits(spark, split):
+    """Files cut into many splits: chains cross them, and so do torn records."""
+    magic = "WARC/1.1\r\n"
+    false = f"{magic}WARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    r = random.Random(split)
+    rows = [(i, f"u{i}", "".join(r.choice(["x" * 50, false, magic, "\r\n\r\n", "é" * 40]) for _ in range(r.randint(0, 30)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {(x.page_id, x.payload_bytes, x.payload_digest) for x in warc.round_trip(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {(i, len(h.encode()), sha1_32(h)) for i, _, h in rows}
+
+
 def test_extraction(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in extraction.main_text(pages).collect()}
