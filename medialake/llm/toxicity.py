@@ -16,14 +16,14 @@ from .common import stored, text_of
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id.
 FIT_ROWS = 20_000
-#: Words with a score of their own, at most: those with the largest z.
-FIT_WORDS = 50_000
 #: The Dirichlet prior: PRIOR words spread as in the whole corpus, and FLOOR of each word on either side.
 PRIOR, FLOOR = 500.0, 0.5
 #: Standard errors by which a word's log-odds are drawn towards 0: rare words need more evidence.
 DOUBT = 2.0
 #: What each word costs a segment, so that scores drift downwards between toxic words.
 DRIFT = 0.05
+#: A passage with repetitions ends where its sum has fallen so far below its height.
+DROP = 12.0
 #: Documents have passages listed whose expected number by chance is at most this.
 SIGNIFICANT = 0.05
 
@@ -50,66 +50,96 @@ def in_training(id_column: F.Column) -> F.Column:
     return F.crc32(id_column.cast("string").cast("binary")) % 5 != 0
 
 
-def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass over the scores with a stack (Ruzzo and Tompa)."""
-    kept: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum after it
-    total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        start, left, right = i, before, total
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score), in linear time (Ruzzo and Tompa).
+
+    Each kept segment links to the last one before it that begins at a lower sum, so no segment is passed twice in
+    search of it; where none begins lower, all that are kept are final and leave the stack.
+    """
+    sums = np.concatenate(([0.0], np.cumsum(scores))).tolist()
+    final: list[tuple[int, int, float, float, int]] = []
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum after it, link
+    for i in np.flatnonzero(np.asarray(scores) > 0).tolist():
+        start, left, right = i, sums[i], sums[i + 1]
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= left:
-                j -= 1
-            if j < 0 or kept[j][3] >= right:
-                kept.append((start, i + 1, left, right))
+                j = kept[j][4]
+            if j < 0:
+                final += kept
+                kept = [(start, i + 1, left, right, -1)]
+                break
+            if kept[j][3] >= right:
+                kept.append((start, i + 1, left, right, j))
                 break
             start, left = kept[j][0], kept[j][2]
+            below = kept[j][4]
             del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+            j = below
+    return [(a, b, right - left) for a, b, left, right, _ in final + kept]
 
 
-def passages_once(words: list[str], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
+def passages_once(words: list[str], scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """Maximal segments of scores less drift, where a word's repetitions within one segment add nothing.
 
-    Without repetitions these are those of segments(). A segment runs from a word above 0 to the highest sum before the
-    sum is used up, and is drawn in at its start where that gains; the search goes on right behind it and also over
-    what was left before it, with all words at full score again.
+    Repetitions only lower sums, so these lie in the segments of the full scores; one without repetitions stays as it
+    is, others are searched for passages. Time is linear: at most DROP / drift steps a word.
+    """
+    found = []
+    for a, b, total in segments(scores - drift):
+        telling = [words[i] for i in (np.flatnonzero(scores[a:b] > 0) + a).tolist()]
+        found += [(a, b, total)] if len(set(telling)) == len(telling) else _inside(words, scores[a:b].tolist(), drift, a, b)
+    return sorted(found)
+
+
+def _inside(words: list[str], scores: list[float], drift: float, a: int, b: int) -> list[tuple[int, int, float]]:
+    """Passages of words[a:b], whose scores are given: each word's repetitions in one add nothing.
+
+    A passage runs from a word above drift to its highest sum, until the sum is used up or has dropped, and is drawn
+    in at its start where that gains. What was left before it is searched with each word counted once; the search goes
+    on right behind it with all words at full score.
     """
-    found, todo = [], [(0, len(words))]
-    while todo:
-        i, stop = todo.pop()
-        while i < stop:
-            if scores[i] <= drift:
-                i += 1
-                continue
-            total, top, end, seen = 0.0, 0.0, i, set()
-            for j in range(i, stop):
-                s, w = scores[j], words[j]
-                if s > 0:
-                    s = 0.0 if w in seen else s
+    found, i, stop = [], 0, b - a
+    while i < stop:
+        if scores[i] <= drift:
+            i += 1
+            continue
+        total, top, end, seen = 0.0, 0.0, i, set()
+        for j in range(i, stop):
+            s = scores[j]
+            if s > 0:
+                w = words[a + j]
+                if w in seen:
+                    s = 0.0
+                else:
                     seen.add(w)
-                total += s - drift
-                if total > top:
-                    top, end = total, j + 1
-                elif total <= 0:
-                    break
-            total, top, start, seen = 0.0, 0.0, end, set()
-            for j in range(end - 1, i - 1, -1):
-                s, w = scores[j], words[j]
-                if s > 0:
-                    s = 0.0 if w in seen else s
+            total += s - drift
+            if total > top:
+                top, end = total, j + 1
+            elif total <= 0 or total < top - DROP:
+                break
+        total, top, start, seen = 0.0, 0.0, end, set()
+        for j in range(end - 1, i - 1, -1):
+            s = scores[j]
+            if s > 0:
+                w = words[a + j]
+                if w in seen:
+                    s = 0.0
+                else:
                     seen.add(w)
-                total += s - drift
-                if total >= top:
-                    top, start = total, j
-            found.append((start, end, top))
-            if start > i:
-                todo.append((i, start))
-            i = end
-    return sorted(found)
+            total += s - drift
+            if total >= top:
+                top, start = total, j
+        found.append((a + start, a + end, top))
+        if start > i:
+            once, seen = np.array(scores[i:start]), set()
+            for j in range(i, start):
+                if scores[j] > 0:
+                    once[j - i] = 0.0 if words[a + j] in seen else scores[j]
+                    seen.add(words[a + j])
+            found += [(a + i + x, a + i + y, s) for x, y, s in segments(once - drift)]
+        i = end
+    return found
 
 
 @dataclass(frozen=True)
@@ -121,6 +151,7 @@ class Model:
     rate: float = 1.0
     size: float = 1.0
     slope: float = 0.0
+    further: float = 0.0
     offset: float = -50.0
     known: dict[str, float] = field(default_factory=dict, compare=False)
 
@@ -147,26 +178,32 @@ class Model:
     def passages(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """Maximal segments as (first word, last word + 1, score), and the number of words."""
         found = words_of(text)
-        scores = self.each(found)
-        if not scores or max(scores) <= self.drift:
+        scores = np.array(self.each(found))
+        if not len(scores) or scores.max() <= self.drift:
             return [], len(scores)
-        # a word says what it says once: repetitions within a segment don't add up
-        telling = [w for w, s in zip(found, scores) if s > 0]
-        if len(set(telling)) == len(telling):
-            return segments([s - self.drift for s in scores]), len(scores)
         return passages_once(found, scores, self.drift), len(scores)
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of at least this score a clean text of n words has by chance."""
         return self.size * max(n, 1) * math.exp(-self.rate * score)
 
-    def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
-        """Minus the logarithm of the expected number of segments as good as the best one."""
-        best = max((s for _, _, s in found), default=0.0)
-        return self.rate * best - math.log(self.size * max(n, 1))
+    def evidence(self, scores: list[float], n: int) -> tuple[float, float]:
+        """What the segments of a text of n words tell: the best one, and the sum of all others better than chance.
+
+        A segment's evidence is minus the logarithm of how many as good ones chance makes; the sum enters by its
+        logarithm, as passages of one text aren't independent.
+        """
+        base = math.log(self.size * max(n, 1))
+        each = sorted((self.rate * s - base for s in scores), reverse=True)
+        return (each[0], math.log1p(sum(s for s in each[1:] if s > 0))) if each else (-base, 0.0)
+
+    def score(self, text: str) -> float:
+        """How likely the text is toxic."""
+        found, n = self.passages(text)
+        return self.probability(*self.evidence([s for _, _, s in found], n))
 
-    def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * evidence + self.offset))))
+    def probability(self, best: float, others: float) -> float:
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * best + self.further * others + self.offset))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, most: int) -> DataFrame:
@@ -189,11 +226,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_colum
     )
 
 
-def token_scores(rows: DataFrame, words: int = FIT_WORDS) -> dict[str, float]:
-    """Log-odds of tokens in toxic against clean documents, the `words` most significant ones.
+def token_scores(rows: DataFrame) -> dict[str, float]:
+    """Log-odds of tokens in toxic against clean documents, of all tokens that differ by more than doubt.
 
     A token counts once a document, so one document's repetitions teach nothing. Both sides get the pooled frequency
-    times PRIOR, and FLOOR, as pseudo-counts; a score is the log-odds ratio drawn DOUBT standard errors to 0.
+    times PRIOR, and FLOOR, as pseudo-counts; a score is the log-odds ratio drawn DOUBT standard errors to 0. There
+    are no more tokens than the bounded sample of labelled rows has.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,9 +251,8 @@ def token_scores(rows: DataFrame, words: int = FIT_WORDS) -> dict[str, float]:
     bad, clean = F.col("bad") + pseudo, F.col("clean") + pseudo
     ratio = F.log(bad / (n1 + PRIOR + FLOOR)) - F.log(clean / (n0 + PRIOR + FLOOR))
     error = F.sqrt(1 / bad + 1 / clean)
-    scored = counts.select("token", (F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - DOUBT * error)).alias("score"), F.abs(ratio / error).alias("z"))
-    top = scored.filter("score != 0").orderBy(F.desc("z"), "token").limit(words).collect()  # bounded by FIT_WORDS
-    return {r.token: r.score for r in top}
+    scored = counts.select("token", (F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - DOUBT * error)).alias("score"))
+    return {r.token: r.score for r in scored.filter("score != 0").collect()}  # tokens of at most FIT_ROWS rows
 
 
 def chance(rows: DataFrame, scores: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,28 +285,32 @@ def decay(values: np.ndarray, n: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(y | x), by Newton steps with a little ridge."""
-    mean, spread = float(x.mean()), float(x.std()) or 1.0
-    z, w = np.column_stack([(x - mean) / spread, np.ones(len(x))]), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes, none below 0, and offset of P(y | columns of x), by Newton steps with a little ridge."""
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 0, spread, 1.0)
+    z, w = np.column_stack([(x - mean) / spread, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
         gradient = z.T @ (y - p) - 1e-3 * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), gradient)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(w)), gradient)
         w = w + np.clip(step, -2, 2)
-    return max(0.0, w[0] / spread), w[1] - w[0] * mean / spread
+    if (w[:-1] < 0).any() and x.shape[1] > 1:
+        one, offset = logistic(x[:, :1], y)
+        return np.array([one[0], 0.0]), offset
+    slopes = np.maximum(0.0, w[:-1]) / spread
+    return slopes, float(w[-1] - slopes @ mean)
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = FIT_ROWS, words: int = FIT_WORDS
-) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = FIT_ROWS) -> Model:
     """Learns from at most `most` labelled rows whose crc32(id) mod 5 isn't 0; nothing but texts is an input.
 
-    Counting is a Spark aggregation; the driver holds at most `words` word scores and one pair of numbers per labelled
-    row. With no labels, or only one kind, all texts score 0.
+    Counting is a Spark aggregation; the driver holds scores of the sample's tokens and a pair of numbers per labelled
+    row. Segments of the sample's texts are found once and stored: the extreme-value size comes from the best ones of
+    clean texts, then the evidence of all is calibrated. With no labels, or only one kind, all texts score 0.
     """
     rows = stored(training_rows(docs, labels, id_column, text_column, most), "training")
-    scores = token_scores(rows, words)
+    scores = token_scores(rows)
     if not scores or max(scores.values()) <= 0:
         return Model({})
     values, n = chance(rows, scores)
@@ -277,24 +318,33 @@ def fit(
     model = Model(scores, drift, decay(values - drift, n))
     first = docs.sparkSession.sparkContext.broadcast(model)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [first.value.passages(t) for t in batch["text"]]
-            yield pd.DataFrame({"best": [max((s for _, _, s in f), default=0.0) for f, _ in found], "n": [n for _, n in found], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"found": [[s for _, _, s in f] for f, _ in found], "n": [max(n, 1) for _, n in found], "toxic": batch["toxic"]})
 
-    got = rows.mapInPandas(best, "best double, n long, toxic int").toPandas()  # bounded by FIT_ROWS
+    parts = stored(rows.mapInPandas(segment, "found array<double>, n long, toxic int"), "segments")
     first.destroy()
-    clean, n = got[got.toxic == 0], got.n.clip(lower=1)
-    size = len(clean) / max(1e-300, float((n[clean.index] * np.exp(-model.rate * clean.best)).sum()))  # most likely, given the rate
-    slope, offset = logistic((model.rate * got.best - np.log(size * n)).to_numpy(float), got.toxic.to_numpy(float))
-    return replace(model, size=size, slope=slope, offset=offset, known={})
+    top = F.coalesce(F.array_max("found"), F.lit(0.0))
+    clean, chances = parts.filter("toxic = 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-model.rate * top))).first()
+    sized = Model({}, drift, model.rate, clean / max(1e-300, chances or 0.0))  # most likely, given the rate
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [sized.evidence(f, n) for f, n in zip(batch["found"], batch["n"])]
+            yield pd.DataFrame({"best": [t[0] for t in told], "others": [t[1] for t in told], "toxic": batch["toxic"]})
+
+    got = parts.mapInPandas(weigh, "best double, others double, toxic int").toPandas()  # bounded by FIT_ROWS
+    (slope, further), offset = logistic(got[["best", "others"]].to_numpy(float), got.toxic.to_numpy(float))
+    return replace(model, size=sized.size, slope=float(slope), further=float(further), offset=offset, known={})
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Score of each whole text and its significant toxic passages, in one pass where the rows lie.
 
-    Null texts are empty and score as such; repeated rows are scored each; other columns are ignored. The broadcast
-    model holds at most FIT_WORDS words. Returns id, score, passages (code points from start to end, score, expected).
+    Null texts are empty and score as such; equal texts score alike (ties) and repeated rows are scored each; very long
+    texts take time in proportion to their words; other columns are ignored; an empty table gives no rows. The
+    broadcast model holds tokens of at most FIT_ROWS labelled rows. Returns id, score, passages (code points from start to end, score, expected).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -307,7 +357,7 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
                 good = [f for f in found if one.expected(f[2], n) <= SIGNIFICANT]
                 at = [m.span() for m in WORD.finditer(text)] if good else []
                 listed = [{"start": at[a][0], "end": at[b - 1][1], "score": s, "expected": one.expected(s, n)} for a, b, s in good]
-                out.append((one.probability(one.evidence(found, n)), listed))
+                out.append((one.probability(*one.evidence([s for _, _, s in found], n)), listed))
             yield pd.DataFrame({"id": batch["id"], "score": [o[0] for o in out], "passages": [o[1] for o in out]})
 
     passage = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
@@ -327,7 +377,6 @@ def clean(docs: DataFrame, model: Model, text_column: str = "text", threshold: f
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        one = shared.value
-        return pd.Series([one.probability(one.evidence(*one.passages(t or ""))) for t in texts], dtype=float)
+        return pd.Series([shared.value.score(t or "") for t in texts], dtype=float)
 
     return docs.filter(score(docs[text_column]) < threshold)

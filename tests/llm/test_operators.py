@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -165,11 +166,56 @@ def test_components_of_a_shuffled_chain(spark):
     assert {r.id: r.label for r in components.components(edges).collect()} == {i: 0 for i in ids} | {1000: 1000, 1001: 1000}
 
 
+def brute_segments(scores):
+    """The best part (the shortest of equal ones), then the same before and after it."""
+
+    def split(low, high):
+        sums = [(sum(scores[i:j]), i - j, i) for i in range(low, high) for j in range(i + 1, high + 1)]
+        total, minus, i = max(sums, default=(0, 0, 0))
+        if total <= 0:
+            return []
+        return [*split(low, i), (i, i - minus, total), *split(i - minus, high)]
+
+    return split(0, len(scores))
+
+
+def test_segments_take_linear_time():
+    import time
+
+    began = time.time()
+    falling = np.tile([1.0, -1.5], 500_000)
+    assert len(toxicity.segments(falling)) == 500_000
+    rising = np.concatenate([np.tile([1.0, -0.999], 250_000), falling])
+    assert toxicity.segments(rising)
+    assert toxicity.passages_once(list("abcdefgh") * 60_000, np.full(480_000, 2.0), 0.05)
+    assert time.time() - began < 30
+
+
+def test_every_significant_passage_counts(spark):
+    """The whole score against the stated formula, and more passages are more evidence."""
+    model = toxicity.Model({w: 3.0 for w in "abcdefgh"}, drift=0.25, rate=0.7, size=0.2, slope=0.8, further=1.5, offset=-3.0)
+    clean = " ".join(["ok"] * 60)
+    texts_ = [None, "", f"{clean} {clean}", f"a b c {clean} {clean}", f"a b c {clean} d e f {clean}", f"a b c {clean} d e f {clean} f g h", "a a a a", "\u0130 a b"]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.scored(rows, model).collect()}
+    for i, t in enumerate(texts_):
+        words = [w.lower() for w in re.findall(r"\w+", t or "")]
+        scores = [(3.0 if w in set("abcdefgh") else 0.0) - 0.25 for w in words]
+        base = np.log(0.2 * max(1, len(words)))
+        passages = [(0, 1, 2.75)] * 4 if t == "a a a a" else brute_segments(scores)  # one word again and again: passages of one word
+        s = sorted((0.7 * x - base for _, _, x in passages), reverse=True)
+        best, others = (s[0], sum(x for x in s[1:] if x > 0)) if s else (-base, 0.0)
+        assert abs(got[i] - 1 / (1 + np.exp(-(0.8 * best + 1.5 * np.log1p(others) - 3.0)))) < 1e-9
+    assert got[2] < got[3] < got[4] < got[5]
+    assert toxicity.scored(rows.limit(0), model).count() == 0
+
+
 def test_segments_are_the_best_ones():
     for seed in range(200):
         r = random.Random(seed)
         scores = [r.choice([-3, -2, -1, -1, 1, 2, 4]) for _ in range(r.randint(0, 25))]
-        found = toxicity.segments(scores)
+        found = sorted(toxicity.segments(np.array(scores, float)))
+        assert found == brute_segments(scores)
         best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
         assert max((s for _, _, s in found), default=0) == max(best, 0)
         assert all(sum(scores[a:b]) == s > 0 for a, b, s in found)
@@ -205,8 +251,8 @@ def test_toxic_passages_are_found_wherever_they_are(spark):
     assert not toxicity.scored(spark.createDataFrame([(1, "vile " * 50)], "doc_id long, text string"), model).first().passages
     for seed in range(200):  # without repetitions, these are the maximal segments
         r = random.Random(seed)
-        scores = [r.choice([-3.5, -1.0, 0.0, 0.0, 1.0, 2.25]) for _ in range(r.randint(1, 40))]
-        assert toxicity.passages_once([str(i) for i in range(len(scores))], scores, 0.25) == toxicity.segments([s - 0.25 for s in scores])
+        scores = np.array([r.choice([-3.5, -1.0, 0.0, 0.0, 1.0, 2.25]) for _ in range(r.randint(1, 40))])
+        assert toxicity.passages_once([str(i) for i in range(len(scores))], scores, 0.25) == sorted(toxicity.segments(scores - 0.25))
 
 
 def test_secrets(spark, docs):

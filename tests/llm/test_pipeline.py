@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    rows = [(r.doc_id, r.text) for r in docs.collect() if model.probability(model.evidence(*model.passages(r.text))) < 0.5]
+    rows = [(r.doc_id, r.text) for r in docs.collect() if model.score(r.text) < 0.5]
     groups = brute_components(rows)
     rows = [(i, t) for i, t in rows if groups[i][1] == i or groups[i][0] == 0]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
