@@ -267,31 +267,90 @@ def test_secrets(spark, docs):
     assert "AKIAABC" not in clean.first().text and clean.filter("text is null").count() == 1
 
 
+def plain_best_fit(lengths, room):
+    """How many sequences plain best fit opens, longest first."""
+    gaps: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((room if fit is None else fit) - length)
+    return len(gaps)
+
+
+def valid_bins(placed, room):
+    """The sequences of (pid, seq, offset, length): gapless from 0, none beyond room; their number."""
+    bins = collections.defaultdict(list)
+    for _, seq, offset, length in placed:
+        bins[seq].append((offset, length))
+    for one in bins.values():
+        at = 0
+        for offset, length in sorted(one):
+            assert offset == at
+            at += length
+        assert at <= room
+    return len(bins)
+
+
 def test_best_fit_is_tight_and_valid():
     for seed in range(100):
         r = random.Random(seed)
         room = r.choice([1, 5, 16, 64])
-        lengths = {n: r.randint(1, 9) for n in r.sample(range(1, room + 1), r.randint(1, room))}
-        bins, seen = collections.defaultdict(list), collections.Counter()
-        for length, first, n, sequence, base, each in packing.best_fit(lengths, room):
-            assert first == seen[length]
-            seen[length] += n
-            for j in range(n):
-                bins[sequence + j // each].append((base + j % each * length, length))
-        assert seen == lengths and sorted(bins) == list(range(len(bins)))
-        gaps: list[int] = []
-        for length in sorted((x for x, n in lengths.items() for _ in range(n)), reverse=True):  # plain best fit, longest first
-            fit = min((g for g in gaps if g >= length), default=None)
-            if fit is not None:
-                gaps.remove(fit)
-            gaps.append((room if fit is None else fit) - length)
-        assert len(bins) == len(gaps)
-        for placed in bins.values():
-            at = 0
-            for offset, length in sorted(placed):
-                assert offset == at
-                at += length
-            assert at <= room
+        lengths = [r.randint(1, room) for _ in range(r.randint(1, 60))]
+        placed = packing.best_fit([(n, i) for i, n in enumerate(lengths)], [], room, 0)
+        assert sorted(p for p, _, _ in placed) == list(range(len(lengths)))
+        assert valid_bins([(p, s, o, lengths[p]) for p, s, o in placed], room) == plain_best_fit(lengths, room)
+
+
+def test_a_sweep_is_plain_best_fit():
+    """One sweep over enough empty sequences places pieces as plain best fit does; with too few it leaves the shorter ones."""
+    for seed in range(100):
+        r = random.Random(seed)
+        room = r.choice([5, 16, 64])
+        lengths = [r.randint(1, room) for _ in range(r.randint(1, 60))]
+        items = [(room, True, i) for i in range(len(lengths))] + [(n, False, i) for i, n in sorted(enumerate(lengths), key=lambda x: (-x[1], x[0]))]
+        items.sort(key=lambda x: (-x[0], not x[1]))
+        placed, left, free, narrow = packing.sweep(items, room)
+        assert not left and valid_bins([(p, s, o, lengths[p]) for p, s, o in placed], room) == plain_best_fit(lengths, room)
+        used = collections.Counter()
+        for p, s, _ in placed:
+            used[s] += lengths[p]
+        assert {s: g for g, s in free + narrow} == {i: room - used[i] for i in range(len(lengths)) if used[i] < room}
+
+
+def test_carried_runs_fit():
+    """Runs of ranks give no gap twice, no more than it holds, and leave no piece while a gap above it is free."""
+    import pandas as pd
+
+    for seed in range(100):
+        r = random.Random(seed)
+        edges = sorted(r.sample(range(1, 60), 4), reverse=True)
+        left = {b: (sorted((r.randint(lo, hi) for _ in range(r.randint(0, 6))), reverse=True), sorted((r.randint(lo, hi) for _ in range(r.randint(0, 4))), reverse=True)) for b, (hi, lo) in enumerate(zip([64, *edges], edges))}
+        totals = [(b, len(p), max(p, default=0), len(g), min(g, default=0)) for b, (p, g) in left.items()]
+        runs = packing.carried(pd.DataFrame(totals, columns=["bucket", "pieces", "longest", "gaps", "narrowest"]))
+        got, given = collections.defaultdict(int), set()
+        for x in runs.itertuples():
+            for k in range(x.many):
+                assert x.source < x.bucket and (x.bucket, x.first + k) not in given
+                given.add((x.bucket, x.first + k))
+                got[x.source, x.top - k // x.each] += left[x.bucket][0][x.first + k]
+        assert all(total <= left[b][1][rank] for (b, rank), total in got.items())
+        for b, (p, _) in left.items():
+            if any((b, q) not in given for q in range(len(p))):
+                assert all((i, rank) in got for i in range(b) for rank in range(len(left[i][1])))
+
+
+@pytest.mark.parametrize("together,most", [(10**6, 1.0), (40, 1.04)])
+@pytest.mark.parametrize("kind", ["spread", "small", "hot"])
+def test_packing_rounds(spark, kind, together, most):
+    """Rounds over many buckets place every piece once, validly, and nearly as tightly as plain best fit."""
+    r = random.Random(kind)
+    lengths = {"spread": [r.randint(1, 99) for _ in range(500)], "small": [r.randint(1, 6) for _ in range(700)], "hot": [r.choice([30, 30, 30, 50, r.randint(1, 99)]) for _ in range(500)]}[kind]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    tables, _ = packing.places(rows, 100, together)
+    placed = [(x.pid, x.seq, x.offset, lengths[x.pid]) for t in tables for x in t.collect()]
+    assert sorted(p[0] for p in placed) == list(range(len(lengths)))
+    assert valid_bins(placed, 100) <= max(plain_best_fit(lengths, 100) * most, plain_best_fit(lengths, 100) + 1)
 
 
 def test_packing(spark, docs):
@@ -299,17 +358,14 @@ def test_packing(spark, docs):
 
     tokenizer = Tokenizer.from_file(vocabulary_path())
     got = packing.packed(docs, room=64).collect()
+    assert sorted(map(tuple, packing.packed(docs, room=64, together=3).select("doc_id", "piece", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in got)
     expect = []
     for i, t in texts():
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
         at = packing.cut_points(len(ids), 64)
         expect += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:]))]
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(expect)
-    bins = collections.defaultdict(list)
-    for r in got:
-        bins[r.sequence_id].append((r.offset, r.length))
-    for placed in bins.values():
-        assert [o for o, _ in sorted(placed)] == list(np.cumsum([0] + [n for _, n in sorted(placed)])[:-1]) and sum(n for _, n in placed) <= 64
+    valid_bins([(0, r.sequence_id, r.offset, r.length) for r in got], 64)
     assert packing.packed(docs.limit(0)).count() == 0
 
 
