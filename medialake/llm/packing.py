@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from heapq import heappop, heappush
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,9 @@ PIECES = T.StructType(
         T.StructField("ids_crc32", T.LongType()),
     ]
 )
-#: Pieces and gaps in a range bucket, which one task sweeps; so many or fewer are packed to the end by one task.
-TOGETHER = 20_000
+#: Pieces and gaps in a range bucket, which one task sweeps, or the square root of their number where that is more: then
+#: the table of buckets, which one task sweeps too, is no larger. So many items or fewer are packed to the end at once.
+TOGETHER = 2_000
 
 
 def cut_points(n: int, room: int) -> list[int]:
@@ -231,7 +233,8 @@ def places(lengths: DataFrame, room: int, together: int = TOGETHER) -> tuple[lis
         shortest = min(by_length)
         by_gap = {r[0]: r[1] for r in counts if r[2] and r[0] >= shortest}
         gaps = gaps.filter(F.col("gap") >= shortest)
-        if sum(by_length.values()) + sum(by_gap.values()) <= together:
+        items = sum(by_length.values()) + sum(by_gap.values())
+        if items <= together:
             return [*placed, _finished(_items(left, gaps), room, opened)], opened + sum(by_length.values())
         widest = max(by_gap, default=0)
         new = -(-sum(n * many for n, many in by_length.items() if n > widest) // room)
@@ -239,7 +242,7 @@ def places(lengths: DataFrame, room: int, together: int = TOGETHER) -> tuple[lis
             gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(room).cast("long").alias("gap")))
             by_gap[room] = by_gap.get(room, 0) + new
             opened += new
-        cuts = buckets([(n, False, rows) for n, rows in by_length.items()] + [(n, True, rows) for n, rows in by_gap.items()], together)
+        cuts = buckets([(n, False, rows) for n, rows in by_length.items()] + [(n, True, rows) for n, rows in by_gap.items()], max(together, isqrt(items)))
         # at most 2 * room rows
         table = F.broadcast(spark.createDataFrame(cuts, "size long, is_gap boolean, low long, many long"))
         dealt = _items(left, gaps).withColumn("is_gap", F.col("seq").isNotNull()).join(table, ["size", "is_gap"])
