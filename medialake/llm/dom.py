@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 
 #: Fixed values of HTML: elements without content, without text, inside a line, and those that end others.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"script", "style", "head", "title", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
+SILENT = {"script", "style", "title", "template", "svg", "math", "iframe", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
+#: Of these, what may hold its own kind, and what holds nothing but characters.
+NESTING, LITERAL = {"template", "svg", "math"}, {"script", "style", "title", "textarea", "iframe"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "body": {"head"},
+    "option": {"option"},
 }
 #: An open paragraph ends where one of these begins.
 ENDS_PARAGRAPH = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -57,28 +60,59 @@ class Node:
         self.links = self.tags = 0
 
 
+SAME = {tag: re.compile(rf"<(/?){tag}\b", re.IGNORECASE) for tag in SILENT}
+
+
 class Page(HTMLParser):
-    """Reads a page, however broken, into blocks in page order; nodes[0] is the root."""
+    """Reads a page, however broken, into blocks in page order; nodes[0] is the root.
+
+    What is inside silent elements is no text of the page. One that is never ended is none at all: what follows it is
+    read. Others end at their end tag, or at that of an element around them. The head is no element of its own: it ends
+    where something else than a title, style or script begins. What noscript and object hold is read as content.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", frozenset(), -1)]
         self.open: list[tuple[str, int]] = [("html", 0)]  # tag and block; inline elements have their block's
-        self.silent: list[str] = []
+        self.many = Counter({"html": 1})  # open elements by tag
+        self.silent: list[str] = []  # the silent element and what is open inside it
+        self.ended: dict[str, None] = {}
+        self.place = 0
         self.in_link = 0
         self.run = -1  # the block that text is being added to
         self.feed(html)
         self.close()
 
+    def parse_starttag(self, i: int) -> int:
+        self.place = i
+        return super().parse_starttag(i)
+
+    def _ends(self, tag: str) -> bool:
+        """Whether the silent element that begins here is ended: by an end tag before the next of its kind begins."""
+        if self.ended.get(tag, -1) is None:
+            return False  # it was found that none of its kind ends from here on
+        at, pattern = self.place + 1, SAME[tag]
+        found = pattern.search(self.rawdata, at)
+        while tag in NESTING and found and not found[1]:
+            found = pattern.search(self.rawdata, found.end())
+        if not found:
+            self.ended[tag] = None
+        return found is not None and found[1] == "/"
+
     def _begin(self, tag: str, attrs) -> None:
         words = [v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v]
         found = frozenset(GROUP_OF[t] for w in words for t in TOKEN.findall(CAMEL.sub(" ", w).lower()) if t in GROUP_OF)
         parent = self.open[-1][1]
         self.nodes.append(Node(tag, found, parent))
         self.nodes[parent].children.append(len(self.nodes) - 1)
-        self.open.append((tag, len(self.nodes) - 1))
+        self._push(tag, len(self.nodes) - 1)
         self.run = -1
 
+    def _push(self, tag: str, block: int) -> None:
+        self.open.append((tag, block))
+        self.many[tag] += 1
+
     def _close_back_to(self, tags: set[str]) -> None:
         """Ends the innermost open element among tags, and all inside it, unless a scope lies between."""
         for i in range(len(self.open) - 1, 0, -1):
@@ -92,20 +126,21 @@ class Page(HTMLParser):
     def _drop(self, i: int) -> None:
         for tag, _ in self.open[i:]:
             self.in_link -= tag == "a"
+            self.many[tag] -= 1
         del self.open[i:]
         self.run = -1
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.silent:
-            if tag == "body":
-                self.silent.clear()
-            else:
-                if tag == self.silent[-1] and tag not in VOID:
-                    self.silent.append(tag)
-                return
+            if self.silent[0] not in LITERAL and tag not in VOID:
+                self.silent.append(tag)
+            return
         if tag in SILENT:
-            self.silent.append(tag)
+            if self._ends(tag):
+                self.silent.append(tag)
             return
+        if tag in ("html", "head", "body"):
+            return  # the root stands for them
         block = self.nodes[self.open[-1][1]]
         block.tags += 1
         if tag in VOID:
@@ -116,7 +151,7 @@ class Page(HTMLParser):
                 self.run = -1
             return
         if tag in INLINE:
-            self.open.append((tag, self.open[-1][1]))
+            self._push(tag, self.open[-1][1])
             self.in_link += tag == "a"
             return
         if tag in ENDS_PARAGRAPH:
@@ -130,6 +165,11 @@ class Page(HTMLParser):
             if tag in self.silent:
                 while self.silent.pop() != tag:
                     pass
+                return
+            if self.silent[0] in LITERAL or tag in INLINE or not self.many[tag]:
+                return
+            self.silent.clear()  # an element around it ends
+        if not self.many[tag] or tag == "html":
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
@@ -140,6 +180,7 @@ class Page(HTMLParser):
 
     def _end_inline(self, i: int) -> None:
         self.in_link -= self.open[i][0] == "a"
+        self.many[self.open[i][0]] -= 1
         del self.open[i]
 
     def handle_data(self, data: str) -> None:
@@ -160,6 +201,8 @@ class Page(HTMLParser):
 
 
 N_GROUPS = len(WORDS)
+#: Bits of a count in the one number that holds the counts of all groups below a block.
+LANE = 32
 NAMES = [
     "depth", "chars", "links", "tag_density", "blocks", "paragraphs", "of_page", "of_parent", "place", "siblings", "alike", "leaf_chars", "stops", "start",
     "leaves", "only_child", "parent_links", "before_chars", "after_chars", *[f"tag{i}" for i in range(len(TAGS))], *[f"own_{g}" for g in WORDS], *[f"above_{g}" for g in WORDS],
@@ -175,7 +218,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
     parent = [node.parent for node in nodes]
     chars, links, tags, blocks, paras, stops, leaves, has = ([0] * n for _ in range(8))
-    below = np.zeros((n, N_GROUPS), np.float32)
+    below, own_words = [0] * n, [sum(1 << LANE * g for g in node.groups) for node in nodes]
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         if node.text:
@@ -195,11 +238,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             blocks[p] += blocks[i] + 1
             paras[p] += paras[i] + (node.tag == "p")
             has[p] |= has[i] | (node.tag in ABOVE[0]) | (node.tag == "h1") << 1
-            for g in node.groups:
-                above = p
-                while above >= 0:
-                    below[above, g] += 1
-                    above = parent[above]
+            below[p] += below[i] + own_words[i]
     depth, start, kids, place, alike, over, within = ([0] * n for _ in range(7))
     own = [sum(1 << g for g in node.groups) for node in nodes]
     kids[0] = 1
@@ -238,4 +277,5 @@ def features(nodes: list[Node]) -> np.ndarray:
         if node.tag in TAG_GROUP:
             kind[i, TAG_GROUP[node.tag]] = 1
     bits = lambda masks, k: (np.array(masks)[:, None] >> np.arange(k)) & 1
-    return np.concatenate([head, kind, bits(own, N_GROUPS), bits(over, N_GROUPS), np.log1p(below), bits(within, len(ABOVE)), bits(has, 2)], axis=1).astype(np.float32)
+    counts = np.frombuffer(b"".join(x.to_bytes(N_GROUPS * LANE // 8, "little") for x in below), "<u4").reshape(n, N_GROUPS)
+    return np.concatenate([head, kind, bits(own, N_GROUPS), bits(over, N_GROUPS), np.log1p(counts), bits(within, len(ABOVE)), bits(has, 2)], axis=1).astype(np.float32)

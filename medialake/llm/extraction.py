@@ -155,8 +155,10 @@ def blocks_of(nodes: list[Node], kept: np.ndarray) -> str:
 def main_text(pages: DataFrame, model: tuple[Boosted, Boosted] | None = None, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """Main text of each page from its whole html, in one pass where the rows lie.
 
-    Null and empty pages, and pages without an article, have an empty text; repeated rows are read each. All columns
-    of pages but the html stay, so a column `text` among them would clash and is replaced.
+    Null and empty pages, and pages without an article, have an empty text; repeated rows are read each; very long or
+    deep pages take time in proportion to their size; where keeping and dropping are equally likely (ties), a block is
+    kept. All columns of pages but the html stay, so a column `text` among them would clash and is replaced; an empty
+    table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages.sparkSession))
 

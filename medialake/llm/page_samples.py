@@ -93,6 +93,8 @@ class Maker:
 
     def notice(self) -> str:
         inside = self.el("p", self.text(1, 3)) if self.r.random() < 0.6 else self.text(1, 3)
+        if self.r.random() < 0.1:
+            return self.el("noscript", inside, mark=DROP)
         return self.drop(["div", "div", "section", "aside"], inside + self.r.choice(["", "<button>OK</button>"]), "cookie-notice", "cookie", "consent", "notice", "newsletter", "alert", "gdpr", "popup", "subscribe", "paywall")
 
     def aside(self) -> str:
@@ -132,7 +134,8 @@ class Maker:
             kind = r.random()
             if kind < 0.78:
                 body = self.text()
-                parts.append(f"<p><b>{body}<br>" if r.random() < 0.08 else self.el(r.choice(["p"] * 9 + ["div"]), body))
+                odd = r.choice([f"<p><{r.choice(['i', 'span', 'strong', 'u', 'font'])}>{body}", f"<p>{body}<br><br>{self.text(1, 2)}", f"<p>{body}</span></p>"])
+                parts.append(odd if r.random() < 0.08 else self.el(r.choice(["p"] * 9 + ["div"]), body))
             elif kind < 0.86:
                 parts.append(self.el(r.choice(["h2", "h3"]), self.sentence(1, 8)))
             elif kind < 0.91:
@@ -142,7 +145,8 @@ class Maker:
             elif kind < 0.98:
                 parts.append(self.el("table", "".join(self.el("tr", "".join(self.el("td", self.sentence(1, 3)) for _ in range(3))) for _ in range(r.randint(1, 4)))))
             else:
-                parts.append(self.el("figure", "<img src=x>" + self.el("figcaption", self.sentence())))
+                inside = r.choice(["<img src=x>", "<noscript><img src=x></noscript>", f"<object data=x>{self.el('p', self.sentence())}</object>"])
+                parts.append(self.el("figure", inside + self.el("figcaption", self.sentence())))
         if r.random() < 0.12:  # sections inside
             half = len(parts) // 2
             parts = [*parts[:half], self.el("section", "".join(parts[half:]))]
@@ -183,7 +187,9 @@ class Maker:
             middle = self.el("div", middle, self.attrs("container", "wrap"))
         body = "".join(before) + middle + "".join(after) + self.some("footer")
         end = "" if r.random() < 0.1 else "</body></html>"
-        return f'<!DOCTYPE html><html><head><title>{self.sentence(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body{self.attrs("page", "home")}>{body}{end}'
+        heads = [f"<title>{self.sentence(2, 9)}</title>", f"<style>.{self.word()}{{color:#{r.randint(100, 999)}}}</style>", f"<script>{self.word()}({r.randint(1, 99)})</script>", f'<meta name="{self.word()}" content="{self.sentence(2, 9)}">', f'<link rel="{self.word()}" href="/{self.word()}">']
+        head = "".join(r.sample(heads, r.randint(1, len(heads))))
+        return f'<!DOCTYPE html><html><head>{head}</head><body{self.attrs("page", "home")}>{body}{end}'
 
 
 def page(seed: int) -> str:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medialake.llm import components, decontamination, extraction, fingerprints, jaccard_join, packing, secret_scans, sharding, token_counts, toxicity, warc
+from medialake.llm import components, decontamination, dom, extraction, fingerprints, jaccard_join, packing, secret_scans, sharding, token_counts, toxicity, warc
 from medialake.llm.encoding import vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -487,6 +487,49 @@ def test_extraction_of_other_layouts(spark):
     assert got[5] == f"Title of it\n{text}\n{text} & more of it"
 
 
+STORY = "This is a sentence of the story, which goes on for a while and says something. And so does the next one, with more words."
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ("<body><button>x", "</body>"), ("<body><select><option>x", "</body>"), ("<body><noscript>", "</body>"), ("<body><object data=x>", "</object></body>"), ("<body><title>x", "</body>"),
+        ("<html><head><title>x</title>", "</html>"), ("<body><svg><path>", "</body>"), ("<body><video src=x>", "<button>ok</button></body>"), ("<div><button>x</div>", "<button>ok</button>"),
+        ("<button>one<button>two</button>", "<select><option>a</select>"), ("<head><style>p{}</style>", ""), ("<body><textarea>", ""), ("<iframe src=x></iframe><template><p>no</p></template>", ""),
+    ],
+)
+def test_unended_elements_lose_nothing(before, after):
+    nodes = dom.Page(f"{before}<article><h1>Title</h1><p>{STORY}</p><p>{STORY}</p></article>{after}").nodes
+    said = "\n".join(" ".join("".join(n.text).split()) for n in nodes if n.text)
+    assert said.count(STORY) == 2 and "<p>" not in said and "no" not in said.replace("\n", " ").split()
+
+
+def test_silent_elements_stay_silent():
+    page = "<p>a<button>b<div>c</div></button>d</p><select><option>e</option></select><textarea><p>f</p></textarea><svg><svg><text>g</text></svg>h</svg><script>'</p>i'</script><title>j<b>k</title>l"
+    assert "".join("".join(n.text) for n in dom.Page(page).nodes) == "adl"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for _ in range(2):
+        nodes = dom.Page('<div class="menu nav x">' * 30_000 + "deep" + "</span></div>" * 30_000).nodes
+        x = dom.features(nodes)
+    assert len(x) == 30_002 and time.time() - began < 20
+    assert np.isclose(x[0][dom.NAMES.index("below_menu")], np.log1p(30_000)) and x[-1][dom.NAMES.index("below_menu")] == 0
+
+
+def test_extraction_on_awkward_tables(spark):
+    html = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{STORY}</p></article></body>"
+    rows = [(1, "u", html, "clash", 5), (1, "u", html, "clash", 5), (2, None, None, "clash", None), (3, "v", "<p>" * 20 + "x" * 100_000, None, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, keep int")
+    got = extraction.main_text(df)
+    assert got.columns == ["page_id", "url", "keep", "text"] and extraction.main_text(df.limit(0)).count() == 0
+    told = sorted((r.page_id, r.text) for r in got.collect())
+    assert told[:3] == [(1, f"Title\n{STORY}")] * 2 + [(2, "")] and len(told) == 4
+
+
 def test_made_up_pages_held_out(spark):
     keep, mixed = extraction.fit(spark)
     right = wrong = missed = 0
