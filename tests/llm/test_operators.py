@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from medialake.llm import components, decontamination, dom, extraction, fingerprints, jaccard_join, packing, secret_scans, sharding, token_counts, toxicity, warc
@@ -70,6 +71,52 @@ def test_fingerprints(spark, docs, monkeypatch):
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
 
 
+def brute_print(text):
+    """Dense sums, lane counts and pieces of a text, and its fingerprint."""
+    dense, counts, pieces = [0] * 16, np.zeros(128, np.int64), collections.Counter()
+    for para in text.split("\n"):
+        h = hashlib.sha512(para.encode()).digest()
+        dense = [(d + int.from_bytes(h[4 * i : 4 * i + 4])) % 2**32 for i, d in enumerate(dense)]
+        pieces.update(re.findall(r"(?s).{1,64}?(?:(?<=[sdnr.,;:!?])[ \t\x0b\f\r]+|\Z)|.{1,64}", para) if para else [""])
+    for p, many in pieces.items():
+        for half, x in enumerate((p, p + "\n")):
+            h = xxhash.xxh64_intdigest(x.encode(), seed=42)
+            counts[64 * half : 64 * half + 64] += many * np.array([(h >> i) & 1 for i in range(64)])
+    packed = [(int(counts[64 * half + 32 + i]) << 32) + int(counts[64 * half + i]) for half in (0, 1) for i in range(32)]
+    raw = b"".join(d.to_bytes(4) for d in dense) + b"".join(p.to_bytes(8) for p in packed) + sum(pieces.values()).to_bytes(8)
+    return base64.b64encode(raw).decode(), 2 * counts - sum(pieces.values()), pieces
+
+
+def test_fingerprints_match_brute_force(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(70).collect()]
+    rows += [(10_000 + i, t or "") for i, (_, t) in enumerate(AWKWARD[:-1])]
+    got = {int(r.key): r for r in fingerprints.fingerprints(spark.createDataFrame([(f"{i:06d}", t) for i, t in rows], "key string, text string"), id_column="key").collect()}
+    errors = []
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, following = map(brute_print, (t, edited, after))
+        r = got[i]
+        assert r.fingerprint == own[0] and r.edited_fingerprint == changed[0] and r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for near, other in ((r.near_edited, changed), (r.near_next, following)):
+            a, b = own[1].astype(float), other[1].astype(float)
+            norm = np.sqrt((a @ a) * (b @ b))
+            assert abs(near - (1.0 if own[0] == other[0] else max(0, min(0.999, a @ b / norm)))) < 1e-9
+            x, y = own[2], other[2]
+            cosine = sum(x[p] * y[p] for p in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            errors.append(near - cosine)
+    assert np.sqrt(np.mean(np.square(errors))) < 0.09 and max(map(abs, errors)) < 0.36
+
+
+def test_an_inserted_character_keeps_fingerprints_near(spark):
+    r = random.Random(3)
+    lexicon = ["".join(r.choice("abcdefghilmnoprstuvz") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    line = " ".join(r.choice(lexicon) for _ in range(400))
+    rows = [(1, line), (2, line[:700] + "x" + line[700:]), (3, line[:5] + line[6:]), (4, " ".join(r.choice(lexicon)[::-1] + "k" for _ in range(400)))]
+    near = [x.near_next for x in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert near[0] > 0.9 and near[1] > 0.9 and near[2] < 0.4
+
+
 def test_fingerprints_ignore_order_and_add_up(spark):
     df = spark.createDataFrame([(1, "one\ntwo\nthree"), (2, "three\none\ntwo"), (3, "one\ntwo"), (4, "three")], "id long, text string")
     lanes = fingerprints.sums(df, ["id"], "text")
