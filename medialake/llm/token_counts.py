@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter as Times
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,56 +13,95 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import text_of
 from .encoding import Known, encoder, vocabulary_path
 
-#: Slots of the broadcast table, a power of two: 8 + 1 bytes each, so 1.2 MB whatever the input.
-SLOTS = 1 << 17
+#: Documents whose pre-tokens are counted to choose the frequent ones: whichever Spark reads first. The choice decides
+#: which tier answers, never a result.
+SAMPLE_ROWS = 2_000
+#: Frequent pre-tokens, at most, and slots of their table, a power of two: 8 + 4 + 1 bytes each, so 1.7 MB at any size.
+FREQUENT, SLOTS = 60_000, 1 << 17
+#: Slots that an entry may lie behind its own.
+STEPS = 8
 
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def slot_hash(piece: str) -> int:
-    return xxhash.xxh3_64_intdigest(piece)
 
+def hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pre-token a 64-bit key and a 32-bit check of another hash: equal keys alone are no match."""
+    return np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64), np.array([xxhash.xxh32_intdigest(p) for p in pieces], np.uint32)
 
-def frequent_table(path: str, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """An open hash table (keys, lengths) of the pre-tokens that are entries of the vocabulary.
 
-    A byte-level vocabulary holds the most frequent pre-tokens of the text it was made from, so its own entries are
-    the frequent tier: a fixed number of them, found without a pass over the corpus and without a shuffle. Each entry
-    is encoded, so a length is exact even if merges don't reach the entry. Keys are 64-bit hashes; an entry whose slot
-    run is full is left out and counts as a miss.
-    """
-    coder = encoder(path)
-    entries = [coder.tokenizer.decode([i]) for i in range(coder.tokenizer.get_vocab_size())]
-    entries = [e for e in dict.fromkeys(entries) if e and "�" not in e and coder.plainly(e) and coder.split(e) == [e]]
-    keys, lengths = np.zeros(slots, np.uint64), np.zeros(slots, np.uint8)
-    for entry, ids in zip(entries, coder.tokenizer.encode_batch(entries, add_special_tokens=False)):
-        h = slot_hash(entry)
-        for step in range(8):
-            at = (h + step) % slots
-            if keys[at] == 0:
-                keys[at], lengths[at] = h, len(ids.ids)
+def table_of(lengths: dict[str, int], slots: int = SLOTS) -> Table:
+    """An open hash table (keys, checks, lengths) of pre-tokens; one whose run of slots is full, or too long, is left out."""
+    keys, checks, counts = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.uint8)
+    for h, c, n in zip(*hashes(list(lengths)), lengths.values()):
+        for at in ((int(h) + step) % slots for step in range(STEPS)):
+            if counts[at] == 0 and 0 < n < 256:
+                keys[at], checks[at], counts[at] = h, c, n
                 break
-    return keys, lengths
+    return keys, checks, counts
 
 
-class Counter:
-    """Lengths by pre-token: first the broadcast table, then what this worker has encoded before, then the library."""
+def looked_up(table: Table, pieces: list[str]) -> np.ndarray:
+    """Lengths of pre-tokens in the table, 0 for those that it lacks."""
+    keys, checks, counts = table
+    h, c = hashes(pieces)
+    found = np.zeros(len(pieces), np.int64)
+    for step in range(STEPS):
+        at = ((h + np.uint64(step)) % np.uint64(len(keys))).astype(np.int64)
+        here = (found == 0) & (keys[at] == h) & (checks[at] == c)
+        found[here] = counts[at[here]]
+    return found
+
+
+def frequent_table(texts: DataFrame, path: str | None, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> Table:
+    """The table of the pre-tokens that `rows` of the texts (column text) have most often, each twice or more.
 
-    def __init__(self, path: str, table: tuple[np.ndarray, np.ndarray]):
-        self.coder, (keys, lengths) = encoder(path), table
-        self.slots = len(keys)
-        self.frequent = {int(k): int(n) for k, n in zip(keys, lengths) if k}
-        self.known = Known(self._find)
+    Spark counts them; the driver encodes at most `most` of them.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = encoder(path or vocabulary_path())
+        for batch in batches:
+            times = Times(p for t in batch["text"] if coder.plainly(t) for p in coder.split(t))
+            yield pd.DataFrame({"piece": list(times), "n": list(times.values())})
 
-    def _find(self, piece: str) -> int:
-        n = self.frequent.get(slot_hash(piece))
-        return len(self.coder.tokens(piece)) if n is None else n
+    counted = texts.select("text").limit(rows).mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = [r.piece for r in counted.filter("n > 1").orderBy(F.desc("n"), "piece").limit(most).collect()]
+    coder = encoder(path or vocabulary_path())
+    return table_of({p: len(coder.tokens(p)) for p in top})
 
-    def count(self, text: str) -> int:
-        if not self.coder.plainly(text):
-            return len(self.coder.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.known.__getitem__, self.coder.split(text)))
 
+class _Numbers(dict):
+    """Numbers distinct pre-tokens in the order they come."""
 
-#: One per worker process and vocabulary, kept from task to task.
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
+class Counter:
+    """Tokens of texts: each distinct pre-token is looked up in the table, then in this worker's cache of misses."""
+
+    def __init__(self, path: str, table: Table):
+        self.coder, self.table = encoder(path), table
+        self.missed = Known(lambda piece: len(self.coder.tokens(piece)))
+
+    def count(self, texts: list[str]) -> list[int]:
+        numbers, at, out = _Numbers(), [], [0] * len(texts)
+        for i, text in enumerate(texts):
+            if self.coder.plainly(text):
+                at.append((i, np.fromiter(map(numbers.__getitem__, self.coder.split(text)), np.int64)))
+            else:
+                out[i] = len(self.coder.tokenizer.encode(text, add_special_tokens=False).ids)
+        pieces = list(numbers)
+        lengths = looked_up(self.table, pieces)
+        for j in np.flatnonzero(lengths == 0).tolist():
+            lengths[j] = self.missed[pieces[j]]
+        for i, codes in at:
+            out[i] = int(lengths[codes].sum())
+        return out
+
+
+#: One per worker process and vocabulary, kept from task to task, so that its cache is.
 COUNTERS: dict[str, Counter] = {}
 
 
@@ -70,24 +110,26 @@ def token_counts(
 ) -> DataFrame:
     """Tokens of each whole text, without special tokens added; special strings in a text are read as special.
 
-    One pass over the rows where they lie: no shuffle. The broadcast table has a fixed size. A worker's cache is
-    bounded; pre-tokens in neither are encoded by the library. Null texts are empty and have 0 tokens; repeated rows
-    are counted each; other columns are ignored. Returns id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+    One pass over the rows where they lie: no shuffle of pre-tokens. The broadcast table has a fixed size. A worker's
+    cache is bounded and holds what the table lacks; pre-tokens in neither are encoded by the library. Null texts are
+    empty and have 0 tokens; repeated rows are counted each, equal texts alike (ties); very long texts are split whole;
+    an empty table gives no rows; other columns are ignored. Returns id, n_bytes, n_tokens, over_limit (n_tokens > limit).
     """
-    path = path or vocabulary_path()
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_table(path))
+    text = text_of(docs, text_column)
+    rows = docs.select(docs[id_column].alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_table(rows, path))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in COUNTERS:
-            COUNTERS[path] = Counter(path, shared.value)
-        one = COUNTERS[path]
+        here = path or vocabulary_path()  # where this worker's machine keeps it
+        if here not in COUNTERS:
+            COUNTERS[here] = Counter(here, shared.value)
+        one = COUNTERS[here]
+        one.table = shared.value
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": [one.count(t) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": one.count(list(batch["text"]))})
 
     kind = docs.schema[id_column].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    text = text_of(docs, text_column)
-    rows = docs.select(docs[id_column].alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return rows.mapInPandas(count, schema).select(
         F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
