@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -58,20 +59,38 @@ def automaton(items: list[tuple[str, str]], size: int = WINDOW):
     return auto if owners else None
 
 
+def _parts(item: str, text: str, most: int) -> Iterator[tuple[str, str]]:
+    """An item, in parts of at most `most` bytes of windows that share windows' ends, so that they have its windows."""
+    if WINDOW * len(text) <= most:
+        yield item, text
+        return
+    w = [x.decode() for x in words(text)]
+    step = max(1, most * len(w) // max(1, WINDOW * len(text)))
+    for i in range(0, max(1, len(w) - WINDOW + 1), step):
+        yield item, " ".join(w[i : i + step + WINDOW - 1])
+
+
 def blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int) -> Iterator[list[tuple[str, str]]]:
     """The items, a bounded number of bytes at a time: the query set, which all texts are held against."""
     rows = benchmark.select(benchmark[id_column].cast("string").alias("i"), benchmark[text_column].alias("t"))
     block, held = [], 0
     for row in rows.filter("t is not null").toLocalIterator():
-        cost = WINDOW * len(row.t)  # windows of one item repeat its words
-        if block and held + cost > most:
-            yield block
-            block, held = [], 0
-        block.append((row.i, row.t))
-        held += cost
+        for item, text in _parts(row.i, row.t, most):
+            cost = WINDOW * len(text)  # windows of one item repeat its words
+            if block and held + cost > most:
+                yield block
+                block, held = [], 0
+            block.append((item, text))
+            held += cost
     yield block
 
 
+def _several(parts: Iterator[list[tuple[str, str]]]) -> tuple[list[tuple[str, str]], Iterator[list[tuple[str, str]]] | None]:
+    """The first block, and all of them where there are more: no more than two are held at once."""
+    first, second = next(parts), next(parts, None)
+    return first, None if second is None else chain((first, second), parts)
+
+
 def hits(w: list[bytes], auto) -> tuple[np.ndarray, list[int]] | None:
     """Which words lie in windows that occur, and the indices of the items these come from; None if none does."""
     if auto is None or not w:
@@ -107,7 +126,7 @@ def merged(hit: list[list[int]]) -> list[list[int]]:
 
 
 def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[str, str]], as_spans: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, automaton(items)))
+    shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in items], automaton(items)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         listed, auto = shared.value
@@ -123,7 +142,7 @@ def _scan(docs: DataFrame, id_column: str, text_column: str, items: list[tuple[s
                 at = spans(text)
                 each = [[i, *at[i]] for i in np.flatnonzero(hit).tolist()]
                 runs = merged(each) if as_spans else each
-                out.append((len(w), int(hit.sum()), runs, [listed[i][0] for i in who]))
+                out.append((len(w), int(hit.sum()), runs, list(dict.fromkeys(listed[i] for i in who))))
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
@@ -159,14 +178,16 @@ def contamination(
 
     The items' windows make one automaton (several, one after another, where they exceed block_bytes), which runs
     once over each text's normalised words; offsets are mapped back to the original, so `hits` are spans of code
-    points. Documents stay where they are with one block; with more, rows are numbered and stored once, and what the
-    blocks find in a row is united by its number, so results are the same for any number of blocks. Each row has its
-    own verdict, whether its id is null, repeated or neither. Null texts have no words, null items no windows; an
-    empty benchmark leaves everything clean; ties don't arise. Returns id, n_words, n_hit, hits, items.
+    points. Documents stay where they are with one block; with more, rows are numbered and stored once, blocks are made
+    and scanned for one at a time, and what they find in a row is united by its number, so results are the same for any
+    number of blocks; an item larger than a block is cut into parts that have its windows. Each row has its own
+    verdict, whether its id is null, repeated or neither. Null texts have no words, null items no windows; very long
+    texts are scanned whole, in time in proportion; an empty benchmark leaves everything clean, an empty table gives
+    no rows; ties don't arise. Returns id, n_words, n_hit, hits, items.
     """
-    parts = [b for b in blocks(benchmark, item_id, item_text, block_bytes)]
-    if len(parts) == 1:
-        return _scan(docs, id_column, text_column, parts[0], True).withColumnRenamed("id", id_column)
+    first, parts = _several(blocks(benchmark, item_id, item_text, block_bytes))
+    if parts is None:
+        return _scan(docs, id_column, text_column, first, True).withColumnRenamed("id", id_column)
     rows = _numbered(docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text")))
     return _united(rows, "text", parts).join(rows.select(ROW, "id"), ROW).select(F.col("id").alias(id_column), "n_words", "n_hit", "hits", "items")
 
@@ -176,11 +197,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def _united(rows: DataFrame, text_column: str, parts: list[list[tuple[str, str]]]) -> DataFrame:
-    """What all blocks find in each numbered row: ROW, n_words, n_hit, hits, items."""
+def _united(rows: DataFrame, text_column: str, parts: Iterator[list[tuple[str, str]]]) -> DataFrame:
+    """What all blocks find in each numbered row: ROW, n_words, n_hit, hits, items.
+
+    Each block's finds are stored before the next block is made; after the first, of the rows with hits only.
+    """
     found = None
     for part in parts:
         one = _scan(rows, ROW, text_column, part, False)
+        one = stored(one if found is None else one.filter("n_hit > 0"), "hits")
         found = one if found is None else found.union(one)
 
     @F.pandas_udf("array<array<bigint>>")
@@ -213,12 +238,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     With one block of items rows are judged where they lie; with more, the numbers of contaminated rows are joined
     away. Each row is judged by its own text, whatever its id.
     """
-    parts = list(blocks(benchmark, "item_id", "text", block_bytes))
-    if len(parts) > 1:
+    first, parts = _several(blocks(benchmark, "item_id", "text", block_bytes))
+    if parts is not None:
         rows = _numbered(docs)
         bad = verdicts(_united(rows, text_column, parts), ROW).filter("contaminated").select(ROW)
         return rows.join(bad, ROW, "left_anti").select(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton(parts[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(automaton(first))
 
     @F.pandas_udf("boolean")
     def bad(texts: pd.Series) -> pd.Series:
