@@ -315,34 +315,36 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     4. Candidates are verified exactly on their whole sets.
 
     Texts leave their tasks as index keys, and as sets where a candidate needs them. Null and empty texts have empty
-    sets and are alone. Rows with equal ids and equal texts stay apart in the result; ids should not be null and be
-    distinct where texts differ. Other columns are ignored; an empty table gives no rows.
+    sets and are alone; very long ones are sets like others. Repeated rows stay apart in the result, with one
+    component. A row without an id is linked with nothing: its component is null. Rows of one id with different texts
+    are each judged by their own; where that id is the smallest of both texts' copies, links of one count for the
+    other too. Other columns are ignored; an empty table gives no rows.
     Returns id, n_shingles, component_id (the smallest id reachable by links).
     """
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
     length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     index = _indexed(rows, _tables(rows, length // 6))  # about six bytes a word
     members = index.filter("key is null").select("id", "n", "c1", "c2")
-    classes = stored(members.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "class-reps")
+    classes = stored(members.filter("id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "class-reps")
     found = _components_of_classes(rows, classes, index.filter("key is not null"))
     by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("component"))
-    return members.join(by_class, ["c1", "c2"]).select(
+    return members.join(by_class, ["c1", "c2"], "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
 def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
     """Labels (id, label) of the classes, by their smallest ids, that link with others."""
-    per_key = W.partitionBy("key")
-    met = (
-        postings.repartition("key")
-        .groupBy("key", "c1", "c2")
-        .agg(*[F.first(c).alias(c) for c in ("n", "kind", "often", "rest")])
-        .withColumn("met", F.count(F.lit(1)).over(per_key))
-        .filter("met > 1")
-    )
+    first = [F.first(c).alias(c) for c in ("n", "kind", "often", "rest")]
+    # a rare key has RARE_MOST documents at most: one shuffle deals it, and a window counts its classes
+    rare = postings.filter(F.col("kind") == RARE).repartition("key").groupBy("key", "c1", "c2").agg(*first)
+    rare = rare.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("met > 1")
+    # other keys may be hot: distinct classes are dealt by key and class, counts combined before they are
+    other = stored(postings.filter(F.col("kind") != RARE).groupBy("key", "c1", "c2").agg(*first), "frequent-postings")
+    counts = other.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    met = rare.unionByName(other.join(counts, "key").select(rare.columns))
     posted = met.join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2"]).select("key", "id", "n", "kind", "often", "rest", "met")
     posted = stored(posted, "postings")
     hot = posted.filter(F.col("met") > HOT)
@@ -352,8 +354,10 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
         entry = F.struct((-F.col("size")).alias("order"), F.xxhash64("id", "key", F.lit(turn)).alias("turn"), "id", "n", "kind", "often", "label")
         if not turn:
             entry = F.struct(F.col("id").alias("order"), F.col("id").alias("turn"), "id", "n", "kind", "often", "label")
-        here = _crossing(hot, labels)
-        pivots = here.withColumn("pivot", F.min(entry).over(per_key)).filter("pivot.label != label").select(F.struct("id", "n", "kind", "often").alias("one"), F.col("pivot").alias("other"))
+        here = _labelled(hot, labels)
+        # keys that more than one component has; their pivots come of an aggregate, as a hot key is no group for one task
+        per = here.groupBy("key").agg(F.min(entry).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key", "pivot")
+        pivots = here.join(per, "key").filter("pivot.label != label").select(F.struct("id", "n", "kind", "often").alias("one"), F.col("pivot").alias("other"))
         pairs = pivots.filter(_may_link("one", "other")).groupBy(F.col("one.id").alias("a"), F.col("other.id").alias("b")).count()
         first = F.row_number().over(W.partitionBy("a").orderBy(F.desc("count"), "b"))
         if not turn:  # classes that could link with a pivot are the ones that later rounds look at
@@ -386,14 +390,12 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
     return components(new if edges is None else edges.union(new))
 
 
-def _crossing(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings of the keys that more than one component has, with their labels and these components' sizes."""
+def _labelled(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with the labels of their components and these components' sizes."""
     if labels is None:  # every class is alone
         return posted.withColumns({"label": F.col("id"), "size": F.lit(1)})
-    per_key = W.partitionBy("key")
     sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
-    labelled = posted.join(sized, "id", "left").withColumns({"label": F.coalesce("label", "id"), "size": F.coalesce("size", F.lit(1))})
-    return labelled.withColumns({"low": F.min("label").over(per_key), "high": F.max("label").over(per_key)}).filter("low != high").drop("low", "high")
+    return posted.join(sized, "id", "left").withColumns({"label": F.coalesce("label", "id"), "size": F.coalesce("size", F.lit(1))})
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -15,7 +15,8 @@ def byte_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", te
     whose middle byte lies in [k, k + 1) * total / shards belongs to shard k. Only narrow rows (id, size, checksum)
     are shuffled, never texts, and no bucket is a group of equal keys: copies and sources play no part.
 
-    Null ids come first, repeated ids are ordered by checksum and size; an empty table gives no rows. Columns of docs
+    Null ids come first, repeated ids (ties) are ordered by checksum and size; repeated rows stay; a very long text is
+    one row, and makes its shard as much larger; an empty table gives no rows. Columns of docs
     other than id and text are ignored. Returns id, size, text_crc32, law, shard, slot, grown_shard.
     """
     text = text_of(docs, text_column)

@@ -53,6 +53,21 @@ def test_shards_are_even_and_many_buckets_change_nothing(spark, monkeypatch):
     assert max(per_shard.values()) - min(per_shard.values()) < 2 * max(r[1] for r in plain)
 
 
+@pytest.mark.parametrize("shards", [1, 4, 16])
+def test_shards_match_prefix_sums(spark, shards):
+    """Shard and slot of each row against plain prefix sums over rows in order of id, checksum and size."""
+    rows = [(i, t or "") for i, t in AWKWARD] + [(None, "no id"), (None, "")] + [(x.doc_id + 100, x.text or "") for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).collect()
+    keyed = sorted((i is not None, i or 0, zlib.crc32(t.encode()), len(t.encode()) + 1, i) for i, t in rows)
+    total, before, expect, slots = sum(k[3] for k in keyed), 0, [], collections.Counter()
+    for _, _, crc, size, i in keyed:
+        shard = min(shards - 1, math.floor((before + size / 2) * shards / total))
+        expect.append((i, size, crc, "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        before += size
+    assert sorted(map(tuple, got), key=repr) == sorted(expect, key=repr)
+
+
 def test_fingerprints(spark, docs, monkeypatch):
     expect = {}
     order = sorted(texts(), key=lambda x: x[0])
@@ -186,6 +201,14 @@ def test_jaccard_join_on_awkward_rows(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7, 8] and kept.columns == docs.columns
 
 
+def test_jaccard_join_without_ids_and_with_repeated_ones(spark):
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    rows = [(None, same), (None, "alone in the world"), (5, same), (3, near), (7, near), (7, "another text that is by itself"), (9, same), (None, None)]
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expect = [(None, 56, None), (None, 1, None), (5, 56, 3), (3, 55, 3), (7, 55, 3), (7, 2, 7), (9, 56, 3), (None, 0, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(expect, key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join_on_hot_groups(spark, seed):
     """Near copies of a few texts, so many that their shingles are frequent, with all degrees of change; short ones too."""
@@ -513,7 +536,7 @@ def test_decontamination(spark, docs):
     rows = [(1, f"x {long_item} y"), (2, "a short-item; short item item short"), (3, None), (4, ""), (5, "w3 w4 w4 w3 w4"), (6, "w0 w1 w2"), (7, "É É中 é中 " * 3), (8, " ".join(f"v{i}" for i in range(100)) + " short item")]
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     expect = brute_contamination(rows, items)
-    for size in (1 << 20, 40):  # one block, and one block an item
+    for size in (1 << 20, 40, 600):  # one block, one block an item or part of it, and blocks of parts
         got = decontamination.verdicts(decontamination.contamination(df, bench, block_bytes=size)).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == expect
         kept = {r.doc_id for r in decontamination.clean(df, bench, block_bytes=size).collect()}
