@@ -343,7 +343,8 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
     rare = rare.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("met > 1")
     # other keys may be hot: distinct classes are dealt by key and class, counts combined before they are
     other = stored(postings.filter(F.col("kind") != RARE).groupBy("key", "c1", "c2").agg(*first), "frequent-postings")
-    counts = other.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    # stored, so that the join reads plain shuffles of both sides and AQE can split hot keys
+    counts = stored(other.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "frequent-keys")
     met = rare.unionByName(other.join(counts, "key").select(rare.columns))
     posted = met.join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2"]).select("key", "id", "n", "kind", "often", "rest", "met")
     posted = stored(posted, "postings")
@@ -356,7 +357,8 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
             entry = F.struct(F.col("id").alias("order"), F.col("id").alias("turn"), "id", "n", "kind", "often", "label")
         here = _labelled(hot, labels)
         # keys that more than one component has; their pivots come of an aggregate, as a hot key is no group for one task
-        per = here.groupBy("key").agg(F.min(entry).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key", "pivot")
+        per = here.groupBy("key").agg(F.min(entry).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        per = stored(per.select("key", "pivot"), "pivots")
         pivots = here.join(per, "key").filter("pivot.label != label").select(F.struct("id", "n", "kind", "often").alias("one"), F.col("pivot").alias("other"))
         pairs = pivots.filter(_may_link("one", "other")).groupBy(F.col("one.id").alias("a"), F.col("other.id").alias("b")).count()
         first = F.row_number().over(W.partitionBy("a").orderBy(F.desc("count"), "b"))
@@ -405,5 +407,6 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     whole = docs.filter(docs[id_column].isNotNull())
     kept = linked(whole, id_column, text_column).filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("kept_id"))
-    chosen = whole.join(stored(kept, "kept"), whole[id_column] == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
+    kept = stored(kept, "kept")
+    chosen = whole.join(kept, whole[id_column] == kept["kept_id"], "left_semi").dropDuplicates([id_column])
     return chosen.unionByName(docs.filter(docs[id_column].isNull()))
