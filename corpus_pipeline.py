@@ -9,28 +9,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from medialake.llm import decontamination, jaccard_join, packing, secret_scans, toxicity
 from medialake.llm.common import scratch, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that score as toxic."""
-    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select(COLUMNS)
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by shingles (five words, 0.8)."""
-    return jaccard_join.one_of_each(docs).select(COLUMNS)
+    return jaccard_join.one_of_each(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents contaminated by benchmark items."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents and replaces the secrets in their texts."""
     cleaned = secret_scans.redacted(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents."""
+    """All stages over all documents; all columns of documents go through the filtering stages.
+
+    Rows without an id and repeated rows: near copies keep each row without an id, and one of the rows of an id. Null
+    texts stay, as empty ones; an empty table gives no rows; very long texts go through whole.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{scratch(spark)}/stage-{name}-{uuid.uuid4().hex}"
