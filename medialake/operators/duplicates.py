@@ -11,8 +11,8 @@ from ..functions.vectors import hamming_hex
 from .catalog import active
 from .graph import components
 
-#: A 64-bit hash in 9 bands: 8 differing bits leave at least one band equal.
-BANDS = [(i * 7, 7 if i < 8 else 8) for i in range(9)]
+#: Hashes that may share a band before it is dealt to several tasks.
+TOGETHER = 1_000
 
 
 def exact_groups(items: DataFrame, key: str = "sha256") -> DataFrame:
@@ -30,21 +30,81 @@ def hash_classes(items: DataFrame, column: str = "phash") -> DataFrame:
     return items.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
 
+def bands(most: int) -> tuple[list[tuple[int, int]], int]:
+    """How 64 bits are cut, as (lowest bit, width), and in how many bits a band may differ, so that no pair is missed.
+
+    Up to 3 differing bits leave one of most + 1 bands equal. For more, half as many bands suffice if one may differ in
+    a single bit: bands are twice as wide, and far fewer hashes share one by chance.
+    """
+    reach = 0 if most < 4 else 1
+    many = most + 1 if not reach else most // 2 + 1
+    edges = [64 * i // many for i in range(many + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])], reach
+
+
 def hamming_pairs(classes: DataFrame, column: str = "phash", most: int = DEFAULTS.phash_threshold) -> DataFrame:
-    """Pairs (a < b) of distinct hashes that differ in at most `most` (up to 8) bits, with the distance.
+    """Pairs (a < b) of distinct hashes that differ in at most `most` bits, with the distance.
 
-    Hashes meet where one of 9 bands is equal, which no pair within 8 bits can avoid, and only in the first such band.
+    Hashes meet where a band agrees within its reach, and only in the first such band; for a reach of one bit one side
+    is looked up under its band's neighbours too. A band's value that many hashes share is dealt to several tasks, by
+    the hash of one side, and the other side is sent to all of them.
     """
-    if most >= len(BANDS):
-        raise ValueError(f"bands find at most {len(BANDS) - 1} differing bits")
+    cuts, reach = bands(most)
     bits = F.conv(F.col(column), 16, -10).cast("long")
-    bands = F.array(*[F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BANDS])
-    keyed = classes.select("id", F.col(column).alias("h"), bands.alias("bands")).select("id", "h", "bands", F.posexplode("bands").alias("band", "value"))
-    one, other = keyed.alias("one"), keyed.alias("other")
-    met = one.join(other, (F.col("one.band") == F.col("other.band")) & (F.col("one.value") == F.col("other.value")) & (F.col("one.id") < F.col("other.id")))
-    first = F.array_position(F.zip_with("one.bands", "other.bands", lambda x, y: x == y), True) - 1
-    distance = hamming_hex(F.col("one.h"), F.col("other.h"))
-    return met.filter((first == F.col("one.band")) & (distance <= most)).select(F.col("one.id").alias("a"), F.col("other.id").alias("b"), distance.alias("distance"))
+    rows = classes.select("id", F.col(column).alias("h"), bits.alias("bits"))
+    value = lambda at, width: F.shiftrightunsigned("bits", at).bitwiseAND(F.lit((1 << width) - 1))
+    own = [F.struct(F.lit(i).alias("band"), value(*cut).alias("value")) for i, cut in enumerate(cuts)]
+    near = [F.struct(F.lit(i).alias("band"), value(at, width).bitwiseXOR(F.lit(1 << k)).alias("value")) for i, (at, width) in enumerate(cuts) for k in range(width)] if reach else []
+    posted = rows.select("id", "h", "bits", F.explode(F.array(*own)).alias("k")).select("id", "h", "bits", "k.*")
+    asked = rows.select("id", "h", "bits", F.explode(F.array(*own, *near)).alias("k")).select("id", "h", "bits", "k.*")
+    hot = posted.groupBy("band", "value").agg((F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts")).filter("salts > 0")
+    salts = F.coalesce("salts", F.lit(0)) + 1
+    one = posted.join(hot, ["band", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts)).alias("one")
+    other = asked.join(hot, ["band", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("other")
+    same = [F.col(f"one.{c}") == F.col(f"other.{c}") for c in ("band", "value", "salt")]
+    met = one.join(other, same[0] & same[1] & same[2] & (F.col("one.id") < F.col("other.id")))
+    apart = F.col("one.bits").bitwiseXOR(F.col("other.bits"))
+    within = F.array(*[F.bit_count(F.shiftrightunsigned(apart, at).bitwiseAND(F.lit((1 << width) - 1))) <= reach for at, width in cuts])
+    distance = F.bit_count(apart)
+    return met.filter((distance <= most) & (F.array_position(within, True) - 1 == F.col("one.band"))).select(F.col("one.id").alias("a"), F.col("other.id").alias("b"), distance.cast("int").alias("distance"))
+
+
+def near_edges(items: DataFrame, column: str = "phash", most: int = DEFAULTS.phash_threshold) -> DataFrame:
+    """Edges that connect all items whose hashes are equal or near: each item with its class, and near classes."""
+    pairs = hamming_pairs(hash_classes(items, column), column, most).select("a", "b")
+    return pairs.unionByName(exact_edges(items.filter(F.col(column).isNotNull()), column))
+
+
+def staged(items: DataFrame, vectors: DataFrame, most: int = DEFAULTS.phash_threshold, least: float = DEFAULTS.cosine_threshold) -> DataFrame:
+    """Per item with a match the first stage that has one (exact, phash, embedding), and the best similarity there.
+
+    items have id, sha256 and phash; vectors id and embedding. Items of equal content or hash are one class, so stages
+    cost what the classes do; an item's best match is found by an aggregate, never by listing its matches.
+    """
+    exact = items.join(exact_groups(items).select("sha256"), "sha256", "left_semi").select("id", F.lit(1).alias("stage"), F.lit(1.0).alias("similarity"))
+    classes = hash_classes(items)
+    pairs = hamming_pairs(classes, most=most)
+    nearest = pairs.select(F.col("a").alias("rep"), "distance").union(pairs.select("b", "distance")).groupBy("rep").agg(F.min("distance").alias("distance"))
+    best = classes.select("phash", F.col("id").alias("rep"), "n").join(nearest, "rep", "left").withColumn("distance", F.when(F.col("n") > 1, 0).otherwise(F.col("distance"))).filter("distance is not null")
+    near = items.join(best.select("phash", "distance"), "phash").select("id", F.lit(2).alias("stage"), (1 - F.col("distance") / 64).alias("similarity"))
+    alike = cosine_pairs(vectors, least)
+    close = alike.select(F.col("a").alias("id"), "similarity").union(alike.select("b", "similarity")).select("id", F.lit(3).alias("stage"), "similarity")
+    found = exact.unionByName(near).unionByName(close).groupBy("id").agg(F.min(F.struct("stage", (-F.col("similarity")).alias("minus"))).alias("first"))
+    name = F.element_at(F.array(F.lit("exact"), F.lit("phash"), F.lit("embedding")), F.col("first.stage"))
+    return found.select("id", name.alias("stage"), (-F.col("first.minus")).alias("similarity"))
+
+
+def kept_of_selection(selection: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:
+    """Outcome (media_id, set, outcome) of keeping the best of each set among selected ids.
+
+    Selected members of one group are a set, and so are all selected items of no group; a set of one is left alone.
+    Inactive items take no part. Ties go to the smaller id.
+    """
+    scored = items.filter(active(F.col("lifecycle"))).withColumn("score", best_score()).select(F.col("id").alias("media_id"), "score")
+    picked = selection.select(F.col("id").alias("media_id")).distinct().join(scored, "media_id")
+    sets = picked.join(members, "media_id", "left").withColumn("set", F.coalesce(F.col("group_id").cast("string"), F.lit("adhoc")))
+    best = sets.groupBy("set").agg(F.max_by("media_id", F.struct("score", -F.col("media_id"))).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return sets.join(best, "set").select("media_id", "set", F.when(F.col("media_id") == F.col("best"), "accepted").otherwise("trashed").alias("outcome"))
 
 
 def cosine_pairs(vectors: DataFrame, least: float = DEFAULTS.cosine_threshold, block_rows: int = 2_000) -> DataFrame:

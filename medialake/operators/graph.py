@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Lets the session checkpoint: in the folder the cluster names, in a temporary one only where it names none."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="medialake-"))
+    """Lets the session checkpoint in the folder the cluster names; a session on one machine may use a temporary one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="medialake-"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Per vertex (id) the smallest vertex it reaches (root).
 
-    Rounds of smallest neighbouring label and pointer jumping, each checkpointed, until nothing changes; the driver
-    sees only whether anything did.
+    A round takes the smallest root among neighbours, hands it to the old root too, so that whole trees are hung
+    together, and then follows it one step up. Roots only fall; rounds are checkpointed and go on until none does; the
+    driver sees only whether any did.
     """
     checkpoint_folder(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
@@ -25,8 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        moved = step.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("further", "root")).alias("root")).checkpoint()
+        hung = step.filter("root < old").groupBy(F.col("old").alias("id")).agg(F.min("root").alias("up"))
+        hooked = step.join(hung, "id", "left").select("id", "old", F.least("root", "up").alias("root"))
+        onward = hooked.select(F.col("id").alias("root"), F.col("root").alias("further"))
+        moved = hooked.join(onward, "root").select("id", "old", F.least("root", "further").alias("root")).checkpoint()
         labels = moved.select("id", "root")
         if moved.filter("root != old").isEmpty():
             return labels

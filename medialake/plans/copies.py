@@ -26,12 +26,20 @@ def members(s, d):
 
 
 def hashed(s, d):
-    """Items with a 64-bit hash: sixteen neighbouring ids share 60 random bits and differ in the last four."""
+    """Items with a hash whose first digits follow from their text's hash and whose last from their id: crowded ones."""
     tail = F.expr("substr('0123456789abcdef', cast(1 + id % 16 as int), 1)")
-    return media(s, d).select("id", F.concat(F.substring(F.sha2(F.floor(F.col("id") / 16).cast("string"), 256), 1, 15), tail).alias("phash"))
+    return media(s, d).select("id", "sha256", F.concat(F.substring("sha256", 1, 2), F.lit("0f0f0f0f0f0f0"), tail).alias("phash"))
 
 
-HASHED = f"{CTE}, h as (select min(id) as id, concat(substr(sha256((id // 16)::varchar), 1, 15), substr('0123456789abcdef', cast(1 + id % 16 as int), 1)) as phash from media group by 2)"
+def revised(s, d):
+    """Items with a hash of their text, in which up to 12 low bits follow from their id: copies are near, or not quite."""
+    tail = F.lower(F.lpad(F.hex((F.col("id") * 2654435761) % 4096), 3, "0"))
+    return media(s, d).select("id", "sha256", F.concat(F.substring("sha256", 1, 13), tail).alias("phash"))
+
+
+HASHED = f"{CTE}, h as (select id, sha256, concat(substr(sha256, 1, 2), '0f0f0f0f0f0f0', substr('0123456789abcdef', cast(1 + id % 16 as int), 1)) as phash from media)"
+CLASSES = f"{HASHED}, c as (select min(id) as id, phash from h group by phash)"
+REVISED = f"{CTE}, h as (select id, sha256, concat(substr(sha256, 1, 13), lower(lpad(hex((id * 2654435761) % 4096), 3, '0'))) as phash from media)"
 DISTANCE = "bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint))"
 
 
@@ -57,8 +65,12 @@ def _nested(s, d):
 
 
 def _hamming_components(s, d):
-    classes = D.hash_classes(hashed(s, d))
-    return D.groups(D.hamming_pairs(classes, most=2).select("a", "b"))
+    return D.groups(D.near_edges(hashed(s, d), most=2))
+
+
+def _staged(s, d):
+    v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return D.staged(revised(s, d), v, least=0.35).select("id", "stage", F.round("similarity", 5).alias("similarity"))
 
 
 QUERIES = {
@@ -71,13 +83,42 @@ QUERIES = {
     "du1_exact_members": (lambda s, d: members(s, d), f"{MEMBERS} select group_id, media_id from members"),
     "jn7_hamming_pairs": (
         lambda s, d: D.hamming_pairs(D.hash_classes(hashed(s, d)), most=3),
-        f"{HASHED} select a.id as a, b.id as b, cast({DISTANCE} as int) as distance from h a join h b on a.id < b.id where {DISTANCE} <= 3",
+        f"{CLASSES} select a.id as a, b.id as b, cast({DISTANCE} as int) as distance from c a join c b on a.id < b.id where {DISTANCE} <= 3",
+    ),
+    "jn7_hamming_of_eight": (
+        lambda s, d: D.hamming_pairs(D.hash_classes(revised(s, d))),
+        f"{REVISED}, c as (select min(id) as id, phash from h group by phash) select a.id as a, b.id as b, cast({DISTANCE} as int) as distance from c a join c b on a.id < b.id where {DISTANCE} <= 8",
+    ),
+    "jn7_hash_members": (
+        lambda s, d: hashed(s, d).join(D.hash_classes(hashed(s, d)).select("phash", F.col("id").alias("class_id")), "phash").select("id", "class_id"),
+        f"{HASHED} select id, min(id) over (partition by phash) as class_id from h",
+    ),
+    "du1_staged": (
+        _staged,
+        f"""{REVISED}, n as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from n),
+ m as (select a.id, 1 as stage, 1.0::double as sim from h a join h b on a.sha256 = b.sha256 and a.id <> b.id
+  union all select a.id, 2, 1 - {DISTANCE} / 64.0::double from h a join h b on a.id <> b.id where {DISTANCE} <= 8
+  union all select a.id, 3, list_dot_product(a.v, b.v) / (a.norm * b.norm) from u a join u b on a.id <> b.id where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.35),
+ g as (select id, stage, max(sim) as sim from m group by id, stage), f as (select * from g qualify stage = min(stage) over (partition by id))
+ select id, case stage when 1 then 'exact' when 2 then 'phash' else 'embedding' end as stage, round(sim, 5) as similarity from f""",
+    ),
+    "du5_keep_of_selection": (
+        lambda s, d: D.kept_of_selection(media(s, d).filter("id % 3 <> 0").select("id"), members(s, d), media(s, d)),
+        f"""{MEMBERS}, x as (select id as media_id, coalesce(group_id::varchar, 'adhoc') as set, {SCORE} as score from media left join members on media_id = id where id % 3 <> 0 and {ACTIVE}),
+ r as (select *, count(*) over (partition by set) as n, row_number() over (partition by set order by score desc, media_id) as k from x)
+ select media_id, set, case when k = 1 then 'accepted' else 'trashed' end as outcome from r where n > 1""",
+    ),
+    "du5_keep_of_all": (
+        lambda s, d: D.kept_of_selection(members(s, d).select(F.col("media_id").alias("id")), members(s, d), media(s, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+        f"""{MEMBERS}, x as (select group_id from members join media on media_id = id where {ACTIVE}), g as (select count(*) as n from x group by group_id having count(*) > 1),
+ o as (select 'accepted' as outcome, count(*) as n from g union all select 'trashed', sum(n - 1)::bigint from g) select * from o where n > 0""",
     ),
     "du2_components": (
         _hamming_components,
-        f"""with recursive {HASHED[5:]}, p as (select a.id as a, b.id as b from h a join h b on a.id < b.id where {DISTANCE} <= 2), e as (select a, b from p union select b, a from p),
- r as (select a as media_id, a as group_id from e union select e.b, r.group_id from r join e on e.a = r.media_id where r.group_id < e.b)
- select media_id, min(g) as group_id from (select media_id, group_id as g from r) group by 1""",
+        f"""with recursive {HASHED[5:]}, k as (select distinct phash from h), p as (select a.phash as a, b.phash as b from k a join k b on a.phash <> b.phash where {DISTANCE} <= 2),
+ r as (select phash, phash as top from k union select p.b, r.top from r join p on p.a = r.phash where r.top < p.b),
+ t as (select phash, min(top) as top from r group by 1)
+ select id as media_id, min(id) over (partition by top) as group_id from h join t using (phash) qualify count(*) over (partition by top) > 1""",
     ),
     "jn8_cosine_pairs": (
         _cosine,

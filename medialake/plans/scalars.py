@@ -60,7 +60,7 @@ def _repair(s, d):
 def _normalised(s, d):
     c = F.col
     label = A.scene(c("scene_type"))
-    return items(s, d).filter("model_name = 'vision'").select(
+    return items(s, d).select(
         "id", label.alias("scene"), A.unit_score(c("raw_quality")).alias("quality"), A.era(c("estimated_era"), c("taken_at")).alias("era"),
         F.array_join(A.normalised_tags(N.json_list(c("suggested_tags")), label, c("is_blurry")), ",").alias("tags"), A.caption(F.when(c("id") % 2 == 0, c("caption_short")), label).alias("caption"),
     )
@@ -69,12 +69,12 @@ def _normalised(s, d):
 SCENES = ", ".join(f"'{x}'" for x in A.SCENES)
 SCENE = f"""case when s0 in ({SCENES}) then s0 {' '.join(f"when s0 = '{a}' then '{b}'" for a, b in A.SYNONYMS.items())} else 'other' end"""
 NORMALISED = f"""{CTE}, x as (select *, replace(lower(trim(coalesce(nullif(scene_type, ''), 'other'))), ' ', '_') as s0, try_cast(raw_quality as double) as q,
-  list_filter(list_transform(case when json_valid(suggested_tags) then from_json(suggested_tags, '["VARCHAR"]') else [] end, lambda x: lower(trim(x))), lambda x: x <> '') as t0 from items where model_name = 'vision'),
+  list_filter(list_transform(case when json_valid(suggested_tags) then from_json(suggested_tags, '["VARCHAR"]') else [] end, lambda x: lower(trim(x))), lambda x: x <> '') as t0 from items),
  y as (select *, {SCENE} as scene, case when is_blurry and not list_contains(t0, 'blurry') then list_append(t0, 'blurry') else t0 end as t1 from x)
  select id, scene, greatest(0.0, least(1.0, case when q is null or q = 0 then 0.5 else q end))::double as quality,
  case when coalesce(estimated_era, 'unknown') in ('unknown', '', 'none') then coalesce((year(taken_at) // 10 * 10) || 's', coalesce(estimated_era, 'unknown')) else estimated_era end as era,
  array_to_string((case when scene <> 'other' and not list_contains(t1, scene) then list_prepend(scene, t1) else t1 end)[1:15], ',') as tags,
- left(case when trim(case when id % 2 = 0 then caption_short else '' end) = '' then array_to_string(list_transform(string_split(replace(scene, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' photo'
+ left(case when trim(coalesce(case when id % 2 = 0 then caption_short end, '')) = '' then array_to_string(list_transform(string_split(replace(scene, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' photo'
   else trim(caption_short) end, 160) as caption from y"""
 
 
@@ -99,9 +99,12 @@ def _repaired(s, d):
 
 
 def _turned(s, d):
-    """Pictures made of ids: bands of light, some lying on their side."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: (F.when(F.col("id") % 2 == 0, i).otherwise(j) * 10.0)))
-    return media(s, d).select("id", P.upright_degrees(rows).alias("turn"), P.blur_score(rows).alias("blur"))
+    """Pictures made of ids, 12 wide: slopes of light in both directions, and a pattern."""
+    i = F.sequence(F.lit(0), F.lit(179))
+    pixels = F.transform(i, lambda k: ((k % 12) * (F.col("id") % 7) + F.floor(k / 12) * (F.col("id") % 5) * 3 + (k * k * F.col("id")) % 11).cast("double"))
+    drawn = media(s, d).select("id", pixels.alias("pixels"), F.lit(12).alias("width"))
+    found = drawn.select("id", P.picture_signs(F.col("pixels"), F.col("width")).alias("found"), P.blur_score(F.col("pixels"), F.col("width")).alias("blur"))
+    return found.select("id", P.upright_degrees(F.col("found")).alias("turn"), P.upright_degrees(F.col("found"), aggressive=True).alias("aggressive_turn"), "blur")
 
 
 QUERIES = {

@@ -178,12 +178,43 @@ def test_repair():
     assert A.repaired(None) is None and A.repaired("no") is None and A.repaired("[1]") is None
 
 
-def test_upright():
+def plain_turn(gray, aggressive):
+    """The rule for upright pictures in plain steps."""
     import numpy as np
 
-    sky = np.repeat(np.linspace(255, 0, 64)[:, None], 64, axis=1) + np.random.default_rng(1).normal(0, 1, (64, 64))
-    assert P.upright_turn(sky) == 0 and P.upright_turn(sky, aggressive=True) == 0
-    assert P.upright_turn(np.ones((4, 4))) == 0
+    def score(a):
+        if min(a.shape) < 8:
+            return 0.0
+        n = a.shape[0] // 5
+        top, middle, bottom = a[:n].mean(), a[2 * n : 3 * n].mean(), a[4 * n :].mean()
+        return 1.2 * np.abs(a[:, 1:] - a[:, :-1]).mean() + 0.95 * np.abs(a[1:] - a[:-1]).mean() + 0.08 * (abs(top - bottom) + 0.35 * abs(top - middle))
+
+    turned = {t: np.rot90(gray, -t // 90) for t in (0, 90, 180, 270)}
+    scores = {t: score(a) for t, a in turned.items()}
+    (best, high), (second, low) = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+    if best == 0 or low <= 0:
+        return best
+    lead = (high - low) / max(low, 1e-6)
+    if {best, second} == {90, 270} and lead < 0.08:
+        ends = {t: round(abs(turned[t][: len(turned[t]) // 4].mean() - turned[t][3 * (len(turned[t]) // 4) :].mean()), 6) for t in (90, 270)}
+        return 90 if ends[90] >= ends[270] else 270
+    return best if lead >= (0.03 if aggressive else 0.10) or aggressive and high > 1.08 * scores[0] else 0
+
+
+def test_upright(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    sky = np.repeat(np.linspace(255, 0, 64)[:, None], 64, axis=1) + r.normal(0, 1, (64, 64))
+    shapes = [sky, sky.T, np.ones((4, 4)), np.zeros((20, 20))]
+    shapes += [np.cumsum(r.normal(0, 1, (int(h), int(w))), axis=int(k)) * r.choice([1, 5]) for h, w, k in zip(r.integers(8, 30, 60), r.integers(8, 30, 60), r.integers(0, 2, 60))]
+    rows = [(i, a.ravel().tolist(), a.shape[1]) for i, a in enumerate(shapes)] + [(-1, None, None)]
+    df = spark.createDataFrame(rows, "id int, pixels array<double>, width int").select("id", P.picture_signs(F.col("pixels"), F.col("width")).alias("s"), P.blur_score(F.col("pixels"), F.col("width")).alias("blur"))
+    got = {x.id: x for x in df.select("id", P.upright_degrees(F.col("s")).alias("turn"), P.upright_degrees(F.col("s"), True).alias("more"), "blur").collect()}
+    assert got[0].turn == 0 and got[0].more == 0 and got[2].turn == 0 and got[2].blur is None and got[3].blur == 0.0 and got[-1].turn is None
+    for i, a in enumerate(shapes):
+        assert (got[i].turn, got[i].more) == (plain_turn(a, False), plain_turn(a, True)), i
+    assert len({x.turn for x in got.values()}) > 3
 
 
 def test_fusion(spark):
