@@ -145,3 +145,54 @@ def inference_queue(media: DataFrame, analysis: DataFrame, limit: int) -> DataFr
 def queue_page(rows: DataFrame, condition: Column, newest: int, offset: int, limit: int) -> DataFrame:
     """Filters within the newest rows only, then pages: the limit comes before the filter."""
     return rows.orderBy(F.desc("created_at"), "id").limit(newest).filter(condition).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+
+
+def nav_counts(media: DataFrame, analysis: DataFrame, members: DataFrame, albums: DataFrame, jobs: DataFrame, discs: DataFrame) -> DataFrame:
+    """One row with what the navigation shows: one pass over media with annotations, and one-row counts of the rest.
+
+    Review is always 0; grid is library and stats is discs. inference is what has no annotation, and what only a
+    heuristic annotated. Duplicates are groups of two or more members that are neither in the trash nor rejected.
+    """
+    said = analysis.select(F.col("media_id").alias("said_of"), "people_count", "model_name")
+    lib, c = in_library(F.col("lifecycle")), F.col
+    pending = lib & c("said_of").isNull()
+    rows = media.join(said, c("id") == c("said_of"), "left").agg(
+        F.count_if(lib).alias("library"), F.count_if(lib & c("taken_at").isNotNull()).alias("timeline"), F.count_if(lib).alias("grid"), F.count_if(lib & c("gps_lat").isNotNull()).alias("map"),
+        F.count_if(lib & (c("people_count") > 0)).alias("people"), F.lit(0).alias("review"), F.count_if(lib & (c("media_type") == "image")).alias("images"), F.count_if(lib & (c("media_type") == "video")).alias("videos"),
+        F.count_if(c("lifecycle") == "trash").alias("trash"), (F.count_if(pending) + F.count_if(lib & c("model_name").ilike("%heuristic%"))).alias("inference"),
+    )
+    alive = members.join(media.filter(active_raw(F.col("lifecycle"))).select(F.col("id").alias("media_id")), "media_id", "left_semi").groupBy("group_id").count().filter("count > 1")
+    number = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))  # noqa: E731 - one row each
+    for df, name in ((alive, "duplicates"), (albums, "albums"), (jobs.filter(F.col("status").isin("queued", "running")), "jobs"), (discs, "discs")):
+        rows = rows.join(number(df, name))
+    return rows.withColumn("stats", F.col("discs"))
+
+
+def album_list(albums: DataFrame, kind: str | None = None, source: str | None = None) -> DataFrame:
+    """Albums of a kind and a source (none and empty ones don't matter), the last changed first."""
+    for name, value in (("kind", kind), ("source", source)):
+        albums = albums.filter(F.col(name) == value) if value else albums
+    return albums.orderBy(F.desc_nulls_last("updated_at"), F.desc("created_at"), "id")
+
+
+def open_reviews(queue: DataFrame, queue_type: str | None = None) -> DataFrame:
+    """Review rows that nobody resolved, of one type if asked, the most urgent and oldest first."""
+    rows = queue.filter(F.col("resolved_at").isNull())
+    return (rows.filter(F.col("queue_type") == queue_type) if queue_type else rows).orderBy("priority", "created_at", "media_id")
+
+
+def album_members(album_items: DataFrame, album_id) -> DataFrame:
+    """Members of a fixed album by their positions, those without one last."""
+    return album_items.filter(F.col("album_id") == album_id).orderBy(F.asc_nulls_last("position"), "media_id").select("media_id", "position")
+
+
+def between_and_tagged(joined: DataFrame, date_from=None, date_to=None, tags: list[str] | None = None) -> DataFrame:
+    """Items taken between two times (both included) that have any of the tags; what isn't given is no condition."""
+    from ..functions.names import json_list
+
+    if date_from is not None:
+        joined = joined.filter(F.col("taken_at") >= date_from)
+    if date_to is not None:
+        joined = joined.filter(F.col("taken_at") <= date_to)
+    wanted = F.array(*[F.lit(t.lower()) for t in tags]) if tags else None
+    return joined if wanted is None else joined.filter(F.arrays_overlap(F.transform(json_list(F.col("suggested_tags")), F.lower), wanted))

@@ -69,3 +69,21 @@ def promoted(media: DataFrame) -> DataFrame:
 
     turn = F.row_number().over(W.partitionBy("disc_id", "filename").orderBy("id"))
     return media.select("id", F.when(turn > 1, F.concat_ws("_", F.left(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(8)), "filename")).otherwise(F.col("filename")).alias("library_name"))
+
+
+def rejected(media: DataFrame, queue: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:
+    """Tables after a quality gate's verdicts (id, code, reason): its items are rejected with quality 0 and get an
+    annotation row that says why, and their open review rows (media_id, resolution) are closed."""
+    codes = verdicts.select(F.col("id").alias("hit"), "code", "reason")
+    joined = media.join(codes, media["id"] == F.col("hit"), "left")
+    bad = F.col("hit").isNotNull()
+    after = joined.withColumns({"lifecycle": F.when(bad, "rejected").otherwise(F.col("lifecycle")), "quality_score": F.when(bad, 0.0).otherwise(F.col("quality_score"))})
+    closed = queue.join(codes, queue["media_id"] == F.col("hit"), "left").withColumn("resolution", F.coalesce("resolution", F.concat(F.lit("quality:"), "code")))
+    said = codes.select(F.col("hit").alias("media_id"), F.concat_ws(": ", "code", "reason").alias("description"), F.lit("quality-gate").alias("model_name"), F.lit(1.0).alias("confidence"))
+    return {"media": after.select(media.columns), "queue": closed.select(queue.columns), "analysis": said}
+
+
+def albums_deleted(albums: DataFrame, album_items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Albums and their items after albums (id) are deleted; unknown ids do nothing."""
+    gone = ids.select(F.col("id").alias("gone")).distinct()
+    return albums.join(gone, albums["id"] == F.col("gone"), "left_anti"), album_items.join(gone, album_items["album_id"] == F.col("gone"), "left_anti")

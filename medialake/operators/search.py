@@ -79,6 +79,8 @@ def search(docs: DataFrame, query: str, id_column: str, fields: list[str], limit
 
 def _alternative(postings: DataFrame, stats: DataFrame, terms: list[Term]) -> DataFrame:
     wanted, banned = [t for t in terms if not t.negated], [t for t in terms if t.negated]
+    if not wanted:  # nothing is asked for
+        return postings.limit(0).select("id", F.lit(0.0).alias("score"))
     match = lambda t: (F.col("token").startswith(t.text) if t.prefix else F.col("token") == t.text) & (F.col("field") == t.field if t.field else F.lit(True))
     hits = None
     for i, t in enumerate(wanted):

@@ -63,10 +63,10 @@ def _upsert(s, d):
 
 
 def _event_albums(s, d):
-    return O.event_albums(library(s, d).filter(F.col("is_blurry")))
+    return O.event_albums(library(s, d))
 
 
-EVENTS = f"""{CTE}, lib as (select * from items where {LIB} and is_blurry and taken_at is not null),
+EVENTS = f"""{CTE}, lib as (select * from items where {LIB} and taken_at is not null),
  g as (select *, case when taken_at - lag(taken_at) over (order by taken_at, id) > interval 3 day then 1 else 0 end as new from lib),
  e as (select *, sum(new) over (order by taken_at, id rows unbounded preceding) as event, {TITLE} as scene from g),
  sp as (select event, min(taken_at) as t0, max(taken_at) as t1, count(*) as n from e group by event having count(*) >= 2),

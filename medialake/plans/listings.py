@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.annotate import is_heuristic
 from ..operators import catalog as C, search as S
 from ..operators.catalog import CatalogQuery
+from . import copies, states
 from .surrogate import CTE, analysis, items, media
 
 ACTIVE = "coalesce(lifecycle, 'library') not in ('trash', 'rejected')"
@@ -64,6 +65,48 @@ def _first_of_each(s, d):
     return media(s, d).withColumn("turn", F.row_number().over(order)).filter("turn = 1").select("id", "sha256")
 
 
+def _albums(s, d):
+    """Albums made of media: kinds, sources and times of change, some unknown."""
+    return media(s, d).select("id", F.col("media_type").alias("kind"), F.col("disc_id").alias("source"), F.col("taken_at").alias("updated_at"), "created_at")
+
+
+def _nav(s, d):
+    m = media(s, d)
+    return C.nav_counts(m, analysis(s, d), copies.members(s, d), m.select(F.year("taken_at").alias("y")).distinct(), states.jobs(s, d), _discs(s, d))
+
+
+def _reviews(s, d):
+    m = media(s, d)
+    return m.select(F.col("id").alias("media_id"), F.col("media_type").alias("queue_type"), (F.col("id") % 50).alias("priority"), "created_at", F.when(~F.col("flag"), F.col("created_at")).alias("resolved_at"))
+
+
+def _fixed(s, d):
+    m = media(s, d)
+    return m.select(F.col("disc_id").alias("album_id"), F.col("id").alias("media_id"), F.when(F.col("id") % 4 > 0, F.col("id") % 90).alias("position"))
+
+
+def _gated(s, d):
+    from ..operators import commands as K
+
+    m = media(s, d)
+    queue = m.filter("flag").select(F.col("id").alias("media_id"), F.when(F.col("id") % 2 == 0, F.lit("accepted")).alias("resolution"))
+    after = K.rejected(m, queue, m.filter("id % 5 = 0").select("id", F.lit("too_small").alias("code"), F.lit("small").alias("reason")))
+    parts = [
+        after["media"].filter("lifecycle = 'rejected' and quality_score = 0").select(F.lit("media").alias("name"), "id", F.lit("").alias("what")),
+        after["queue"].select(F.lit("queue").alias("name"), F.col("media_id").alias("id"), F.coalesce("resolution", F.lit("")).alias("what")),
+        after["analysis"].select(F.lit("analysis").alias("name"), F.col("media_id").alias("id"), F.col("description").alias("what")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _deleted(s, d):
+    from ..operators import commands as K
+
+    m = media(s, d)
+    albums, held = K.albums_deleted(m.select("id"), _fixed(s, d).withColumn("album_id", F.col("media_id") % 10), m.filter("id % 3 = 0").select("id"))
+    return albums.select(F.lit("albums").alias("name"), "id").unionByName(held.select(F.lit("items").alias("name"), F.col("media_id").alias("id")))
+
+
 BM25 = """with f as (select doc_id as id, list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as t
  from documents), st as (select count(*) as docs, avg(len(t)) as mean from f),
  hits as (select id, len(t) as dl, q, len(list_filter(t, lambda x: x = q)) as tf from f, (values ('this'), ('and')) v(q)),
@@ -160,4 +203,42 @@ QUERIES = {
     "ft5_name_fallback": (
         lambda s, d: S.search_or_name(media(s, d), "IMG 7 e", "id", ["camera_model"], "filename"), f"{CTE} select id from media where filename ilike '%IMG 7 e%'",
     ),
+    "ag3_nav_counts": (
+        _nav,
+        f"""{CTE}, mem as (select id as media_id, min(id) over (partition by sha256) as group_id from media qualify count(*) over (partition by sha256) > 1),
+ al as (select group_id from mem join media on id = media_id where not (lifecycle in ('trash', 'rejected')) group by 1 having count(*) > 1)
+ select count(*) filter ({LIB}) as library, count(*) filter ({LIB} and taken_at is not null) as timeline, count(*) filter ({LIB}) as grid, count(*) filter ({LIB} and gps_lat is not null) as map,
+ count(*) filter ({LIB} and people_count > 0) as people, 0 as review, count(*) filter ({LIB} and media_type = 'image') as images, count(*) filter ({LIB} and media_type = 'video') as videos,
+ count(*) filter (lifecycle = 'trash') as trash, count(*) filter ({LIB} and media_id is null) + count(*) filter ({LIB} and model_name ilike '%heuristic%') as inference,
+ (select count(*) from al) as duplicates, (select count(*) from (select distinct year(taken_at) from media)) as albums, (select count(*) from ({states.JOBS} select * from jobs where status in ('queued', 'running'))) as jobs,
+ count(distinct disc_id) as discs, count(distinct disc_id) as stats from media left join analysis on media_id = id""",
+    ),
+    "fi25_album_list": (lambda s, d: C.album_list(_albums(s, d), "image", "").select("id", "source"), f"{CTE} select id, disc_id as source from media where media_type = 'image'"),
+    "or5_newest_albums": (
+        lambda s, d: C.album_list(_albums(s, d)).limit(60).select("id"), f"{CTE} select id from media order by taken_at desc nulls last, created_at desc, id limit 60",
+    ),
+    "fi27_open_reviews": (lambda s, d: C.open_reviews(_reviews(s, d), "video").select("media_id", "priority"), f"{CTE} select id as media_id, id % 50 as priority from media where flag and media_type = 'video'"),
+    "or6_next_reviews": (
+        lambda s, d: C.open_reviews(_reviews(s, d)).limit(40).select("media_id"), f"{CTE} select id as media_id from media where flag order by id % 50, created_at, id limit 40",
+    ),
+    "or11_album_members": (
+        lambda s, d: C.album_members(_fixed(s, d), "web").limit(45), f"{CTE} select id as media_id, case when id % 4 > 0 then id % 90 end as position from media where disc_id = 'web' order by position nulls last, id limit 45",
+    ),
+    "fi19_dates_and_tags": (
+        lambda s, d: _ids(C.between_and_tagged(items(s, d), F.lit("2006-01-01").cast("timestamp"), F.lit("2030-12-31").cast("timestamp"), ["SEA", "none"])),
+        f"""{CTE} select id from items where taken_at between timestamp '2006-01-01' and timestamp '2030-12-31' and json_valid(suggested_tags) and suggested_tags ilike '%" Sea "%'""",
+    ),
+    "jn12_lookup": (
+        lambda s, d: media(s, d).join(F.broadcast(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")), F.col("id") % 30 == F.col("n_nationkey"), "left").select("id", F.coalesce("n_name", F.lit("unknown")).alias("name")),
+        f"{CTE} select id, coalesce(n_name, 'unknown') as name from media left join nation on id % 30 = n_nationkey",
+    ),
+    "sk8_rejected": (
+        _gated,
+        f"""{CTE} select 'media' as name, id, '' as what from media where id % 5 = 0 or (lifecycle = 'rejected' and quality_score = 0)
+ union all select 'queue', id, coalesce(case when id % 2 = 0 then 'accepted' end, case when id % 5 = 0 then 'quality:too_small' end, '') from media where flag
+ union all select 'analysis', id, 'too_small: small' from media where id % 5 = 0""",
+    ),
+    "sk11_albums_deleted": (
+        _deleted, f"{CTE} select 'albums' as name, id from media where id % 3 <> 0 union all select 'items', id from media where not (id % 10 % 3 = 0 and id % 10 in (select id from media))",
+    ),
 }

@@ -49,7 +49,7 @@ MEDIA = {
 ANALYSIS = {
     "media_id": "d.doc_id",
     "caption_short": "substr(d.text, 1, 60)",
-    "description": "substr(d.text, 61, 100)",
+    "description": "substr(d.text, 61)",
     "scene_type": f"case {ID} % 5 when 0 then 'beach' when 1 then 'group_photo' when 2 then 'unknown' when 3 then 'City-scape' end",
     "people_count": f"cast(l.toxic * 2 + {ID} % 3 as int)",
     "suggested_tags": f"case when {ID} % 19 = 0 then '[broken' else concat('[\"', d.lang, '\", \" Sea \", \"', d.source, '\", \"\"]') end",

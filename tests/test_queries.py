@@ -39,6 +39,21 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, sql.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    df = registry.queries()[name](spark, SF)
+    found = df.collect()
+    assert found and len(found) == df.count()
+
+
+def test_search_for_what_is_not_wanted(spark):
+    from medialake.operators import search
+
+    docs = spark.createDataFrame([(1, "this one"), (2, "that one")], "id long, t string")
+    assert search.search(docs, "NOT this", "id", ["t"]).count() == 0
+    assert [r.id for r in search.search(docs, "one NOT this", "id", ["t"]).collect()] == [2]
+
+
 def test_entry_imports_without_session():
     import __spark_entry__ as entry
 
