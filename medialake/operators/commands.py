@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ordered import numbered
+
 
 def patched(media: DataFrame, commands: DataFrame) -> DataFrame:
     """media after edits (id, rating, flag, caption): ratings are clamped to 0..5, a text edit marks the item edited."""
@@ -65,10 +67,8 @@ def accepted_all(media: DataFrame) -> DataFrame:
 
 def promoted(media: DataFrame) -> DataFrame:
     """Names in the library of promoted items: a name that another item of the folder has taken gets the id before it."""
-    from pyspark.sql import Window as W
-
-    turn = F.row_number().over(W.partitionBy("disc_id", "filename").orderBy("id"))
-    return media.select("id", F.when(turn > 1, F.concat_ws("_", F.left(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(8)), "filename")).otherwise(F.col("filename")).alias("library_name"))
+    turns = numbered(media.select("id", "disc_id", "filename"), ["disc_id", "filename"], ["id"])
+    return turns.select("id", F.when(F.col("number") > 1, F.concat_ws("_", F.left(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(8)), "filename")).otherwise(F.col("filename")).alias("library_name"))
 
 
 def rejected(media: DataFrame, queue: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:

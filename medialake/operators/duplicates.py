@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULTS
 from ..functions.vectors import hamming_hex
 from .catalog import active
 from .graph import components
+from .ordered import numbered
 
 #: Hashes that may share a band before it is dealt to several tasks.
 TOGETHER = 1_000
@@ -154,8 +155,15 @@ def best_score() -> Column:
 def kept_best(members: DataFrame, items: DataFrame) -> DataFrame:
     """Each member with its group's score order: rank 1 is kept, the others go; ties go to the smaller id."""
     scored = members.join(items.withColumn("score", best_score()).select(F.col("id").alias("media_id"), "score"), "media_id")
-    rank = F.row_number().over(W.partitionBy("group_id").orderBy(F.desc("score"), "media_id"))
-    return scored.withColumn("rank", rank).withColumn("keep", F.col("rank") == 1)
+    ranked = numbered(scored, ["group_id"], [F.desc("score"), "media_id"]).withColumnRenamed("number", "rank")
+    return ranked.withColumn("keep", F.col("rank") == 1)
+
+
+def listed(members: DataFrame, items: DataFrame, per_row: int = 1_000) -> DataFrame:
+    """Groups with their members (media_id, lifecycle) nested in rows (group_id, page, members) of at most per_row."""
+    told = members.join(items.select(F.col("id").alias("media_id"), "lifecycle"), "media_id")
+    paged = numbered(told, ["group_id"], ["media_id"]).withColumn("page", F.floor((F.col("number") - 1) / per_row))
+    return paged.groupBy("group_id", "page").agg(F.array_sort(F.collect_list(F.struct("media_id", "lifecycle"))).alias("members"))
 
 
 def best_members(members: DataFrame, items: DataFrame) -> DataFrame:

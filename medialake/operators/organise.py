@@ -6,18 +6,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.names import event_key, event_title, json_list, scene_title, slug
+from .ordered import numbered, parted
 
 
 def sessions(rows: DataFrame, keys: list[str], ts: str, gap_days: int = DEFAULTS.event_gap_days) -> DataFrame:
     """rows with a session number within keys: a gap of more than gap_days begins a new one; a gap of exactly that doesn't.
 
-    Rows without a time drop. Each key is sorted in one task; for one sequence over everything see events().
+    Rows without a time drop. Keys of any size are spread over ranges of time.
     """
-    order = W.partitionBy(*keys).orderBy(ts, *[c for c in ("id",) if c in rows.columns])
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(order))
-    new = F.when(gap > gap_days * 86_400_000_000, 1).otherwise(0)
-    dated = rows.filter(F.col(ts).isNotNull()).withColumn("new", new)
-    return dated.withColumn("session", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+    dated = rows.filter(F.col(ts).isNotNull()).withColumn("micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    return parted(dated, keys, ["micros", *[c for c in ("id",) if c in rows.columns]], "micros", gap_days * 86_400_000_000).drop("micros")
 
 
 def events(rows: DataFrame, ts: str, gap_days: int = DEFAULTS.event_gap_days) -> DataFrame:
@@ -86,8 +84,9 @@ def top_tags(items: DataFrame, n: int = DEFAULTS.top_tags) -> DataFrame:
 
 def positions(members: DataFrame, album: str, cover: Column) -> DataFrame:
     """Members of each album numbered from 0: the cover first, then by date, undated last."""
-    order = W.partitionBy(album).orderBy(F.desc(cover.cast("int")), F.asc_nulls_last("taken_at"), "id")
-    return members.withColumn("position", F.row_number().over(order) - 1)
+    order = [F.desc("is_cover"), F.asc_nulls_last("taken_at"), "id"]
+    found = numbered(members.withColumn("is_cover", cover.cast("int")), [album], order)
+    return found.withColumn("position", F.col("number") - 1).drop("is_cover", "number")
 
 
 def upserted(albums: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -107,5 +106,5 @@ def timeline(items: DataFrame) -> DataFrame:
 
 def sequence_names(items: DataFrame) -> DataFrame:
     """Names numbered by path within each disc: 0001_name."""
-    number = F.row_number().over(W.partitionBy("disc_id").orderBy("original_path", "id"))
-    return items.select("id", "disc_id", F.format_string("%04d_%s", number, F.col("filename")).alias("staged_name"))
+    found = numbered(items.select("id", "disc_id", "original_path", "filename"), ["disc_id"], ["original_path", "id"])
+    return found.select("id", "disc_id", F.format_string("%04d_%s", "number", "filename").alias("staged_name"))

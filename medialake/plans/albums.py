@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import organise as O, rules as R
 from ..operators.catalog import in_library
+from ..operators.ordered import numbered
 from .surrogate import CTE, items, media
 
 LIB = "(lifecycle = 'library' or lifecycle is null)"
@@ -49,10 +50,8 @@ def _dominant(s, d):
 
 def _running_cap(s, d):
     """Members of each archive (disc) up to the first that breaks a cap on bytes: it and all after it are left out."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("disc_id").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
-    return media(s, d).withColumn("sum", F.sum("file_size").over(order)).filter("sum <= 4000000").select("disc_id", "id", "sum")
+    found = numbered(media(s, d).select("disc_id", "id", "file_size"), ["disc_id"], ["id"], ["file_size"])
+    return found.select("disc_id", "id", F.col("sum_file_size").alias("sum")).filter("sum <= 4000000")
 
 
 def _upsert(s, d):

@@ -58,10 +58,8 @@ def _cosine(s, d):
 
 
 def _nested(s, d):
-    m = media(s, d).select(F.col("id").alias("media_id"), "lifecycle")
-    return members(s, d).join(m, "media_id").groupBy("group_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("media_id", "lifecycle"))), lambda x: F.concat_ws(":", x["media_id"], F.coalesce(x["lifecycle"], F.lit("-")))), ",").alias("members")
-    )
+    told = F.transform("members", lambda x: F.concat_ws(":", x["media_id"], F.coalesce(x["lifecycle"], F.lit("-"))))
+    return D.listed(members(s, d), media(s, d)).select("group_id", "page", F.array_join(told, ",").alias("members"))
 
 
 def _hamming_components(s, d):
@@ -157,7 +155,9 @@ QUERIES = {
         f"{MEMBERS}, live as (select group_id, media_id from members join media on id = media_id where {ACTIVE}) select group_id, media_id from live qualify count(*) over (partition by group_id) > 1",
     ),
     "du7_nested_groups": (
-        _nested, f"{MEMBERS} select group_id, string_agg(media_id || ':' || coalesce(lifecycle, '-'), ',' order by media_id) as members from members join media on id = media_id group by 1",
+        _nested,
+        f"""{MEMBERS}, n as (select *, (row_number() over (partition by group_id order by media_id) - 1) // 1000 as page from members join media on media_id = id)
+ select group_id, page, string_agg(media_id || ':' || coalesce(lifecycle, '-'), ',' order by media_id) as members from n group by 1, 2""",
     ),
     "ag7_dup_summary": (
         lambda s, d: D.summary(members(s, d), media(s, d)),

@@ -7,10 +7,11 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import udtf
 
 from ..functions.names import IMAGES, VIDEOS, media_type, suffix
+from ..operators.ordered import numbered
 
 #: How much of one archive is expanded.
 MOST_FILES, MOST_BYTES = 50_000, 8 * 1024**3
@@ -27,9 +28,8 @@ def accepted_members(members: DataFrame, most_files: int = MOST_FILES, most_byte
     """Rows (archive, pos, member, size) that an expansion takes: media, until a cap is first passed, then none."""
     hidden = F.col("member").rlike(r"(^|/)(__MACOSX(/|$)|\.[^/]*$)")
     kept = members.filter(media_type(suffix(F.col("member"))).isNotNull() & ~hidden)
-    order = W.partitionBy("archive").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    summed = kept.withColumns({"files": F.count(F.lit(1)).over(order), "total": F.sum("size").over(order)})
-    return summed.filter((F.col("files") <= most_files) & (F.col("total") <= most_bytes))
+    summed = numbered(kept, ["archive"], ["pos"], ["size"])
+    return summed.filter((F.col("number") <= most_files) & (F.col("sum_size") <= most_bytes)).drop("number", "sum_size")
 
 
 def members_of(name: str, content: bytes, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> Iterator[tuple[str, int, bytes]]:
@@ -61,6 +61,12 @@ class ArchiveMembers:
         yield from members_of(path or "", bytes(content or b""))
 
 
+@F.udf(T.BooleanType())
+def has_media(path, content):
+    """Whether an archive lists a media member; false for unreadable ones."""
+    return next(members_of(path or "", bytes(content or b"")), None) is not None
+
+
 def expanded(files: DataFrame) -> DataFrame:
     """Members of the archives among binary files (path, content), with a path under archives/."""
     spark = files.sparkSession

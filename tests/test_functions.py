@@ -246,3 +246,33 @@ def test_cosine_pairs_in_blocks(spark):
     for rows in (7, 1000):
         assert {(r.a, r.b) for r in U.cosine_pairs(df, 0.92, block_rows=rows).collect()} == expect
     assert U.cosine_pairs(df.limit(0)).count() == 0
+
+
+def test_numbers_and_sessions_of_large_groups(spark):
+    """Against plain Python: a hot group, a null one, ties in values, null summands, over more ranges than groups."""
+    from medialake.operators import ordered
+
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        data = [(i, None if i % 10 == 0 else "hot" if i % 10 < 8 else f"g{i % 40}", (i * i) % 997, None if i % 7 == 0 else i % 50) for i in range(3_000)]
+        df = spark.createDataFrame(data, "id long, g string, v long, size long").repartition(5)
+        found = {r.id: (r.number, r.sum_size) for r in ordered.numbered(df, ["g"], [F.desc("v"), "id"], ["size"]).collect()}
+        steps = {r.id: r.session for r in ordered.parted(df, ["g"], ["v", "id"], "v", 3).collect()}
+        assert len(ordered.cells(df, ["g"], ["v", "id"]).filter("g = 'hot'").select("cell").distinct().collect()) > 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    for group in {r[1] for r in data}:
+        total = 0
+        for n, (i, _, _, size) in enumerate(sorted((r for r in data if r[1] == group), key=lambda r: (-r[2], r[0])), 1):
+            total += size or 0
+            assert found[i] == (n, total)
+        last, session = None, 0
+        for i, _, v, _ in sorted((r for r in data if r[1] == group), key=lambda r: (r[2], r[0])):
+            session += last is not None and v - last > 3
+            assert steps[i] == session
+            last = v
+    empty = df.filter("id < 0")
+    assert ordered.numbered(empty, ["g"], ["id"], ["size"]).count() == ordered.parted(empty, ["g"], ["v", "id"], "v", 3).count() == 0
