@@ -72,6 +72,20 @@ def failures(version: Column) -> Column:
     return F.when(v.startswith("vlm-gave-up"), GAVE_UP).when(v == "vlm-failed", 1).when(v.startswith("vlm-failed:"), F.greatest(F.lit(1), F.coalesce(count, F.lit(1)))).otherwise(0)
 
 
+def failed_version(before: Column, most: int = 2) -> Column:
+    """The version written after one more failure: counted, and given up at `most`."""
+    n = F.greatest(F.coalesce(before, F.lit(0)), F.lit(0)) + 1
+    return F.when(n >= most, "vlm-gave-up").otherwise(F.concat(F.lit("vlm-failed:"), n.cast("string")))
+
+
+def annotation_row(result: Column, model: Column, version: Column, at: Column) -> list[Column]:
+    """Columns of an annotation to be stored from a model's result: lists as JSON, a missing or zero confidence as 0.5."""
+    listed = lambda name: F.to_json(F.coalesce(result[name], F.array().cast("array<string>"))).alias(name)
+    plain = [result[c].alias(c) for c in ("caption_short", "description", "scene_type", "people_count", "estimated_era")]
+    sure = F.coalesce(F.nullif(result["confidence"].cast("double"), F.lit(0.0)), F.lit(0.5)).alias("confidence")
+    return [*plain, listed("objects"), listed("suggested_tags"), sure, model.alias("model_name"), version.alias("model_version"), at.alias("analysed_at")]
+
+
 def heuristic_quality(width: Column, height: Column, blurry: Column) -> Column:
     """By megapixels, a half where unknown, at most 0.35 for blurry items; three decimals."""
     pixels = width.cast("double") * height

@@ -86,3 +86,24 @@ def human_bytes(n: Column) -> Column:
     for power, unit in ((2, "MB"), (1, "KB")):
         out = F.when(n < 1024 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+
+
+def as_int(text: Column) -> Column:
+    """A number in a text without its fraction; null where there is none that a long can hold."""
+    return text.try_cast("double").try_cast("long")
+
+
+def as_text(text: Column) -> Column:
+    """The text without white space around it; null where nothing is left."""
+    return F.nullif(F.regexp_replace(text.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def volume_slug(name: Column) -> Column:
+    """A volume's name as a folder's: other characters than letters, digits, '-' and '_' as '_', at most 80."""
+    clean = F.regexp_replace(F.regexp_replace(as_text(name), r"[^\p{L}\p{N}_-]", "_"), "^_+|_+$", "")
+    return F.left(F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown_volume")), F.lit(80))
+
+
+def provenance_name(volume: Column, at: Column) -> Column:
+    """The slug of a volume and the time (UTC) of its import."""
+    return F.concat(volume_slug(volume), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))

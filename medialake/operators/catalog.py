@@ -196,3 +196,26 @@ def between_and_tagged(joined: DataFrame, date_from=None, date_to=None, tags: li
         joined = joined.filter(F.col("taken_at") <= date_to)
     wanted = F.array(*[F.lit(t.lower()) for t in tags]) if tags else None
     return joined if wanted is None else joined.filter(F.arrays_overlap(F.transform(json_list(F.col("suggested_tags")), F.lower), wanted))
+
+
+def album_tab(albums: DataFrame, tab: str) -> DataFrame:
+    """Albums under a tab, those without a kind being plain albums; 'all' shows all."""
+    kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("album"))
+    return albums if tab == "all" else albums.filter(kind == tab)
+
+
+def album_totals(albums: DataFrame) -> DataFrame:
+    """One row: smart albums, all others as fixed ones, those that were made or proposed automatically, and all."""
+    auto = F.coalesce("is_ai_proposed", F.lit(False)) | F.coalesce(F.col("source").startswith("auto"), F.lit(False))
+    smart = F.coalesce(F.col("kind") == "smart", F.lit(False))
+    return albums.agg(F.count_if(smart).alias("smart"), F.count_if(~smart).alias("fixed"), F.count_if(auto).alias("auto"), F.count(F.lit(1)).alias("total"))
+
+
+def spanned(listing: DataFrame, selected: DataFrame, anchor, clicked) -> DataFrame:
+    """Ids selected once a listing (pos, id) is clicked with shift: all between the anchor and the click join those
+    selected; where one of the two isn't listed, the clicked id alone does."""
+    ends = listing.filter(F.col("id").isin(anchor, clicked)).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.countDistinct("id").alias("n"))
+    whole = ends.filter(F.col("n") == F.lit(len({anchor, clicked})))  # one row or none
+    between = listing.join(F.broadcast(whole), F.col("pos").between(F.col("low"), F.col("high"))).select("id")
+    click = listing.sparkSession.range(1).select(F.lit(clicked).cast(listing.schema["id"].dataType).alias("id"))
+    return selected.select("id").union(between).union(click).distinct()

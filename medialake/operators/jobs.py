@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULTS, Settings
@@ -45,3 +47,33 @@ def parked(failures: DataFrame, most: int = 3) -> DataFrame:
     """Items by number of failures: retried below `most`, parked as errors from there."""
     n = failures.groupBy("id").agg(F.count(F.lit(1)).alias("attempts"))
     return n.withColumn("state", F.when(F.col("attempts") >= most, "error").otherwise("retry"))
+
+
+def stale(jobs: DataFrame) -> DataFrame:
+    """Jobs that are marked stale, or are active without a living worker."""
+    active = F.col("status").isin("queued", "running") & ~F.coalesce("is_live", F.lit(True))
+    return jobs.filter(F.coalesce("stale", F.lit(False)) | active)
+
+
+def next_batch(queue: DataFrame, previous: DataFrame, most: int = 100) -> DataFrame:
+    """The first ids of a queue (pos, id); none if all of them were in the previous batch, as then nothing moves."""
+    batch = queue.orderBy("pos", "id").limit(most).select("id")
+    fresh = batch.join(previous.select("id").distinct(), "id", "left_anti").limit(1).select(F.lit(True).alias("fresh"))
+    return batch.join(F.broadcast(fresh))  # one row or none
+
+
+def drained(queue: Callable[[], DataFrame], work: Callable[[DataFrame], None], most: int = 100) -> int:
+    """Hands batch after batch of a queue to work, until there is none or one brings nothing new; their number.
+
+    The driver holds the ids of one batch, `most` at the most.
+    """
+    spark, done, ids = queue().sparkSession, 0, []
+    while True:
+        rows = queue()
+        type_ = rows.schema["id"].dataType.simpleString()
+        previous = spark.createDataFrame([(i,) for i in ids], f"id {type_}")
+        ids = [r.id for r in next_batch(rows, previous, most).select("id").collect()]
+        if not ids:
+            return done
+        work(spark.createDataFrame([(i,) for i in ids], f"id {type_}"))
+        done += 1

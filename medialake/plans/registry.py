@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import albums, copies, listings, scalars, states
+from . import albums, copies, listings, records, scalars, states
 
-MODULES = (listings, albums, copies, scalars, states)
+MODULES = (listings, albums, copies, scalars, states, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

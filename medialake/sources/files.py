@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -114,3 +116,27 @@ def volumes(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(Volumes)
     found = spark.read.format("volumes").option("root", root).load()
     return found.orderBy(volume_order(F.col("kind")), F.lower("name"))
+
+
+def probed(files: DataFrame) -> DataFrame:
+    """Files (path) with whether a byte of each can be read, and why not: read in the tasks, one byte a file."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(p, *_readable(p)) for p in batch["path"]], columns=["path", "readable", "reason"])
+
+    return files.select("path").mapInPandas(probe, "path string, readable boolean, reason string")
+
+
+def _readable(path: str | None) -> tuple[bool, str | None]:
+    local = (path or "").removeprefix("file://").removeprefix("file:")
+    if not os.path.isfile(local):
+        return False, "not a regular file"
+    try:
+        with open(local, "rb") as f:
+            f.read(1)
+    except PermissionError:
+        return False, "permission denied"
+    except OSError as error:
+        return False, str(error)
+    return True, None
