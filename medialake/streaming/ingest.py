@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.gates import path_code
 
@@ -70,3 +72,27 @@ def event_windows(events: DataFrame, ts: str = "ts", late: str = "1 hour", size:
 def mounted(previous: set[str], current: set[str]) -> tuple[set[str], set[str]]:
     """New volumes, and the state to keep: those unmounted are forgotten, so that they count as new again."""
     return current - previous, set(current)
+
+
+class Progress(StreamingQueryListener):
+    """What streaming queries have done last: the newest `most` reports, for a table of live progress."""
+
+    def __init__(self, most: int = 20):
+        self.reports: deque[tuple] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:
+        self.reports.append((str(event.id), event.name, "started", None, None, 0.0))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.reports.append((str(p.id), p.name, "running", p.batchId, p.numInputRows, float(p.processedRowsPerSecond or 0.0)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.reports.append((str(event.id), None, "failed" if event.exception else "ended", None, None, 0.0))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per report, the oldest first: query, name, status, batch, rows, rows a second."""
+        return spark.createDataFrame(list(self.reports), "query string, name string, status string, batch long, rows long, per_second double")

@@ -276,3 +276,63 @@ def test_numbers_and_sessions_of_large_groups(spark):
             last = v
     empty = df.filter("id < 0")
     assert ordered.numbered(empty, ["g"], ["id"], ["size"]).count() == ordered.parted(empty, ["g"], ["v", "id"], "v", 3).count() == 0
+
+
+def test_probes_of_files_and_archives(spark, tmp_path):
+    (tmp_path / "good.jpg").write_bytes(b"x")
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    paths = [str(tmp_path / "good.jpg"), f"file://{tmp_path}/empty.jpg", str(tmp_path), str(tmp_path / "gone.jpg"), None]
+    found = {r.path: (r.readable, r.reason) for r in files.probed(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert [found[p][0] for p in paths] == [True, True, False, False, False]
+    assert found[None][1] == "not a regular file"
+    for name, members in (("yes", ["a/P.JPG"]), ("no", ["a/notes.txt", "__MACOSX/P.JPG", ".hidden.jpg"])):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for m in members:
+                z.writestr(m, b"1")
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(str(tmp_path))
+    peeked = packed.select(F.element_at(F.split("path", "/"), -1).alias("p"), archives.has_media("path", "content").alias("has"))
+    assert {r.p: r.has for r in peeked.collect()} == {"yes.zip": True, "no.zip": False}
+
+
+def test_queue_is_drained_until_nothing_moves(spark):
+    left, seen = list(range(7)), []
+
+    def queue():
+        return spark.createDataFrame([(i, i) for i in left], "pos long, id long")
+
+    def work(batch):
+        ids = [r.id for r in batch.collect()]
+        seen.append(ids)
+        for i in ids:
+            if i != 5:  # this one never leaves the queue
+                left.remove(i)
+
+    assert J.drained(queue, work, most=3) == 3
+    assert seen == [[0, 1, 2], [3, 4, 5], [5, 6]]
+    left.clear()
+    assert J.drained(queue, work, most=3) == 0
+
+
+def test_progress_of_streams(spark, tmp_path):
+    import time
+
+    staged = spark.createDataFrame([(1, "a/p.jpg", "x", 90_000, 900, 900, False, None)], ingest.STAGED)
+    staged.write.parquet(str(tmp_path / "in"))
+    progress = ingest.Progress(most=5)
+    spark.streams.addListener(progress)
+    try:
+        ingest.drain(ingest.staged_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        for _ in range(100):
+            if any(r[2] == "ended" for r in progress.reports):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    told = progress.table(spark).collect()
+    assert told[0].status == "started" and told[-1].status == "ended" and len({r.query for r in told}) == 1
+    assert sum(r["rows"] or 0 for r in told) == 1
+
+
+def test_words_of_records(spark):
+    got = one(spark, N.as_int(F.lit("-3.9")), N.as_int(F.lit("1e30")), N.as_int(F.lit("NaN")), N.as_text(F.lit(" \t")), N.volume_slug(F.lit(" Fotos ß/1 ")), N.volume_slug(F.lit("/ /")), A.failed_version(F.lit(None).cast("int")), A.failed_version(F.lit(1)))
+    assert tuple(got) == (-3, None, None, None, "Fotos_ß_1", "unknown_volume", "vlm-failed:1", "vlm-gave-up")
