@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, extraction, fingerprints, jaccard_join, oracles, packing, secret_scans, sharding, token_counts, toxicity, warc
+from . import decontamination, divergence, extraction, fingerprints, jaccard_join, oracles, packing, retrieval_packing, secret_scans, sharding, token_counts, toxicity, vector_codes, warc
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.packed(table(spark, sf_dir, "documents"), room=1024, end_id=0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top_terms=10)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -65,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_sharding": op9_sharding,
         "op10_warc": op10_warc,
+        "op11_retrieval_packing": op11_retrieval_packing,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
