@@ -10,10 +10,12 @@ import numpy as np
 
 #: Fixed values of HTML: elements without content, without text, inside a line, and those that end others.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"script", "style", "title", "template", "svg", "math", "iframe", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
+SILENT = {"script", "style", "title", "template", "svg", "annotation", "annotation-xml", "iframe", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
 #: Of these, what may hold its own kind, and what holds nothing but characters.
-NESTING, LITERAL = {"template", "svg", "math"}, {"script", "style", "title", "textarea", "iframe"}
+NESTING, LITERAL = {"template", "svg"}, {"script", "style", "title", "textarea", "iframe"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: A formula stands in its line.
+INLINE |= set("math maction menclose mfenced mfrac mi mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 ENDS = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -206,10 +208,13 @@ LANE = 32
 NAMES = [
     "depth", "chars", "links", "tag_density", "blocks", "paragraphs", "of_page", "of_parent", "place", "siblings", "alike", "leaf_chars", "stops", "start",
     "leaves", "only_child", "parent_links", "before_chars", "after_chars", *[f"tag{i}" for i in range(len(TAGS))], *[f"own_{g}" for g in WORDS], *[f"above_{g}" for g in WORDS],
-    *[f"below_{g}" for g in WORDS], "in_article", "in_nav", "in_header", "in_footer", "in_aside", "in_form", "in_list", "has_article", "has_h1",
+    *[f"below_{g}" for g in WORDS], "in_article", "in_nav", "in_header", "in_footer", "in_aside", "in_form", "in_list", "has_article", "has_h1", "said", "said_below",
 ]
 ABOVE = [{"article", "main"}, {"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form"}, {"ul", "ol", "dl", "li"}]
 IS_ABOVE = {t: sum(1 << i for i, ts in enumerate(ABOVE) if t in ts) for t in set().union(*ABOVE)}
+#: Groups of words, and elements, that say that a block is none of the article's.
+SAYS = sum(1 << i for i, g in enumerate(WORDS) if g not in ("text", "about"))
+SAYING = {"nav", "menu", "header", "footer", "aside", "form"}
 TAG_GROUP = {t: i for i, ts in enumerate(TAGS) for t in ts}
 
 
@@ -239,13 +244,21 @@ def features(nodes: list[Node]) -> np.ndarray:
             paras[p] += paras[i] + (node.tag == "p")
             has[p] |= has[i] | (node.tag in ABOVE[0]) | (node.tag == "h1") << 1
             below[p] += below[i] + own_words[i]
-    depth, start, kids, place, alike, over, within = ([0] * n for _ in range(7))
+    depth, start, kids, place, alike, over, within, said, said_below = ([0] * n for _ in range(9))
     own = [sum(1 << g for g in node.groups) for node in nodes]
+    for i in range(n - 1, -1, -1):
+        says = own[i] & SAYS > 0 or nodes[i].tag in SAYING
+        said[i] = says
+        said_below[i] += says * chars[i]
+        if i:
+            p = parent[i]
+            said_below[p] = min(chars[p], said_below[p] + min(chars[i], said_below[i]))
     kids[0] = 1
     for i, node in enumerate(nodes):
         if i:
             p = parent[i]
             depth[i] = depth[p] + 1
+            said[i] += said[p]
             over[i] = over[p] | own[p]
             within[i] = within[p] | IS_ABOVE.get(nodes[p].tag, 0)
             kids[i] = len(nodes[p].children)
@@ -258,8 +271,8 @@ def features(nodes: list[Node]) -> np.ndarray:
             so_far += chars[c]
             place[c] = at / last
             alike[c] = same[nodes[c].tag] / len(node.children)
-    arrays = (np.array(x, float) for x in (chars, links, tags, blocks, paras, stops, leaves, depth, start, kids, place, alike))
-    chars_, links_, tags_, blocks_, paras_, stops_, leaves_, depth_, start_, kids_, place_, alike_ = arrays
+    arrays = (np.array(x, float) for x in (chars, links, tags, blocks, paras, stops, leaves, depth, start, kids, place, alike, said_below))
+    chars_, links_, tags_, blocks_, paras_, stops_, leaves_, depth_, start_, kids_, place_, alike_, told_ = arrays
     up = np.maximum(np.array(parent), 0)
     total = max(1.0, chars_[0])
     filled = np.maximum(chars_, 1)
@@ -278,4 +291,4 @@ def features(nodes: list[Node]) -> np.ndarray:
             kind[i, TAG_GROUP[node.tag]] = 1
     bits = lambda masks, k: (np.array(masks)[:, None] >> np.arange(k)) & 1
     counts = np.frombuffer(b"".join(x.to_bytes(N_GROUPS * LANE // 8, "little") for x in below), "<u4").reshape(n, N_GROUPS)
-    return np.concatenate([head, kind, bits(own, N_GROUPS), bits(over, N_GROUPS), np.log1p(counts), bits(within, len(ABOVE)), bits(has, 2)], axis=1).astype(np.float32)
+    return np.concatenate([head, kind, bits(own, N_GROUPS), bits(over, N_GROUPS), np.log1p(counts), bits(within, len(ABOVE)), bits(has, 2), np.stack([np.array(said), told_ / filled], axis=1)], axis=1).astype(np.float32)

@@ -35,6 +35,11 @@ class Marked(Page):
             if k == "data-m":
                 self.marks[len(self.nodes) - 1] = v
 
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "body" and ("data-m", KEEP) in attrs:
+            self.marks[0] = KEEP
+        super().handle_starttag(tag, attrs)
+
     def shares(self) -> np.ndarray:
         """Per node the share of its text that is to be kept."""
         state: list[str | None] = []

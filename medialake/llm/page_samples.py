@@ -13,6 +13,8 @@ PARTS = {
     "notice": 0.3, "header": 0.55, "nav": 0.8, "advert": 0.6, "aside": 0.45, "comments": 0.4, "form": 0.35, "footer": 0.85, "related": 0.35, "share": 0.3, "inner_advert": 0.3,
     "byline": 0.2, "crumbs": 0.2,
 }
+#: Elements that say what is to be dropped without attributes.
+TELLING = ("nav", "header", "footer", "aside", "form")
 
 
 class Maker:
@@ -68,7 +70,7 @@ class Maker:
         tag = self.r.choice(tags)
         # without a telling element name the attribute has to tell
         attrs = self.attrs(*names)
-        while not attrs and tag in ("div", "section", "p"):
+        while not attrs and tag not in TELLING:
             attrs = self.attrs(*names)
         return self.el(tag, inside, attrs, DROP)
 
@@ -109,7 +111,7 @@ class Maker:
         return self.drop(["div", "ul"], self.links(self.r.choice(["span", "li"])), "share", "social", "share-bar", "follow")
 
     def byline(self) -> str:
-        return self.drop(["div", "p"], self.sentence(2, 5), "byline", "meta", "author", "date", "published")
+        return self.el(self.r.choice(["div", "p"]), self.sentence(2, 5), self.attrs("byline", "meta", "author", "date", "published"), KEEP)
 
     def form(self) -> str:
         inside = self.el("label", self.sentence(1, 4)) + '<input name="q">' + self.r.choice(["", self.el("p", self.text(1, 2)), "<button>Go</button>"])
@@ -124,43 +126,89 @@ class Maker:
         name = "advert" if part == "inner_advert" else part
         return getattr(self, name)() if self.r.random() < PARTS[part] else ""
 
+    def linked(self) -> str:
+        """A paragraph that is a link for the most part."""
+        link = f'<a href="/{self.word()}">{self.sentence(1, 9)}</a>'
+        return self.el("p", self.r.choice([link, f"{self.sentence(1, 3)} {link}", f"{link} {self.sentence(1, 4)}", f"{link}, {link} &ndash; {self.sentence(1, 2)}"]))
+
+    def links_told(self) -> str:
+        """A list of links that belongs to the article."""
+        items = [f'<a href="/{self.word()}">{self.sentence(1, 10)}</a>' + self.r.choice(["", "", " " + self.sentence(2, 14)]) for _ in range(self.r.randint(2, 14))]
+        return self.el(self.r.choice(["ul", "ol"]), "".join(self.el("li", x) for x in items))
+
+    def part(self) -> str:
+        """A block of an article."""
+        r, kind = self.r, self.r.random()
+        if kind < 0.7:
+            body = self.text()
+            odd = r.choice([f"<p><{r.choice(['i', 'span', 'strong', 'u', 'font'])}>{body}", f"<p>{body}<br><br>{self.text(1, 2)}", f"<p>{body}</span></p>"])
+            return odd if r.random() < 0.08 else self.el(r.choice(["p"] * 9 + ["div"]), body, self.unsaid() if r.random() < 0.1 else "")
+        if kind < 0.76:
+            return self.linked()
+        if kind < 0.82:
+            return self.el(r.choice(["h2", "h3"]), self.sentence(1, 8))
+        if kind < 0.86:
+            return self.el(r.choice(["ul", "ol"]), "".join(self.el("li", self.sentence()) for _ in range(r.randint(2, 6))))
+        if kind < 0.89:
+            return self.links_told()
+        if kind < 0.93:
+            return self.el("blockquote", "".join(self.el("p", self.text(1, 5)) for _ in range(r.choice([1, 1, 2, 8]))) if r.random() < 0.7 else self.text(1, 6))
+        if kind < 0.96:
+            return self.el("table", "".join(self.el("tr", "".join(self.el("td", self.sentence(1, 3)) for _ in range(3))) for _ in range(r.randint(1, 6))))
+        if kind < 0.98:
+            return self.el(r.choice(["pre", "dl"]), r.choice([self.text(1, 3), "".join(self.el("dt", self.sentence(1, 2)) + self.el("dd", self.sentence()) for _ in range(r.randint(1, 5)))]))
+        inside = r.choice(["<img src=x>", "<noscript><img src=x></noscript>", f"<object data=x>{self.el('p', self.sentence())}</object>"])
+        return self.el("figure", inside + self.el("figcaption", self.sentence()))
+
+    def unsaid(self) -> str:
+        """Attributes that tell nothing."""
+        return self.r.choice(["", f' class="{self.word()}"', f' class="{self.r.choice("abcdefx")}{self.r.randint(0, 99)}"', f' id="{self.word()}-{self.r.randint(0, 99)}"', ' style="margin:0"'])
+
     def article(self) -> str:
+        """An article: in an element or attributes that tell, in ones that don't, in a table's cell, or in none."""
         r = self.r
         heading = self.el("h1", self.sentence(2, 12), self.attrs("title", "headline")) if r.random() < 0.85 else ""
         if heading and r.random() < 0.15:
             heading = self.el("header", heading, self.attrs("entry-header", "article-header"), KEEP)
-        parts = [heading]
-        for _ in range(0 if r.random() < 0.04 else r.randint(1, 14)):
-            kind = r.random()
-            if kind < 0.78:
-                body = self.text()
-                odd = r.choice([f"<p><{r.choice(['i', 'span', 'strong', 'u', 'font'])}>{body}", f"<p>{body}<br><br>{self.text(1, 2)}", f"<p>{body}</span></p>"])
-                parts.append(odd if r.random() < 0.08 else self.el(r.choice(["p"] * 9 + ["div"]), body))
-            elif kind < 0.86:
-                parts.append(self.el(r.choice(["h2", "h3"]), self.sentence(1, 8)))
-            elif kind < 0.91:
-                parts.append(self.el(r.choice(["ul", "ol"]), "".join(self.el("li", self.sentence()) for _ in range(r.randint(2, 6)))))
-            elif kind < 0.95:
-                parts.append(self.el("blockquote", self.el("p", self.text(1, 3))))
-            elif kind < 0.98:
-                parts.append(self.el("table", "".join(self.el("tr", "".join(self.el("td", self.sentence(1, 3)) for _ in range(3))) for _ in range(r.randint(1, 4)))))
-            else:
-                inside = r.choice(["<img src=x>", "<noscript><img src=x></noscript>", f"<object data=x>{self.el('p', self.sentence())}</object>"])
-                parts.append(self.el("figure", inside + self.el("figcaption", self.sentence())))
+        parts = [heading] if heading else []
+        kind = r.random()
+        if kind < 0.06:  # a list of links is all there is
+            parts.append(self.links_told())
+        elif kind < 0.1:  # one kind of block again and again
+            parts += [self.el(r.choice(["div", "p"]), self.text()) for _ in range(r.randint(1, 14))]
+        else:
+            parts += [self.part() for _ in range(0 if heading and r.random() < 0.04 else r.randint(1, 14))]
         if r.random() < 0.12:  # sections inside
             half = len(parts) // 2
             parts = [*parts[:half], self.el("section", "".join(parts[half:]))]
         for part in ("byline", "share", "inner_advert"):
             parts.insert(r.randint(min(1, len(parts)), len(parts)), self.some(part))
-        mixed = any(f"data-m={DROP}" in p for p in parts)
-        tag, names = r.choice(
-            [("article", ()), ("article", ()), ("article", ("post", "story")), ("main", ()), ("div", ("content", "article-body", "entry-content", "post", "story-text", "main", "prose")), ("section", ("content", "article", "text"))]
-        )
+        tail = self.comments() if r.random() < 0.1 else ""
+        mixed = tail or any(f"data-m={DROP}" in p for p in parts)
+        inside = self.keep_each(parts) + tail if mixed else "".join(parts)
+        if r.random() < 0.5:
+            return self.told(inside, bool(mixed))
+        if not mixed and r.random() < 0.12:  # text without elements
+            return self.el("div", "<br><br>".join(self.text() for _ in range(r.randint(1, 9))), self.unsaid(), KEEP)
+        how = r.random()
+        if how < 0.35:
+            return inside if mixed else self.keep_each(parts)
+        if how < 0.8:
+            inner = self.el("div", inside, self.unsaid(), "" if mixed else KEEP)
+            return self.el("div", inner, self.unsaid()) if r.random() < 0.3 else inner
+        cells = [self.el("td", inside, self.unsaid(), "" if mixed else KEEP)]
+        if r.random() < 0.6:
+            cells.insert(r.randint(0, 1), self.el("td", self.nav() if r.random() < 0.6 else self.aside()))
+        return self.el("table", self.el("tr", "".join(cells)), self.unsaid())
+
+    def told(self, inside: str, mixed: bool) -> str:
+        """The article in an element or attributes that say so."""
+        names = ("content", "article-body", "entry-content", "post", "story-text", "main", "prose")
+        tag, names = self.r.choice([("article", ()), ("article", ()), ("article", ("post", "story")), ("main", ()), ("div", names), ("section", ("content", "article", "text"))])
         attrs = self.attrs(*names)
         while not attrs and tag in ("div", "section"):
             attrs = self.attrs(*names)
-        tail = self.comments() if r.random() < 0.1 else ""
-        return self.el(tag, "".join(parts) + tail, attrs, "" if mixed or tail else KEEP) if not (mixed or tail) else self.el(tag, self.keep_each(parts) + tail, attrs)
+        return self.el(tag, inside, attrs, "" if mixed else KEEP)
 
     def keep_each(self, parts: list[str]) -> str:
         """Marks each kept block, where blocks to drop lie between them."""
@@ -180,6 +228,12 @@ class Maker:
         if r.random() < 0.25:
             r.shuffle(before)
         middle = self.article()
+        if r.random() < 0.08:  # an article and nothing else, or a piece of one
+            return r.choice([middle, f"<html><body>{middle}</body></html>"])
+        if r.random() < 0.03:
+            return "".join(self.el("p", self.text(), mark=KEEP) for _ in range(r.randint(1, 3)))
+        if r.random() < 0.03:  # text without any element
+            return f"<body data-m={KEEP}>" + r.choice(["<br><br>", "\n\n", "<hr>"]).join(self.text() for _ in range(r.randint(1, 6)))
         if r.random() < 0.3:
             inner = [self.some("aside"), middle, *after[:2]]
             middle, after = self.el(r.choice(["div", "main"]), "".join(inner), self.attrs("wrapper", "container", "page", "layout")), after[2:]
