@@ -61,6 +61,16 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
+def told(ids: Column, kind: T.DataType) -> Column:
+    """Ids as pandas can hold them beside nulls: whole numbers as texts, since pandas makes floats of them."""
+    return ids.cast("string") if isinstance(kind, T.IntegralType) else ids
+
+
+def told_type(kind: T.DataType) -> T.DataType:
+    """The type of told(ids, kind); a cast to kind gives the ids back."""
+    return T.StringType() if isinstance(kind, T.IntegralType) else kind
+
+
 def range_buckets(ids: DataFrame, key: str, rows_per_bucket: int = 20_000) -> list:
     """Ascending cut points of a key, one per rows_per_bucket rows or so, at most 65,535 of them.
 

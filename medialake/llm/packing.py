@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from math import isqrt
@@ -12,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import stored, text_of
+from .common import stored, text_of, told, told_type
 from .encoding import encoder, vocabulary_path
 
 PIECES = T.StructType(
@@ -24,8 +23,8 @@ PIECES = T.StructType(
     ]
 )
 #: Pieces and gaps in a range bucket, which one task sweeps, or the square root of their number where that is more: then
-#: the table of buckets, which one task sweeps too, is no larger. So many items or fewer are packed to the end at once.
-TOGETHER = 2_000
+#: the table of buckets, which one task sweeps too, is no larger.
+TOGETHER = 256
 
 
 def cut_points(n: int, room: int) -> list[int]:
@@ -47,8 +46,10 @@ def pieces(docs: DataFrame, room: int, end_id: int, path: str | None, id_column:
                 out += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(at, at[1:]))]
             yield pd.DataFrame(out, columns=["id", *PIECES.names])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *PIECES])
-    return docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text")).mapInPandas(encode, schema)
+    kind = docs.schema[id_column].dataType
+    schema = T.StructType([T.StructField("id", told_type(kind)), *PIECES])
+    rows = docs.select(told(docs[id_column], kind).alias("id"), text_of(docs, text_column).alias("text"))
+    return rows.mapInPandas(encode, schema).withColumn("id", F.col("id").cast(kind))
 
 
 # Items of a round are pieces (pid, length) and gaps (gap) of open sequences (seq); SWEPT rows are what a sweep makes of
@@ -177,34 +178,6 @@ def _round(items: DataFrame, room: int, several: bool) -> tuple[list[DataFrame],
     return [*placed, settled.filter("pid is not null").select("pid", "seq", "offset")], gaps, sent.filter("source is null").select("pid", "length")
 
 
-def best_fit(pieces_left: list[tuple[int, int]], gaps: list[tuple[int, int]], room: int, opened: int) -> list[tuple[int, int, int]]:
-    """Plain best fit, longest first, of pieces (length, pid) into gaps (gap, seq): (pid, seq, offset) of each piece."""
-    free, out = sorted(gaps), []
-    for length, pid in sorted(pieces_left, key=lambda p: (-p[0], p[1])):
-        i = bisect_left(free, (length, -1))
-        if i < len(free):
-            gap, seq = free.pop(i)
-        else:
-            gap, seq = room, opened
-            opened += 1
-        out.append((pid, seq, room - gap))
-        if gap > length:
-            insort(free, (gap - length, seq))
-    return out
-
-
-def _finished(items: DataFrame, room: int, opened: int) -> DataFrame:
-    """Places of the last pieces, a bucket's worth of items or fewer, by one task."""
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        pieces_left = group[group["pid"].notna()][["length", "pid"]].astype("int64").itertuples(index=False)
-        gaps = group[group["seq"].notna()][["gap", "seq"]].astype("int64").itertuples(index=False)
-        placed = best_fit([tuple(p) for p in pieces_left], [tuple(g) for g in gaps], room, opened)
-        return pd.DataFrame(placed, columns=["pid", "seq", "offset"])
-
-    return stored(items.groupBy().applyInPandas(finish, "pid long, seq long, offset long"), "settled")
-
-
 def _items(pieces_left: DataFrame, gaps: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     return pieces_left.select(F.col("length").alias("size"), "pid", "length", none.alias("seq"), none.alias("gap")).unionByName(
@@ -218,8 +191,8 @@ def places(lengths: DataFrame, room: int, together: int = TOGETHER) -> tuple[lis
     Rounds, each a few jobs: pieces that no open gap is wide enough for open as many sequences as their tokens need;
     pieces and gaps are range-sorted together by size into buckets; a sweep in each bucket, then one over the buckets'
     few totals, give each piece the smallest gap that is left for it; gaps are updated. Only counts by size, at most
-    2 * room of them, come to the driver, to cut buckets. Rounds go on until a bucket's worth of items is left, which
-    one task ends.
+    2 * room of them, come to the driver, to cut buckets. Rounds go on until no piece is left: the longest piece of a
+    round always gets a place.
     """
     spark = lengths.sparkSession
     left, gaps = lengths, spark.createDataFrame([], "seq long, gap long")
@@ -234,8 +207,6 @@ def places(lengths: DataFrame, room: int, together: int = TOGETHER) -> tuple[lis
         by_gap = {r[0]: r[1] for r in counts if r[2] and r[0] >= shortest}
         gaps = gaps.filter(F.col("gap") >= shortest)
         items = sum(by_length.values()) + sum(by_gap.values())
-        if items <= together:
-            return [*placed, _finished(_items(left, gaps), room, opened)], opened + sum(by_length.values())
         widest = max(by_gap, default=0)
         new = -(-sum(n * many for n, many in by_length.items() if n > widest) // room)
         if new:

@@ -8,14 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_of
-from .encoding import Known, encoder, vocabulary_path
+from .common import text_of, told, told_type
+from .encoding import LONGEST, Known, encoder, vocabulary_path
 
-#: Documents whose pre-tokens are counted to choose the frequent ones: whichever Spark reads first. The choice decides
-#: which tier answers, never a result.
-SAMPLE_ROWS = 2_000
+#: The frequent pre-tokens are chosen by the first SAMPLE_TASKS tasks, each by counting those of its first SAMPLE_CHARS
+#: characters and handing on the SAMPLE_KEPT most frequent: bounds of what is read, counted and sent to the driver. The
+#: choice decides which tier answers, never a result.
+SAMPLE_TASKS, SAMPLE_CHARS, SAMPLE_KEPT = 64, 1 << 18, 8_000
 #: Frequent pre-tokens, at most, and slots of their table, a power of two: 8 + 4 + 1 bytes each, so 1.7 MB at any size.
 FREQUENT, SLOTS = 60_000, 1 << 17
 #: Slots that an entry may lie behind its own.
@@ -52,20 +54,30 @@ def looked_up(table: Table, pieces: list[str]) -> np.ndarray:
     return found
 
 
-def frequent_table(texts: DataFrame, path: str | None, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> Table:
-    """The table of the pre-tokens that `rows` of the texts (column text) have most often, each twice or more.
+def frequent_table(texts: DataFrame, path: str | None, chars: int = SAMPLE_CHARS, most: int = FREQUENT) -> Table:
+    """The table of the pre-tokens that a bounded sample of the texts (column text) has most often, each twice or more.
 
-    Spark counts them; the driver encodes at most `most` of them.
+    Tasks count, each on its own, and the driver adds up their bounded counters: no pre-token is shuffled.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(path or vocabulary_path())
-        for batch in batches:
-            times = Times(p for t in batch["text"] if coder.plainly(t) for p in coder.split(t))
-            yield pd.DataFrame({"piece": list(times), "n": list(times.values())})
-
-    counted = texts.select("text").limit(rows).mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = [r.piece for r in counted.filter("n > 1").orderBy(F.desc("n"), "piece").limit(most).collect()]
+        if TaskContext.get().partitionId() >= SAMPLE_TASKS:
+            return
+        coder, times, left = encoder(path or vocabulary_path()), Times(), chars
+        for text in (t for batch in batches for t in batch["text"]):
+            if coder.plainly(text):
+                times.update(p for p in coder.split(text[:left]) if len(p) <= LONGEST)
+            left -= len(text)
+            if left <= 0:
+                break
+        if times:
+            top = times.most_common(SAMPLE_KEPT)
+            yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+
+    total = Times()
+    for r in texts.select("text").mapInPandas(count, "piece string, n long").collect():  # SAMPLE_TASKS * SAMPLE_KEPT rows at most
+        total[r.piece] += r.n
+    top = sorted((p for p, n in total.items() if n > 1), key=lambda p: (-total[p], p))[:most]
     coder = encoder(path or vocabulary_path())
     return table_of({p: len(coder.tokens(p)) for p in top})
 
@@ -116,7 +128,8 @@ def token_counts(
     an empty table gives no rows; other columns are ignored. Returns id, n_bytes, n_tokens, over_limit (n_tokens > limit).
     """
     text = text_of(docs, text_column)
-    rows = docs.select(docs[id_column].alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    kind = docs.schema[id_column].dataType
+    rows = docs.select(told(docs[id_column], kind).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_table(rows, path))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,8 +141,7 @@ def token_counts(
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": one.count(list(batch["text"]))})
 
-    kind = docs.schema[id_column].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("id", told_type(kind)), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return rows.mapInPandas(count, schema).select(
-        F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+        F.col("id").cast(kind).alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

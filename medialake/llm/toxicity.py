@@ -240,7 +240,8 @@ def token_scores(rows: DataFrame) -> dict[str, float]:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 sides[int(toxic)].update({t for w in set(words_of(text)) for t in tokens(w)})
             both = list(sides[0].keys() | sides[1].keys())
-            yield pd.DataFrame({"token": both, "clean": [sides[0][w] for w in both], "bad": [sides[1][w] for w in both]})
+            if both:  # an empty column has no type
+                yield pd.DataFrame({"token": both, "clean": [sides[0][w] for w in both], "bad": [sides[1][w] for w in both]})
 
     counts = rows.mapInPandas(count, "token string, clean long, bad long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     counts = stored(counts, "token-counts")
@@ -265,7 +266,8 @@ def chance(rows: DataFrame, scores: dict[str, float]) -> tuple[np.ndarray, np.nd
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = Counter(round(100 * s) for t in batch["text"] for s in shared.value.words(t))
-            yield pd.DataFrame({"step": list(found), "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"step": list(found), "n": list(found.values())})
 
     steps = rows.filter("toxic = 0").mapInPandas(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
     shared.destroy()

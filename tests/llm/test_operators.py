@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -156,6 +157,47 @@ def test_token_counts(spark, docs):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [None, ""])
+def test_texts_without_words_everywhere(spark, text):
+    """Every operator on texts, over a table of null or empty texts alone, then with documents behind them."""
+    empty = spark.createDataFrame([(i, text, "en", "s") for i in range(1_500)], "doc_id long, text string, lang string, source string").coalesce(1)
+    labels = empty.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert {r.n_tokens for r in token_counts.token_counts(empty).collect()} == {0}
+    assert {r.n_shingles for r in jaccard_join.linked(empty).collect()} == {0}
+    assert len({r.score for r in toxicity.scored(empty, toxicity.fit(empty, labels)).collect()}) == 1
+    assert {r.spans for r in secret_scans.digests(secret_scans.secrets(empty)).collect()} == {""}
+    assert packing.packed(empty).agg(F.sum("length")).first()[0] == 1_500
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert {r.n_hit for r in decontamination.verdicts(decontamination.contamination(empty, items)).collect()} == {0}
+    assert len({r.fingerprint for r in fingerprints.fingerprints(empty).collect()}) == 1
+    assert {r.size for r in sharding.byte_shards(empty).collect()} == {1}
+    pages = empty.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {r.payload_bytes for r in warc.round_trip(pages, least=0).collect()} == {0} and {r.text for r in extraction.main_text(pages).collect()} == {""}
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(20).select((F.col("doc_id") + 5_000).alias("doc_id"), "text", "lang", "source")
+    both = empty.union(real).coalesce(1)
+    assert token_counts.token_counts(both).agg(F.max("n_tokens")).first()[0] > 0
+    known = real.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert 0 <= toxicity.scored(both, toxicity.fit(both, labels.union(known))).agg(F.max("score")).first()[0] <= 1
+
+
+def test_frequent_tokens_come_from_a_bounded_sample(spark, monkeypatch):
+    """Only the first characters of the first tasks are counted, and nothing is shuffled."""
+    rows = spark.createDataFrame([(i, "early birds early birds" if i < 50 else "late owls late owls") for i in range(100)], "id long, text string").coalesce(1)
+    full = token_counts.frequent_table(rows, None)
+    assert token_counts.looked_up(full, [" birds", " owls"]).tolist()[0] > 0 and token_counts.looked_up(full, [" owls"])[0] > 0
+    part = token_counts.frequent_table(rows, None, chars=200)
+    assert token_counts.looked_up(part, [" birds"])[0] > 0 and token_counts.looked_up(part, [" owls"])[0] == 0
+    monkeypatch.setattr(token_counts, "SAMPLE_TASKS", 0)
+    none = token_counts.frequent_table(rows, None)
+    assert not token_counts.looked_up(none, [" birds", " owls"]).any()
+
+
+def test_large_ids_beside_null_ones(spark):
+    rows = [(2**60 + 1, "one two"), (None, "three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in token_counts.token_counts(df).collect()} == {r.doc_id for r in packing.packed(df).collect()} == {2**60 + 1, None}
+
+
 def test_token_table_is_asked_first_and_caches_hold_misses():
     lengths = {f" word{i}": 1 + i % 5 for i in range(5000)}
     table = token_counts.table_of(lengths, 1 << 13)
@@ -324,6 +366,55 @@ def test_toxicity(spark, docs):
     assert toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).agg(F.max("score")).first()[0] < 0.5
 
 
+def test_fit_matches_plain_python(spark):
+    """Counts, log-odds, drift, rate of decay, size, and slopes of a small labelled table, each by its stated formula."""
+    r = random.Random(11)
+    fine, bad = [f"fine{c}" for c in "abcdefghij"], ["vile", "scum", "filth"]
+    rows = [(i, " ".join(r.choice(bad) if i % 3 == 0 and r.random() < 0.3 else r.choice(fine + bad[:1] * (r.random() < 0.1)) for _ in range(r.randint(5, 40)))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, rows[3][1])]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows] + [(9_999, 1)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    told = {}
+    for (i, t), (_, y) in zip(rows, labels):
+        if zlib.crc32(str(i).encode()) % 5:
+            told[t or ""] = max(y, told.get(t or "", 0))
+    words = {t: [w.lower() for w in re.findall(r"\w+", t)] for t in told}
+    parts = lambda w: {w, *[w[:k] + "-" for k in (4, 5, 6) if len(w) > k]}
+    sides = [collections.Counter(), collections.Counter()]
+    for t, y in told.items():
+        sides[y].update({p for w in words[t] for p in parts(w)})
+    n = [sum(s.values()) for s in sides]
+    scores = {}
+    for p in sides[0] | sides[1]:
+        pseudo = 0.5 + 500.0 * (sides[0][p] + sides[1][p]) / sum(n)
+        b, c = sides[1][p] + pseudo, sides[0][p] + pseudo
+        ratio, error = math.log(b / (n[1] + 500.5)) - math.log(c / (n[0] + 500.5)), math.sqrt(1 / b + 1 / c)
+        if abs(ratio) > 2 * error:
+            scores[p] = math.copysign(abs(ratio) - 2 * error, ratio)
+    assert scores.keys() == model.scores.keys() and all(abs(scores[p] - model.scores[p]) < 1e-9 for p in scores) and max(scores.values()) > 0
+
+    of = lambda w: max((scores.get(p, 0.0) for p in toxicity.tokens(w)), key=abs)
+    spread = collections.Counter(round(100 * of(w)) / 100 for t, y in told.items() if not y for w in words[t])
+    spread[max(scores.values())] += 0.5
+    total = sum(spread.values())
+    drift = 0.05 + max(0.0, sum(v * k for v, k in spread.items()) / total)
+    assert abs(model.drift - drift) < 1e-9
+    assert abs(sum(k / total * math.exp(model.rate * (v - drift)) for v, k in spread.items()) - 1) < 1e-6 and model.rate > 0
+    best = {t: [s for _, _, s in model.passages(t)[0]] for t in told}
+    clean = [t for t, y in told.items() if not y]
+    size = len(clean) / sum(max(1, len(words[t])) * math.exp(-model.rate * max(best[t], default=0.0)) for t in clean)
+    assert abs(model.size - size) < 1e-6 * size
+
+    x = np.array([replace(model, size=size).evidence(best[t], max(1, len(words[t]))) for t in told])
+    y = np.array(list(told.values()), float)
+    p = lambda a, b, c: 1 / (1 + np.exp(-np.clip(a * x[:, 0] + b * x[:, 1] + c, -50, 50)))
+    loss = lambda a, b, c: -np.log(np.where(y > 0, p(a, b, c), 1 - p(a, b, c)) + 1e-300).sum()
+    here = loss(model.slope, model.further, model.offset)
+    assert model.slope >= 0 and model.further >= 0
+    assert all(loss(model.slope * a, model.further, model.offset + c) > here - 0.05 for a in (0.8, 1, 1.25) for c in (-0.5, 0, 0.5))
+
+
 def test_toxic_passages_are_found_wherever_they_are(spark):
     bad = {w: 2.0 for w in ("vile", "scum", "filth", "rot", "swine")}
     model = toxicity.Model(bad, drift=0.1, rate=1.0, size=0.5)
@@ -435,16 +526,6 @@ def valid_bins(placed, room):
     return len(bins)
 
 
-def test_best_fit_is_tight_and_valid():
-    for seed in range(100):
-        r = random.Random(seed)
-        room = r.choice([1, 5, 16, 64])
-        lengths = [r.randint(1, room) for _ in range(r.randint(1, 60))]
-        placed = packing.best_fit([(n, i) for i, n in enumerate(lengths)], [], room, 0)
-        assert sorted(p for p, _, _ in placed) == list(range(len(lengths)))
-        assert valid_bins([(p, s, o, lengths[p]) for p, s, o in placed], room) == plain_best_fit(lengths, room)
-
-
 def test_a_sweep_is_plain_best_fit():
     """One sweep over enough empty sequences places pieces as plain best fit does; with too few it leaves the shorter ones."""
     for seed in range(100):
@@ -483,7 +564,7 @@ def test_carried_runs_fit():
                 assert all((i, rank) in got for i in range(b) for rank in range(len(left[i][1])))
 
 
-@pytest.mark.parametrize("together,most", [(10**6, 1.0), (40, 1.04)])
+@pytest.mark.parametrize("together,most", [(10**6, 1.02), (40, 1.04)])
 @pytest.mark.parametrize("kind", ["spread", "small", "hot"])
 def test_packing_rounds(spark, kind, together, most):
     """Rounds over many buckets place every piece once, validly, and nearly as tightly as plain best fit."""
@@ -496,6 +577,16 @@ def test_packing_rounds(spark, kind, together, most):
     assert valid_bins(placed, 100) <= max(plain_best_fit(lengths, 100) * most, plain_best_fit(lengths, 100) + 1)
 
 
+def test_the_registered_packing_runs_rounds(spark, monkeypatch):
+    """sf0.01 at the production setting: several rounds over several buckets, at most 0.5 % over the least number of sequences of plain best fit."""
+    rounds = []
+    dealt = packing.buckets
+    monkeypatch.setattr(packing, "buckets", lambda sizes, together: rounds.append(dealt(sizes, together)) or rounds[-1])
+    got = packing.packed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "sequence_id", "offset", "length").collect()
+    assert len(rounds) >= 2 and rounds[0][-1][2] >= 3
+    assert valid_bins([(0, r.sequence_id, r.offset, r.length) for r in got], 1024) <= 1.005 * plain_best_fit([r.length for r in got], 1024)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
