@@ -147,11 +147,12 @@ def queue_page(rows: DataFrame, condition: Column, newest: int, offset: int, lim
     return rows.orderBy(F.desc("created_at"), "id").limit(newest).filter(condition).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
-def nav_counts(media: DataFrame, analysis: DataFrame, members: DataFrame, albums: DataFrame, jobs: DataFrame, discs: DataFrame) -> DataFrame:
+def nav_counts(media: DataFrame, analysis: DataFrame, members: DataFrame, albums: DataFrame, jobs: DataFrame, discs: DataFrame, secrets: DataFrame) -> DataFrame:
     """One row with what the navigation shows: one pass over media with annotations, and one-row counts of the rest.
 
     Review is always 0; grid is library and stats is discs. inference is what has no annotation, and what only a
     heuristic annotated. Duplicates are groups of two or more members that are neither in the trash nor rejected.
+    settings are the secrets (name, configured) that are configured.
     """
     said = analysis.select(F.col("media_id").alias("said_of"), "people_count", "model_name")
     lib, c = in_library(F.col("lifecycle")), F.col
@@ -163,7 +164,7 @@ def nav_counts(media: DataFrame, analysis: DataFrame, members: DataFrame, albums
     )
     alive = members.join(media.filter(active_raw(F.col("lifecycle"))).select(F.col("id").alias("media_id")), "media_id", "left_semi").groupBy("group_id").count().filter("count > 1")
     number = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))  # noqa: E731 - one row each
-    for df, name in ((alive, "duplicates"), (albums, "albums"), (jobs.filter(F.col("status").isin("queued", "running")), "jobs"), (discs, "discs")):
+    for df, name in ((alive, "duplicates"), (albums, "albums"), (jobs.filter(F.col("status").isin("queued", "running")), "jobs"), (discs, "discs"), (secrets.filter("configured"), "settings")):
         rows = rows.join(number(df, name))
     return rows.withColumn("stats", F.col("discs"))
 

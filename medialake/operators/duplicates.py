@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULTS
-from ..functions.vectors import hamming_hex
 from .catalog import active
-from .graph import components
+from .graph import checkpoint_folder, components
 from .ordered import numbered
 
 #: Hashes that may share a band before it is dealt to several tasks.
@@ -134,6 +135,65 @@ def cosine_pairs(vectors: DataFrame, least: float = DEFAULTS.cosine_threshold, b
     return met.groupBy("i", "j").applyInPandas(near, "a long, b long, similarity double")
 
 
+def projection_plan(rows: int, least: float, miss: float, together: int) -> tuple[int, int]:
+    """Signs a table has, and tables, for a pair of cosine `least` to be missed by all of them with chance `miss` at most.
+
+    A table has as many signs as leave about `together` vectors to a bucket. One vector of a pair is asked under its own
+    signs and under those with any one of them turned, so a table meets the pair if at most one sign differs.
+    """
+    same = 1 - math.acos(least) / math.pi
+    signs = max(1, min(24, math.ceil(math.log2(max(2, rows / together)))))
+    met = same**signs + signs * same ** (signs - 1) * (1 - same)
+    return signs, max(1, math.ceil(math.log(miss) / math.log1p(-min(met, 1 - 1e-12))))
+
+
+def projected_pairs(
+    vectors: DataFrame, least: float = DEFAULTS.cosine_threshold, miss: float = 1e-3, together: int = 30, seed: int = 7
+) -> DataFrame:
+    """Pairs (a < b) of vectors (id, embedding) with a cosine of at least `least`, found by signs of random projections.
+
+    Equal vectors are one class and come as pairs with its smallest id. Each table's signs are one matrix product per
+    batch; vectors meet in buckets, one of the two also in the neighbouring ones (multi-probe), and every met pair is
+    verified, so what is returned is exact; a pair at the threshold is missed with chance `miss` at most, one above it
+    with less. The number of signs follows the number of rows, so buckets stay about as full as they are; a bucket that
+    is crowded all the same is dealt over tasks by one side's id. Only keys and ids are shuffled before pairs are
+    distinct; vectors are joined once for each pair that met. Vectors of norm 0 and null ones have no pairs.
+    """
+    usable = vectors.filter(F.col("embedding").isNotNull()).select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    unit = usable.filter(F.exists("v", lambda x: x != 0))
+    checkpoint_folder(vectors.sparkSession)
+    classes = unit.groupBy("v").agg(F.min("id").alias("rep")).checkpoint()
+    first = classes.select(F.size("v")).first()
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    signs, tables = projection_plan(classes.count(), least, miss, together)
+    planes = np.random.default_rng(seed).normal(size=(first[0], signs * tables))  # the same in every task
+
+    @F.pandas_udf("array<long>")
+    def keys(vs: pd.Series) -> pd.Series:
+        up = (np.stack(vs.to_numpy()) @ planes > 0).reshape(len(vs), tables, signs)
+        return pd.Series(list((up.astype(np.int64) << np.arange(signs)).sum(axis=2)))
+
+    @F.pandas_udf("double")
+    def alike(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        x, y = np.stack(xs.to_numpy()), np.stack(ys.to_numpy())
+        return pd.Series((x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)))
+
+    keyed = classes.select("rep", F.posexplode(keys("v")).alias("at", "key"))
+    own = keyed.select("rep", "at", "key")
+    turned = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(signs - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
+    asked = keyed.select(F.col("rep").alias("other"), "at", turned.alias("key"))
+    hot = own.groupBy("at", "key").agg((F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts")).filter("salts > 0")
+    salts = F.coalesce("salts", F.lit(0)) + 1
+    one = own.join(hot, ["at", "key"], "left").select("at", "key", "rep", F.pmod(F.xxhash64("rep"), salts).alias("salt"))
+    two = asked.join(hot, ["at", "key"], "left").select("at", "key", "other", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    met = one.join(two, ["at", "key", "salt"]).filter("rep < other").select("rep", "other").distinct()
+    left, right = classes.select("rep", F.col("v").alias("x")), classes.select(F.col("rep").alias("other"), F.col("v").alias("y"))
+    near = met.join(left, "rep").join(right, "other").select(F.col("rep").alias("a"), F.col("other").alias("b"), alike("x", "y").alias("similarity")).filter(F.col("similarity") >= least)
+    same = unit.join(classes, "v").filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return near.unionByName(same)
+
+
 def groups(edges: DataFrame) -> DataFrame:
     """Members of duplicate groups: (group_id, media_id), a group being all that edges connect, named by its smallest id."""
     return components(edges).select(F.col("root").alias("group_id"), F.col("id").alias("media_id"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import hashes as H
 from ..functions.vectors import hamming_hex
 from ..operators import duplicates as D
 from ..operators.catalog import active
@@ -32,14 +35,19 @@ def hashed(s, d):
 
 
 def revised(s, d):
-    """Items with a hash of their text, in which up to 12 low bits follow from their id: copies are near, or not quite."""
-    tail = F.lower(F.lpad(F.hex((F.col("id") * 2654435761) % 4096), 3, "0"))
-    return media(s, d).select("id", "sha256", F.concat(F.substring("sha256", 1, 13), tail).alias("phash"))
+    """Items with the SimHash of their whole text: near copies differ in few bits."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"), H.simhash(F.col("text")).alias("phash"))
 
 
 HASHED = f"{CTE}, h as (select id, sha256, concat(substr(sha256, 1, 2), '0f0f0f0f0f0f0', substr('0123456789abcdef', cast(1 + id % 16 as int), 1)) as phash from media)"
 CLASSES = f"{HASHED}, c as (select min(id) as id, phash from h group by phash)"
-REVISED = f"{CTE}, h as (select id, sha256, concat(substr(sha256, 1, 13), lower(lpad(hex((id * 2654435761) % 4096), 3, '0'))) as phash from media)"
+#: The SimHash of documents: hashes of runs of three words, each bit by majority.
+REVISED = """with words as (select doc_id as id, sha256(text) as sha256, list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x1C-\\x20\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') as w from documents),
+ runs as (select id, ('0x' || substr(md5(array_to_string(w[i:i + 2], ' ')), 1, 16))::ubigint as h from (select id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words where len(w) > 0)),
+ votes as (select id, k, 2 * sum((h >> (63 - k)) & 1) > count(*) as up from runs, (select unnest(range(64))::int as k) group by id, k),
+ sims as (select id, lpad(lower(hex(sum(case when up then 1::ubigint << (63 - k) else 0 end)::ubigint)), 16, '0') as phash from votes group by id),
+ h as (select id, sha256, phash from words left join sims using (id))"""
 DISTANCE = "bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint))"
 
 
@@ -57,6 +65,14 @@ def _cosine(s, d):
     return D.cosine_pairs(v, 0.35).withColumn("similarity", F.round("similarity", 5))
 
 
+def _projected(s, d):
+    """Pairs among all vectors and as many that lie near them: half-way shifts towards their mirror images."""
+    v = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    moved = F.zip_with("v", F.reverse("v"), lambda x, y: x + y * (F.col("vec_id") % 5) / 10)
+    both = v.select((F.col("vec_id") * 2).alias("id"), F.col("v").alias("embedding")).union(v.select((F.col("vec_id") * 2 + 1).alias("id"), moved.alias("embedding")))
+    return D.projected_pairs(both, miss=1e-6).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
 def _nested(s, d):
     told = F.transform("members", lambda x: F.concat_ws(":", x["media_id"], F.coalesce(x["lifecycle"], F.lit("-"))))
     return D.listed(members(s, d), media(s, d)).select("group_id", "page", F.array_join(told, ",").alias("members"))
@@ -71,7 +87,44 @@ def _staged(s, d):
     return D.staged(revised(s, d), v, least=0.35).select("id", "stage", F.round("similarity", 5).alias("similarity"))
 
 
+LETTERS = 32
+
+
+@F.pandas_udf("array<double>")
+def _pairs(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        codes = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64) % LETTERS
+        out.append(np.minimum(255, np.bincount(codes[:-1] * LETTERS + codes[1:], minlength=LETTERS**2)).astype(float))
+    return pd.Series(out)
+
+
+def _pictured(s, d):
+    """Hashes of pictures of whole texts: how often each letter follows each other one."""
+    drawn = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), _pairs("text").alias("pixels"))
+    return drawn.select("id", H.picture_hashes(F.col("pixels"), F.lit(LETTERS)).alias("h")).select("id", "h.phash", "h.dhash")
+
+
+#: Pictures of texts, their cosine transform, and their resampling to 9 x 8 by Lanczos's window.
+PICTURES = """with codes as (select doc_id as id, list_transform(string_split(text, ''), lambda x: ord(x) % 32) as l from documents),
+ px as (select id, a as y, b as x, least(255, count(*))::double as p from (select id, l[i] as a, l[i + 1] as b from (select id, l, unnest(range(1, len(l))) as i from codes)) group by all),
+ u as (select unnest(range(8))::int as u), n as (select unnest(range(32))::int as n),
+ c as (select u, n, cos(pi() * u * (2 * n + 1) / 64) as w from u, n),
+ rowed as (select id, a.u, x, sum(p * w) as s from px join c a on a.n = y group by all),
+ low as (select id, rowed.u, b.u as v, sum(s * w) as s from rowed join c b on b.n = x group by all),
+ every as (select g.id, g.u, g.v, coalesce(s, 0) as s from (select d.id, a.u, b.u as v from codes d, u a, u b) g left join low on low.id = g.id and low.u = g.u and low.v = g.v),
+ ph as (select id, lpad(lower(hex(sum(case when s > m then 1::ubigint << (63 - u * 8 - v) else 0 end)::ubigint)), 16, '0') as phash from (select *, median(s) over (partition by id) as m from every) group by id),
+ lanczos as (select wanted, i, n, case when x = 0 then 1 when abs(x) < 3 then sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) else 0 end as w
+  from (select wanted, i, n, (n + 0.5::double - (i + 0.5::double) * 32 / wanted) / (32::double / wanted) as x from n, (select 8 as wanted union all select 9), (select unnest(range(9))::int as i) where i < wanted)),
+ r as (select wanted, i, n, w / sum(w) over (partition by wanted, i) as w from lanczos),
+ across as (select id, y, i as x, greatest(0, least(255, floor(sum(p * w) + 0.5))) as p from px join r on wanted = 9 and n = x group by id, y, i),
+ small as (select id, i as y, x, greatest(0, least(255, floor(sum(p * w) + 0.5))) as p from across join r on wanted = 8 and n = y group by id, i, x),
+ dh as (select id, sum(case when b.p > a.p then 1::ubigint << (63 - a.y * 8 - a.x) else 0 end)::ubigint as d from small a join small b using (id, y) where b.x = a.x + 1 group by id)
+select ph.id, phash, lpad(lower(hex(coalesce(d, 0))), 16, '0') as dhash from ph left join dh on dh.id = ph.id"""
+
 QUERIES = {
+    "sf23_picture_hashes": (_pictured, PICTURES),
+    "sf23_simhash": (lambda s, d: revised(s, d).select("id", "phash"), f"{REVISED} select id, phash from h"),
     "jn6_exact_dupes": (
         lambda s, d: D.exact_groups(media(s, d)), f"{CTE} select sha256, count(*) as n, min(id) as first_id from media group by 1 having count(*) > 1",
     ),
@@ -123,6 +176,13 @@ QUERIES = {
         """with n as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from n)
  select a.id as a, b.id as b, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 5) as similarity from u a join u b on a.id < b.id
  where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.35""",
+    ),
+    "jn8_projected_pairs": (
+        _projected,
+        """with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+ both_ as (select vec_id * 2 as id, v from n union all select vec_id * 2 + 1, list_transform(list_zip(v, list_reverse(v)), lambda z: z[1] + z[2] * (vec_id % 5) / 10) from n),
+ u as (select id, v, sqrt(list_dot_product(v, v)) as norm from both_)
+ select a.id as a, b.id as b, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 5) as similarity from u a join u b on a.id < b.id where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.92""",
     ),
     "sf24_hamming": (
         lambda s, d: media(s, d).select("id", hamming_hex(F.substring("sha256", 1, 16), F.substring("sha256", 17, 16)).alias("distance"), hamming_hex(F.substring("sha256", 1, 8), F.substring("sha256", 1, 9)).alias("unequal")),

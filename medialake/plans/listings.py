@@ -72,7 +72,7 @@ def _albums(s, d):
 
 def _nav(s, d):
     m = media(s, d)
-    return C.nav_counts(m, analysis(s, d), copies.members(s, d), m.select(F.year("taken_at").alias("y")).distinct(), states.jobs(s, d), _discs(s, d))
+    return C.nav_counts(m, analysis(s, d), copies.members(s, d), m.select(F.year("taken_at").alias("y")).distinct(), states.jobs(s, d), _discs(s, d), s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("name"), (F.col("r_regionkey") % 2 == 0).alias("configured")))
 
 
 def _reviews(s, d):
@@ -211,7 +211,7 @@ QUERIES = {
  count(*) filter ({LIB} and people_count > 0) as people, 0 as review, count(*) filter ({LIB} and media_type = 'image') as images, count(*) filter ({LIB} and media_type = 'video') as videos,
  count(*) filter (lifecycle = 'trash') as trash, count(*) filter ({LIB} and media_id is null) + count(*) filter ({LIB} and model_name ilike '%heuristic%') as inference,
  (select count(*) from al) as duplicates, (select count(*) from (select distinct year(taken_at) from media)) as albums, (select count(*) from ({states.JOBS} select * from jobs where status in ('queued', 'running'))) as jobs,
- count(distinct disc_id) as discs, count(distinct disc_id) as stats from media left join analysis on media_id = id""",
+ count(distinct disc_id) as discs, count(distinct disc_id) as stats, (select count(*) from region where r_regionkey % 2 = 0) as settings from media left join analysis on media_id = id""",
     ),
     "fi25_album_list": (lambda s, d: C.album_list(_albums(s, d), "image", "").select("id", "source"), f"{CTE} select id, disc_id as source from media where media_type = 'image'"),
     "or5_newest_albums": (
@@ -222,7 +222,7 @@ QUERIES = {
         lambda s, d: C.open_reviews(_reviews(s, d)).limit(40).select("media_id"), f"{CTE} select id as media_id from media where flag order by id % 50, created_at, id limit 40",
     ),
     "or11_album_members": (
-        lambda s, d: C.album_members(_fixed(s, d), "web").limit(45), f"{CTE} select id as media_id, case when id % 4 > 0 then id % 90 end as position from media where disc_id = 'web' order by position nulls last, id limit 45",
+        lambda s, d: C.album_members(_fixed(s, d), "src7").limit(45), f"{CTE} select id as media_id, case when id % 4 > 0 then id % 90 end as position from media where disc_id = 'src7' order by position nulls last, id limit 45",
     ),
     "fi19_dates_and_tags": (
         lambda s, d: _ids(C.between_and_tagged(items(s, d), F.lit("2006-01-01").cast("timestamp"), F.lit("2030-12-31").cast("timestamp"), ["SEA", "none"])),
