@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import stored, text_of
 
-#: Runs of characters other than ASCII controls, digits, white space and punctuation.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Terms are runs of bytes that this table doesn't turn into spaces: A-Z become a-z; ASCII controls, digits, white space
+#: and punctuation end a term; what is beyond ASCII is kept as it is.
+FOLD = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 #: Entries of a task's counters, beyond which they are handed on and begun anew: bounds its memory, never a result.
 HELD = 500_000
 SCALE = 1_000_000_000
@@ -26,30 +26,32 @@ def term_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "
     Each group has a row with the empty term as well, so that groups without terms are known.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = re.compile(TERM).findall
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times: dict[tuple[str, str], Counter] = defaultdict(Counter)
         among: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
-        def rows() -> pd.DataFrame:
-            out = [(*group, term, n, among[group][term]) for group, counts in times.items() for term, n in counts.items()]
+        def rows() -> Iterator[pa.RecordBatch]:
+            for group, counts in times.items():
+                names = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(counts), np.int32))) for name in group]
+                terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+                numbers = [pa.array(list(counts.values()), pa.int64()), pa.array(list(map(among[group].__getitem__, counts)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*names, terms, *numbers], names=["lang", "source", "term", "n", "docs"])
             times.clear()
             among.clear()
-            return pd.DataFrame(out, columns=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-                found = Counter(terms(text.translate(FOLD)))
-                times[lang, source].update(found)
-                among[lang, source].update(found.keys())
-                times[lang, source][""] = 0
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
+                terms = text.translate(FOLD).split()
+                times[lang, source].update(terms)
+                among[lang, source].update(set(terms))
+                times[lang, source][b""] = 0
             if sum(map(len, times.values())) > HELD:
-                yield rows()
-        if times:
-            yield rows()
+                yield from rows()
+        yield from rows()
 
     named = docs.select(*[text_of(docs, c).cast("string").alias(n) for c, n in ((lang_column, "lang"), (source_column, "source"), (text_column, "text"))])
-    return named.mapInPandas(count, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return named.mapInArrow(count, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
