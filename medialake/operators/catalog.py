@@ -79,6 +79,11 @@ class CatalogQuery:
         return self.rows(media).orderBy(*self.order()).offset(self.offset).limit(min(200, max(1, self.limit)))
 
 
+def found_page(asked: CatalogQuery, media: DataFrame, hits: DataFrame) -> DataFrame:
+    """A page of what a search found (hits: id, at most its limit of rows), in the page's own order: rank decides only which items there are."""
+    return asked.page(media.join(F.broadcast(hits.select("id")), "id", "left_semi"))
+
+
 def with_analysis(media: DataFrame, analysis: DataFrame) -> DataFrame:
     """media with its annotation, if any; the annotation's key goes."""
     return media.join(analysis, media["id"] == analysis["media_id"], "left").drop("media_id")

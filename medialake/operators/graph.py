@@ -17,6 +17,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="medialake-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as checkpoint_folder() sets it."""
+    checkpoint_folder(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Per vertex (id) the smallest vertex it reaches (root).
 

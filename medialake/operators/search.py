@@ -1,13 +1,17 @@
-"""Full-text search: tokens, an inverted index, query syntax and BM25."""
+"""Full-text search: tokens, postings with positions, query syntax and BM25, and an index that is kept."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.stem import stem, stems
+from .graph import shared_folder
 
 K1, B = 1.2, 0.75
 #: Letters with marks, and the same without: what folds away before tokens are compared.
@@ -20,29 +24,37 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def index(docs: DataFrame, id_column: str, fields: list[str], stemmed: bool = False) -> DataFrame:
-    """Postings (token, id, field, tf) and each document's length dl: one row per token of a document and field."""
-    entry = lambda f: lambda t: F.struct(F.lit(f).alias("field"), t.alias("token"))
-    listed = F.concat(*[F.transform(stems(tokens(F.col(f))) if stemmed else tokens(F.col(f)), entry(f)) for f in fields])
-    rows = docs.select(F.col(id_column).alias("id"), listed.alias("all"), F.size(listed).alias("dl"))
-    return rows.select("id", "dl", F.explode("all").alias("e")).groupBy("id", "dl", "e.field", "e.token").agg(F.count(F.lit(1)).alias("tf"))
+def flattened(raw: Column) -> Column:
+    """A JSON list's items with spaces between them; what is no list stays as it is, null is empty."""
+    return F.coalesce(F.array_join(F.from_json(raw, "array<string>"), " "), raw, F.lit(""))
+
+
+#: The fields of a catalogue item's document; those that hold JSON lists are flattened.
+FIELDS = ("filename", "caption_short", "description", "scene_type", "people_desc", "objects", "suggested_tags", "camera_make", "camera_model")
+LISTS = ("objects", "suggested_tags")
+
+
+def document(items: DataFrame) -> DataFrame:
+    """(id, *FIELDS) of items joined with their annotations: what is searched. Missing columns and nulls are empty."""
+    value = lambda f: flattened(F.col(f)) if f in LISTS else F.coalesce(F.col(f).cast("string"), F.lit(""))
+    return items.select("id", *[(value(f) if f in items.columns else F.lit("")).alias(f) for f in FIELDS])
 
 
 @dataclass(frozen=True)
 class Term:
-    """One term of a query: what it matches, in which field, and whether it must not."""
+    """One term of a query: the words it matches one behind the other, in which field, and whether it must not."""
 
-    text: str
+    words: tuple[str, ...]
     prefix: bool = False
     field: str | None = None
     negated: bool = False
 
 
 def parsed(query: str, fields: list[str]) -> list[list[Term]]:
-    """Alternatives (OR) of terms that all have to match; what isn't syntax is taken as terms."""
+    """Alternatives (OR) of terms that all have to match; what isn't syntax is taken as terms, quoted words as a phrase."""
     out: list[list[Term]] = [[]]
     negate = False
-    for word in re.findall(r'"[^"]*"|\S+', query or ""):
+    for word in re.findall(r'\w+:"[^"]*"|"[^"]*"|\S+', query or ""):
         if word == "OR":
             out.append([])
         elif word == "NOT":
@@ -50,51 +62,218 @@ def parsed(query: str, fields: list[str]) -> list[list[Term]]:
         elif word != "AND":
             field, _, rest = word.partition(":")
             name, body = (field, rest) if rest and field in fields else (None, word)
-            for t in re.findall(r"[^\W_]+", body.lower().translate(str.maketrans(MARKED, BARE))):
-                out[-1].append(Term(t, body.endswith("*"), name, negate))
+            found = re.findall(r"[^\W_]+", body.lower().translate(str.maketrans(MARKED, BARE)))
+            whole = body.startswith('"') and len(found) > 1
+            out[-1] += [Term(t, body.endswith("*") and not whole, name, negate) for t in ([tuple(found)] if whole else [(t,) for t in found])]
             negate = False
     return [terms for terms in out if terms]
 
 
+def _asked(query: str, fields: list[str], stemmed: bool) -> list[list[Term]]:
+    alternatives = parsed(query, fields)
+    if stemmed:
+        alternatives = [[t if t.prefix else replace(t, words=tuple(map(stem, t.words))) for t in terms] for terms in alternatives]
+    return [terms for terms in alternatives if any(not t.negated for t in terms)]  # one that only forbids asks for nothing
+
+
+def _wanted(token: Column, alternatives: list[list[Term]]) -> Column:
+    """Whether any term of the query looks at the token."""
+    terms = [t for ts in alternatives for t in ts]
+    exact = sorted({w for t in terms if not t.prefix for w in t.words})
+    return reduce(lambda a, b: a | b, [token.startswith(t.words[0]) for t in terms if t.prefix], token.isin(exact) if exact else F.lit(False))
+
+
+def _listed(fields: list[str], stemmed: bool) -> Column:
+    """All tokens of a document's fields as (field, pos, token)."""
+    entry = lambda f: lambda t, i: F.struct(F.lit(f).alias("field"), i.alias("pos"), t.alias("token"))
+    return F.concat(*[F.transform(stems(tokens(F.col(f))) if stemmed else tokens(F.col(f)), entry(f)) for f in fields])
+
+
+def index(docs: DataFrame, id_column: str, fields: list[str], stemmed: bool = False) -> DataFrame:
+    """Postings (id, dl, field, token, positions): one row per token of a document's field, dl being its tokens in all."""
+    rows = docs.select(F.col(id_column).alias("id"), _listed(fields, stemmed).alias("all")).select("id", F.size("all").alias("dl"), F.explode("all").alias("e"))
+    return rows.groupBy("id", "dl", "e.field", "e.token").agg(F.array_sort(F.collect_list("e.pos")).alias("positions"))
+
+
+def ranked(postings: DataFrame, totals: DataFrame, alternatives: list[list[Term]], fields: list[str], limit: int) -> DataFrame:
+    """The best documents (id, score) by BM25, from the postings of the query's tokens and one row (docs, mean).
+
+    Each document's terms are counted in one aggregation, phrases by their shifted positions; how many documents have
+    a term is a one-row aggregate of the same rows. Of a query's alternatives the best counts.
+    """
+    terms = list(dict.fromkeys(t for ts in alternatives for t in ts))
+    back = lambda k: lambda p: p - k
+    here = lambda t: F.col("field") == t.field if t.field else F.lit(True)
+    counted = []
+    for i, t in enumerate(terms):
+        if len(t.words) == 1:
+            match = F.col("token").startswith(t.words[0]) if t.prefix else F.col("token") == t.words[0]
+            counted.append(F.sum(F.when(match & here(t), F.size("positions")).otherwise(0)).alias(f"tf{i}"))
+        else:
+            at = lambda w, f: F.coalesce(F.max(F.when((F.col("token") == w) & (F.col("field") == f), F.col("positions"))), F.array().cast("array<int>"))
+            per_field = []
+            for f in [t.field] if t.field else fields:
+                shifted = [F.transform(at(w, f), back(k)) for k, w in enumerate(t.words)]
+                per_field.append(F.size(reduce(F.array_intersect, shifted)))
+            counted.append(reduce(lambda a, b: a + b, per_field).alias(f"tf{i}"))
+    found = postings.groupBy("id", "dl").agg(*counted)
+    known = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    rows = found.join(F.broadcast(known)).join(F.broadcast(totals))  # one row each
+
+    def part(i: int) -> Column:
+        idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+
+    def alternative(ts: list[Term]) -> Column:
+        at = {t: terms.index(t) for t in ts}
+        fits = reduce(lambda a, b: a & b, [F.col(f"tf{i}") == 0 if t.negated else F.col(f"tf{i}") > 0 for t, i in at.items()])
+        return F.when(fits, reduce(lambda a, b: a + b, [part(i) for t, i in at.items() if not t.negated]))
+
+    scores = [alternative(ts) for ts in alternatives]
+    best = scores[0] if len(scores) == 1 else F.greatest(*scores)  # nulls are passed over
+    return rows.select("id", best.alias("score")).filter("score is not null").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def _nothing(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.limit(0).select(F.col(id_column).alias("id"), F.lit(0.0).alias("score"))
+
+
 def search(docs: DataFrame, query: str, id_column: str, fields: list[str], limit: int = 500, stemmed: bool = False) -> DataFrame:
     """The best matches (id, score) by BM25 over all fields alike; a blank query gives none.
 
-    With stemmed, words of texts and query are compared by their stems (prefixes are not).
+    Documents are read once: each leaves its length and the places of the query's tokens, in a checkpoint, from which
+    both the totals and the postings come. With stemmed, words of texts and query are compared by their stems (prefixes
+    are not).
+    """
+    alternatives = _asked(query, fields, stemmed)
+    if not alternatives:
+        return _nothing(docs, id_column)
+    shared_folder(docs.sparkSession)
+    listed = docs.select(F.col(id_column).alias("id"), _listed(fields, stemmed).alias("all"))
+    narrow = listed.select("id", F.size("all").alias("dl"), F.filter("all", lambda e: _wanted(e["token"], alternatives)).alias("hits")).checkpoint()
+    totals = narrow.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
+    hits = narrow.filter(F.size("hits") > 0).select("id", "dl", F.explode("hits").alias("e"))
+    postings = hits.groupBy("id", "dl", "e.field", "e.token").agg(F.array_sort(F.collect_list("e.pos")).alias("positions"))
+    return ranked(postings, totals, alternatives, fields, limit)
+
 
-    Only postings of the query's tokens are joined; document numbers and mean length are one-row aggregates.
+class KeptIndex:
+    """An index of documents that stays in a shared folder and is changed by batches.
+
+    A batch is a segment: postings in folders by the hash of the token's first letters, and its documents' lengths.
+    A commit row makes it visible once it is written whole; a failed or repeated write leaves only files that no
+    commit names. A document counts in its latest segment; a deletion is a segment that names it without a length. Each commit
+    carries by how much it changes the number of live documents and of their tokens, so a search reads the commits, the folders of
+    its tokens, and the names of the documents that match. One writer at a time; readers need no lock.
     """
-    alternatives = parsed(query, fields)
-    if stemmed:
-        alternatives = [[t if t.prefix else replace(t, text=stem(t.text)) for t in terms] for terms in alternatives]
-    postings = index(docs, id_column, fields, stemmed)
-    stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(F.concat(*[tokens(F.col(f)) for f in fields]))).alias("mean"))
-    found = None
-    for terms in alternatives:
-        one = _alternative(postings, stats, terms)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return postings.limit(0).select("id", F.lit(0.0).alias("score"))
-    return found.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-
-
-def _alternative(postings: DataFrame, stats: DataFrame, terms: list[Term]) -> DataFrame:
-    wanted, banned = [t for t in terms if not t.negated], [t for t in terms if t.negated]
-    if not wanted:  # nothing is asked for
-        return postings.limit(0).select("id", F.lit(0.0).alias("score"))
-    match = lambda t: (F.col("token").startswith(t.text) if t.prefix else F.col("token") == t.text) & (F.col("field") == t.field if t.field else F.lit(True))
-    hits = None
-    for i, t in enumerate(wanted):
-        one = postings.filter(match(t)).groupBy("id", "dl").agg(F.sum("tf").alias("tf")).withColumn("term", F.lit(i))
-        hits = one if hits is None else hits.unionByName(one)
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # as many rows as the query has terms
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    found = scored.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms")).filter(F.col("terms") == len(wanted)).drop("terms")
-    for t in banned:
-        found = found.join(postings.filter(match(t)).select("id"), "id", "left_anti")
-    return found
+
+    def __init__(self, spark: SparkSession, path: str, fields: list[str], stemmed: bool = False, buckets: int = 64):
+        self.spark, self.path, self.fields, self.stemmed, self.buckets = spark, path.rstrip("/"), fields, stemmed, buckets
+
+    COMMIT = "seq long, segment string, first long, docs long, tokens long"
+
+    def _bucket(self, token: Column) -> Column:
+        return F.pmod(F.xxhash64(F.left(token, F.lit(2))), F.lit(self.buckets)).cast("int")
+
+    def _commits(self) -> list:
+        """Visible segments in order: those since the last merge. A row per batch comes to the driver."""
+        try:
+            rows = self.spark.read.schema(self.COMMIT).parquet(f"{self.path}/commits").orderBy("seq").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        since = max((r.first for r in rows), default=0)
+        return [r for r in rows if r.seq >= since]
+
+    def _read(self, what: str, commits: list) -> DataFrame:
+        """All segments' rows of one kind, with their seq."""
+        parts = [self.spark.read.parquet(f"{self.path}/{c.segment}/{what}").withColumn("seq", F.lit(c.seq)) for c in commits]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _latest(self, commits: list) -> DataFrame:
+        """(id, seq, dl) of each document's latest row; dl is null for deleted ones."""
+        return self._read("docs", commits).groupBy("id").agg(F.max("seq").alias("seq"), F.max_by("dl", "seq").alias("dl"))
+
+    def _commit(self, segment: str, docs: int, tokens_: int, merged: bool = False) -> None:
+        seq = max((c.seq for c in self._commits()), default=0) + 1
+        row = self.spark.createDataFrame([(seq, segment, seq if merged else 0, docs, tokens_)], self.COMMIT)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def _write(self, postings: DataFrame | None, docs: DataFrame) -> str:
+        segment = f"segment-{uuid.uuid4().hex}"
+        if postings is not None:
+            bucketed = postings.withColumn("bucket", self._bucket(F.col("token")))
+            bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{segment}/postings")
+        docs.write.parquet(f"{self.path}/{segment}/docs")
+        return segment
+
+    def _change(self, segment: str, commits: list) -> tuple[int, int]:
+        """By how much a segment changes the live documents and their tokens."""
+        new = self.spark.read.parquet(f"{self.path}/{segment}/docs").select("id", F.col("dl").alias("now"))
+        if commits:
+            new = new.join(self._latest(commits).select("id", F.col("dl").alias("was")), "id", "left")
+        else:
+            new = new.withColumn("was", F.lit(None).cast("int"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        r = new.agg((F.count("now") - F.count("was")).alias("docs"), zero(F.sum(zero(F.col("now")) - zero(F.col("was")))).alias("tokens")).first()
+        return r.docs, r.tokens
+
+    def upsert(self, docs: DataFrame, id_column: str) -> None:
+        """Documents come in, or take the place of those with the same ids; of repeated ids in a batch one row counts."""
+        one = docs.dropDuplicates([id_column]).select(F.col(id_column).alias("id"), *self.fields)
+        shared_folder(self.spark)
+        one = one.checkpoint()  # both outputs of a batch come from the same rows
+        commits = self._commits()
+        lengths = one.select("id", F.size(_listed(self.fields, False)).alias("dl"))
+        segment = self._write(index(one, "id", self.fields, self.stemmed), lengths)
+        self._commit(segment, *self._change(segment, commits))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Documents (id) go; unknown ids do nothing."""
+        commits = self._commits()
+        if commits:
+            segment = self._write(None, ids.select("id").distinct().withColumn("dl", F.lit(None).cast("int")))
+            self._commit(segment, *self._change(segment, commits))
+
+    def _postings(self, commits: list) -> list:
+        """Segments that have postings: deletions have none."""
+        return [c for c in commits if self._has_postings(c.segment)]
+
+    def _has_postings(self, segment: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{segment}/postings")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def merge(self) -> None:
+        """One segment of what is live takes the place of all."""
+        commits = self._commits()
+        if not commits:
+            return
+        live = self._latest(commits).filter("dl is not null")
+        postings = self._read("postings", self._postings(commits)).drop("bucket").join(live.select("id", "seq"), ["id", "seq"], "left_semi").drop("seq")
+        segment = self._write(postings, live.select("id", "dl"))
+        self._commit(segment, sum(c.docs for c in commits), sum(c.tokens for c in commits), merged=True)
+
+    def hits(self, alternatives: list[list[Term]], commits: list) -> DataFrame:
+        """Live postings of the query's tokens, from the folders that can have them."""
+        token, terms = F.col("token"), [t for ts in alternatives for t in ts]
+        wanted = _wanted(token, alternatives)
+        if not any(t.prefix and len(t.words[0]) < 2 for t in terms):
+            starts = sorted({w[:2] for t in terms for w in t.words})
+            named = self.spark.createDataFrame([(s,) for s in starts], "token string").select(self._bucket(token)).distinct().collect()  # as many as the query has words
+            wanted &= F.col("bucket").isin([r[0] for r in named])
+        found = self._read("postings", self._postings(commits)).filter(wanted)
+        latest = self._read("docs", commits).join(found.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("seq").alias("seq"))
+        return found.join(latest, ["id", "seq"], "left_semi").select("id", "dl", "field", "token", "positions")
+
+    def search(self, query: str, limit: int = 500) -> DataFrame:
+        """As search() over the live documents."""
+        alternatives, commits = _asked(query, self.fields, self.stemmed), self._commits()
+        if not alternatives or not self._postings(commits):
+            return self.spark.createDataFrame([], "id long, score double")
+        docs, tokens_ = sum(c.docs for c in commits), sum(c.tokens for c in commits)
+        totals = self.spark.range(1).select(F.lit(docs).alias("docs"), F.lit(tokens_ / max(1, docs)).alias("mean"))
+        return ranked(self.hits(alternatives, commits), totals, alternatives, self.fields, limit)
 
 
 def search_or_name(docs: DataFrame, query: str, id_column: str, fields: list[str], name: str, limit: int = 500) -> DataFrame:
@@ -115,8 +294,6 @@ def nearest(vectors: DataFrame, query: list[float], limit: int = 200) -> DataFra
 
 def fused(rankings: list[DataFrame], limit: int = 50, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of short rankings (id, score): each adds 1 / (k + rank)."""
-    from pyspark.sql import Window as W
-
     parts = None
     for ranking in rankings:  # each holds at most its own limit of rows
         one = ranking.select("id", (1.0 / (k + F.row_number().over(W.orderBy(F.desc("score"), "id")))).alias("part"))

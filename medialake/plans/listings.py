@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.annotate import is_heuristic
 from ..operators import catalog as C, search as S
 from ..operators.catalog import CatalogQuery
+from ..operators.graph import shared_folder
 from . import copies, states
 from .surrogate import CTE, analysis, items, media
 
@@ -107,13 +110,45 @@ def _deleted(s, d):
     return albums.select(F.lit("albums").alias("name"), "id").unionByName(held.select(F.lit("items").alias("name"), F.col("media_id").alias("id")))
 
 
-BM25 = """with f as (select doc_id as id, list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as t
- from documents), st as (select count(*) as docs, avg(len(t)) as mean from f),
- hits as (select id, len(t) as dl, q, len(list_filter(t, lambda x: x = q)) as tf from f, (values ('this'), ('and')) v(q)),
+def _kept(s, d):
+    """An index fed in three batches: all documents, a third of them at first with other words, and a seventh deleted."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    kept = S.KeptIndex(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}", ["text"])
+    kept.upsert(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("this and this and nothing else")).otherwise(F.col("text"))), "doc_id")
+    kept.delete(docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    kept.merge()
+    kept.upsert(docs.filter("doc_id % 3 = 0 and doc_id % 7 <> 0"), "doc_id")
+    return kept.search("this and").withColumn("score", F.round("score", 6))
+
+
+def _found_page(s, d):
+    hits = S.search(s.read.parquet(f"{d}/documents.parquet"), "this and", "doc_id", ["text"])
+    return C.found_page(CatalogQuery(), media(s, d), hits).select("id", "taken_s")
+
+
+def _documented(s, d):
+    return S.document(items(s, d)).select("id", "filename", F.sha2("description", 256).alias("description"), "people_desc", "suggested_tags", "camera_make")
+
+
+FOLDED = "list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+def bm25(counts: list[str], where: str = "true") -> str:
+    """Tables up to `found` (id, score): BM25 of documents in which each of the counts over the token list t is above 0."""
+    return f"""f as (select doc_id as id, {FOLDED} as t from documents where {where}), st as (select count(*) as docs, avg(len(t)) as mean from f),
+ hits as ({" union all ".join(f"select id, len(t) as dl, {i} as q, {c} as tf from f" for i, c in enumerate(counts))}),
  h as (select * from hits where tf > 0), df as (select q, count(*) as df from h group by q),
  sc as (select h.id, sum(ln(1 + (docs - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))) as score, count(*) as n
-  from h join df using (q), st group by h.id)
-select id, round(score, 6) as score from sc where n = 2 order by score desc, id limit 500"""
+  from h join df using (q), st group by h.id),
+ found as (select id, score from sc where n = {len(counts)} order by score desc, id limit 500)"""
+
+
+def times(word: str) -> str:
+    return f"len(list_filter(t, lambda x: x = '{word}'))"
+
+
+THIS_AND = bm25([times("this"), times("and")])
+BM25 = f"with {THIS_AND} select id, round(score, 6) as score from found"
 
 QUERIES = {
     "sc1_scan": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "n_chars"), "select doc_id, lang, n_chars from documents"),
@@ -196,6 +231,17 @@ QUERIES = {
     "ft3_bm25": (
         lambda s, d: S.search(s.read.parquet(f"{d}/documents.parquet"), "this and", "doc_id", ["text"]).withColumn("score", F.round("score", 6)), BM25,
     ),
+    "ft4_phrase": (
+        lambda s, d: S.search(s.read.parquet(f"{d}/documents.parquet"), '"that the" NOT zzz', "doc_id", ["text"]).withColumn("score", F.round("score", 6)),
+        f"""with {bm25(["len(list_filter(range(1, len(t)), lambda i: t[i] = 'that' and t[i + 1] = 'the'))"])} select id, round(score, 6) as score from found""",
+    ),
+    "ft1_document": (
+        _documented,
+        f"""{CTE} select id, filename, sha256(coalesce(description, '')) as description, '' as people_desc, coalesce(camera_make, '') as camera_make,
+ case when suggested_tags is null then '' when json_valid(suggested_tags) then array_to_string(from_json(suggested_tags, '["VARCHAR"]'), ' ') else suggested_tags end as suggested_tags from items""",
+    ),
+    "sk12_kept_index": (_kept, f"with {bm25([times('this'), times('and')], 'doc_id % 7 <> 0')} select id, round(score, 6) as score from found"),
+    "or4_found_page": (_found_page, f"{CTE}, {THIS_AND} select id, taken_s from media where {LIB} and id in (select id from found) order by taken_at desc nulls last, created_at desc, id limit 50"),
     "ft2_stemmed_search": (
         lambda s, d: S.search(s.read.parquet(f"{d}/documents.parquet"), "thing", "doc_id", ["text"], stemmed=True).select("id", F.round("score", 6).alias("score")), None,
     ),
