@@ -107,3 +107,21 @@ def volume_slug(name: Column) -> Column:
 def provenance_name(volume: Column, at: Column) -> Column:
     """The slug of a volume and the time (UTC) of its import."""
     return F.concat(volume_slug(volume), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+#: Fixed values of JSON: characters that have escapes of their own.
+ESCAPES = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+
+
+def ascii_json(texts: Column) -> Column:
+    """A list of texts as JSON in plain ASCII, a comma and a space between items; null for null, null items are null."""
+
+    def quoted(text: Column) -> Column:
+        unit = lambda u: F.coalesce(
+            F.try_element_at(F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv]), u),
+            F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))),
+        )
+        units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+        return F.coalesce(F.concat(F.lit('"'), F.array_join(F.transform(units, unit), ""), F.lit('"')), F.lit("null"))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, quoted), ", "), F.lit("]"))

@@ -98,6 +98,24 @@ def upserted(albums: DataFrame, proposed: DataFrame) -> DataFrame:
     return both.select("auto_key", state.alias("outcome"), *[F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c) for c in proposed.columns if c != "auto_key"])
 
 
+def albums_upserted(albums: DataFrame, album_items: DataFrame, proposed: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """Albums (auto_key, kind, name, cover_id) and their items (auto_key, media_id, position) after an organiser's run.
+
+    Proposed albums (auto_key, kind, name) replace those of their key or are added, the others stay. The items of a
+    proposed plain album are replaced by its members (auto_key, media_id, position), the first of which is the cover,
+    none for an empty one; a smart album keeps no items, and its cover where it has no members.
+    """
+    first = members.groupBy("auto_key").agg(F.min_by("media_id", F.struct("position", "media_id")).alias("first"))
+    new = proposed.select("auto_key", F.col("kind").alias("new_kind"), F.col("name").alias("new_name"), F.lit(True).alias("new"))
+    both = albums.withColumn("old", F.lit(True)).join(new, "auto_key", "full_outer").join(first, "auto_key", "left")
+    cover = F.when(F.col("new").isNull(), F.col("cover_id")).when(F.col("new_kind") == "smart", F.coalesce("first", "cover_id")).otherwise(F.col("first"))
+    outcome = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "kept").otherwise("updated")
+    after = both.select("auto_key", F.coalesce("new_kind", "kind").alias("kind"), F.coalesce("new_name", "name").alias("name"), cover.alias("cover_id"), outcome.alias("outcome"))
+    plain = new.filter("new_kind = 'album'").select("auto_key")
+    stay = album_items.join(plain, "auto_key", "left_anti").select("auto_key", "media_id", "position")
+    return {"albums": after, "items": stay.unionByName(members.join(plain, "auto_key", "left_semi").select("auto_key", "media_id", "position"))}
+
+
 def timeline(items: DataFrame) -> DataFrame:
     """Items per UTC day; undated ones under 'Unknown date'."""
     day = F.coalesce(F.date_format("taken_at", "yyyy-MM-dd"), F.lit("Unknown date"))
