@@ -43,3 +43,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "root")
         if moved.filter("root != old").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (id, root) after new edges (a, b) came: those of all edges so far, without reading the old ones.
+
+    The ends of a new edge are put down to their roots, vertices that are new being their own; components of these few
+    edges between roots say which trees are hung together. Each label is read once and changed if its root was. Empty
+    labels are a start; batches in any order, repeated or not, give what all edges at once give.
+    """
+    checkpoint_folder(edges.sparkSession)
+    known = labels.select(F.col("id").alias("of"), "root")
+    ends = edges.select("a", "b").join(known, F.col("a") == F.col("of"), "left").select("b", "a", F.coalesce("root", "a").alias("from"))
+    ends = ends.join(known, F.col("b") == F.col("of"), "left").select("a", "b", "from", F.coalesce("root", "b").alias("to")).checkpoint()
+    moved = components(ends.filter(F.col("from") != F.col("to")).select(F.col("from").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("was"), F.col("root").alias("now"))
+    new = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
+    return labels.select("id", "root").unionByName(new).join(moved, F.col("root") == F.col("was"), "left").select("id", F.coalesce("now", "root").alias("root"))

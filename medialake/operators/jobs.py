@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULTS, Settings
+from .ordered import numbered
 
 
 def reaped(jobs: DataFrame, now: Column, s: Settings = DEFAULTS) -> DataFrame:
@@ -49,6 +50,20 @@ def parked(failures: DataFrame, most: int = 3) -> DataFrame:
     return n.withColumn("state", F.when(F.col("attempts") >= most, "error").otherwise("retry"))
 
 
+def attempts_of(tries: DataFrame, most: int = 3) -> DataFrame:
+    """Each item's (id, attempts, state) after its tries (id, ok, at, pos): failures since its last success.
+
+    An item that ever failed `most` times in a row is parked as an error; successes after that change nothing. pos
+    decides ties of time.
+    """
+    rows = tries.select("id", "at", "pos", F.col("ok").cast("int").alias("ok"))
+    runs = numbered(rows, ["id"], ["at", "pos"], ["ok"]).groupBy("id", F.col("sum_ok").alias("run")).agg(F.count_if(F.col("ok") == 0).alias("failures"))
+    per_item = runs.groupBy("id").agg(F.max("failures").alias("most"), F.max_by("failures", "run").alias("last"))
+    parked = F.col("most") >= most
+    count = F.when(parked, most).otherwise(F.col("last")).cast("int")
+    return per_item.select("id", count.alias("attempts"), F.when(parked, "error").when(F.col("last") > 0, "retry").otherwise("done").alias("state"))
+
+
 def stale(jobs: DataFrame) -> DataFrame:
     """Jobs that are marked stale, or are active without a living worker."""
     active = F.col("status").isin("queued", "running") & ~F.coalesce("is_live", F.lit(True))

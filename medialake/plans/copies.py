@@ -10,6 +10,7 @@ from ..functions import hashes as H
 from ..functions.vectors import hamming_hex
 from ..operators import duplicates as D
 from ..operators.catalog import active
+from ..operators.graph import checkpoint_folder, joined
 from .surrogate import CTE, media
 
 ACTIVE = "coalesce(lifecycle, 'library') not in ('trash', 'rejected')"
@@ -82,6 +83,16 @@ def _hamming_components(s, d):
     return D.groups(D.near_edges(hashed(s, d), most=2))
 
 
+def _by_arrival(s, d):
+    """Groups of near and equal hashes, their edges arriving in three batches, the last ones first."""
+    edges = D.near_edges(hashed(s, d), most=2)
+    checkpoint_folder(s)
+    labels = s.createDataFrame([], "id long, root long")
+    for k in (2, 0, 1):
+        labels = joined(labels, edges.filter(F.pmod(F.xxhash64("a", "b"), F.lit(3)) == k)).checkpoint()
+    return labels.select(F.col("root").alias("group_id"), F.col("id").alias("media_id"))
+
+
 def _staged(s, d):
     v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     return D.staged(revised(s, d), v, least=0.35).select("id", "stage", F.round("similarity", 5).alias("similarity"))
@@ -122,6 +133,11 @@ PICTURES = """with codes as (select doc_id as id, list_transform(string_split(te
  dh as (select id, sum(case when b.p > a.p then 1::ubigint << (63 - a.y * 8 - a.x) else 0 end)::ubigint as d from small a join small b using (id, y) where b.x = a.x + 1 group by id)
 select ph.id, phash, lpad(lower(hex(coalesce(d, 0))), 16, '0') as dhash from ph left join dh on dh.id = ph.id"""
 
+COMPONENTS = f"""with recursive {HASHED[5:]}, k as (select distinct phash from h), p as (select a.phash as a, b.phash as b from k a join k b on a.phash <> b.phash where {DISTANCE} <= 2),
+ r as (select phash, phash as top from k union select p.b, r.top from r join p on p.a = r.phash where r.top < p.b),
+ t as (select phash, min(top) as top from r group by 1)
+ select id as media_id, min(id) over (partition by top) as group_id from h join t using (phash) qualify count(*) over (partition by top) > 1"""
+
 QUERIES = {
     "sf23_picture_hashes": (_pictured, PICTURES),
     "sf23_simhash": (lambda s, d: revised(s, d).select("id", "phash"), f"{REVISED} select id, phash from h"),
@@ -164,13 +180,8 @@ QUERIES = {
         f"""{MEMBERS}, x as (select group_id from members join media on media_id = id where {ACTIVE}), g as (select count(*) as n from x group by group_id having count(*) > 1),
  o as (select 'accepted' as outcome, count(*) as n from g union all select 'trashed', sum(n - 1)::bigint from g) select * from o where n > 0""",
     ),
-    "du2_components": (
-        _hamming_components,
-        f"""with recursive {HASHED[5:]}, k as (select distinct phash from h), p as (select a.phash as a, b.phash as b from k a join k b on a.phash <> b.phash where {DISTANCE} <= 2),
- r as (select phash, phash as top from k union select p.b, r.top from r join p on p.a = r.phash where r.top < p.b),
- t as (select phash, min(top) as top from r group by 1)
- select id as media_id, min(id) over (partition by top) as group_id from h join t using (phash) qualify count(*) over (partition by top) > 1""",
-    ),
+    "du2_components": (_hamming_components, COMPONENTS),
+    "du2_by_arrival": (_by_arrival, COMPONENTS),
     "jn8_cosine_pairs": (
         _cosine,
         """with n as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from n)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import commands as K, jobs as J
 from ..sources.archives import accepted_members
+from ..streaming import attempts as A
 from .copies import MEMBERS, members
 from .surrogate import CTE, NOW, analysis, media
 
@@ -126,6 +127,18 @@ QUERIES = {
     "sr5_failures": (
         _failures, "select user_id as id, count(*) as attempts, case when count(*) >= 20 then 'error' else 'retry' end as state from events where value < 20 group by 1",
     ),
+    "sr5_attempts": (
+        lambda s, d: J.attempts_of(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), (F.col("value") >= 60).alias("ok"), F.col("ts").alias("at"), F.col("event_id").alias("pos")), 5),
+        """with e as (select *, sum((value >= 60)::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events),
+ r as (select user_id, run, count(*) filter (value < 60) as f from e group by all)
+ select user_id as id, cast(case when max(f) >= 5 then 5 else arg_max(f, run) end as int) as attempts, case when max(f) >= 5 then 'error' when arg_max(f, run) > 0 then 'retry' else 'done' end as state from r group by 1""",
+    ),
+    "wi1_event_sessions_by_time": (
+        lambda s, d: A.sessions(s.read.parquet(f"{d}/events.parquet"), "12 hours").select("user_id", "n", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last")),
+        """with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) >= interval 12 hour then 1 else 0 end as new from events),
+ g as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from e)
+ select user_id, count(*) as n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last from g group by user_id, s""",
+    ),
     "sr8_resume": (
         _resume, f"{CTE} select id from media where lifecycle = 'staging' and sha256 not in (select sha256 from media where lifecycle = 'library')",
     ),

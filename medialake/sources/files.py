@@ -6,11 +6,13 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.dates import metadata_date
 from ..functions.names import IMAGES, VIDEOS, media_type, suffix
+from .copying import opened
 
 MEDIA_GLOB = "*{" + ",".join(e + "," + e.upper() for e in IMAGES + VIDEOS) + "}"
 
@@ -82,6 +84,16 @@ class _Root(InputPartition):
         self.path = path
 
 
+def mounted_volumes(root: str) -> list[tuple[str, str, str]]:
+    """(name, path, kind) of the volumes below a root, those of the system and hidden ones left out."""
+    found = []
+    for name in sorted(os.listdir(root)) if os.path.isdir(root) else []:
+        path = os.path.join(root, name)
+        if os.path.isdir(path) and name not in SYSTEM and not name.startswith("."):
+            found.append((name, path, "optical" if name.upper().startswith(("CD", "DVD")) else "removable" if os.path.ismount(path) else "fixed"))
+    return found
+
+
 class VolumeReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
@@ -90,12 +102,34 @@ class VolumeReader(DataSourceReader):
         return [_Root(self.root)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
+        yield from mounted_volumes(partition.path)
+
+
+class VolumeWatch(SimpleDataSourceStreamReader):
+    """Volumes as they are mounted. An offset is what is mounted, and what of it is new since the offset before.
+
+    So the state of the watch is in the query's checkpoint: after a restart nothing is told twice, a volume that was
+    unmounted is forgotten and counts as new again, and a batch that is repeated has the rows it had.
+    """
+
+    def __init__(self, root: str, existing: bool, removable: bool):
+        self.root, self.existing, self.removable = root, existing, removable
+
+    def _now(self) -> list[list[str]]:
+        return [list(v) for v in mounted_volumes(self.root)]
 
-        for name in sorted(os.listdir(partition.path)):
-            path = os.path.join(partition.path, name)
-            if os.path.isdir(path) and name not in SYSTEM and not name.startswith("."):
-                yield name, path, "optical" if name.upper().startswith(("CD", "DVD")) else "removable" if os.path.ismount(path) else "fixed"
+    def initialOffset(self) -> dict:
+        return {"turn": 0, "mounted": [] if self.existing else self._now(), "new": []}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now = self._now()
+        if now == start["mounted"]:
+            return iter(()), start
+        new = [v for v in now if v not in start["mounted"] and (v[2] != "fixed" or not self.removable)]
+        return iter([tuple(v) for v in new]), {"turn": start["turn"] + 1, "mounted": now, "new": new}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([tuple(v) for v in end["new"]] if end["turn"] > start["turn"] else [])
 
 
 class Volumes(DataSource):
@@ -111,6 +145,10 @@ class Volumes(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return VolumeReader(self.options.get("root", "/media"))
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        told = lambda option: self.options.get(option, "false").lower() == "true"
+        return VolumeWatch(self.options.get("root", "/media"), told("existing"), told("removable"))
+
 
 def volumes(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(Volumes)
@@ -118,6 +156,12 @@ def volumes(spark: SparkSession, root: str) -> DataFrame:
     return found.orderBy(volume_order(F.col("kind")), F.lower("name"))
 
 
+def new_volumes(spark: SparkSession, root: str, existing: bool = False, removable: bool = False) -> DataFrame:
+    """Stream of volumes (name, path, kind) mounted below root from now on, or also those there are; if asked, no fixed ones."""
+    spark.dataSource.register(Volumes)
+    return spark.readStream.format("volumes").option("root", root).option("existing", str(existing)).option("removable", str(removable)).load()
+
+
 def probed(files: DataFrame) -> DataFrame:
     """Files (path) with whether a byte of each can be read, and why not: read in the tasks, one byte a file."""
 
@@ -129,14 +173,15 @@ def probed(files: DataFrame) -> DataFrame:
 
 
 def _readable(path: str | None) -> tuple[bool, str | None]:
-    local = (path or "").removeprefix("file://").removeprefix("file:")
-    if not os.path.isfile(local):
-        return False, "not a regular file"
+    """Whether a byte of the file can be read, from whatever file system its URI names."""
     try:
-        with open(local, "rb") as f:
-            f.read(1)
+        files, local = opened(path or "")
+        if files.get_file_info(local).type != fs.FileType.File:
+            return False, "not a regular file"
+        with files.open_input_stream(local) as stream:
+            stream.read(1)
     except PermissionError:
         return False, "permission denied"
-    except OSError as error:
-        return False, str(error)
+    except (OSError, ValueError) as error:
+        return False, str(error)[:200]
     return True, None

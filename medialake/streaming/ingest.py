@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.gates import path_code
+from .attempts import unseen
 
 STAGED = T.StructType(
     [
@@ -35,27 +36,28 @@ def staged_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -
     return spark.readStream.schema(STAGED).option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false").parquet(folder)
 
 
-def drain(stream: DataFrame, library: str, checkpoint: str, after_batch=None) -> StreamingQuery:
+def drain(stream: DataFrame, library: str, checkpoint: str, after_batch=None, known: DataFrame | None = None) -> StreamingQuery:
     """Drains what is staged into library/batch=N folders: a batch run again overwrites its own folder only.
 
-    Content that the library has is skipped, so a resumed import adds nothing twice; after_batch(spark, library) may
-    then organise.
+    Content that came before, in the stream or in known (sha256), is skipped: its hashes are in the stream's state, so
+    no batch reads the library, and a resumed import adds nothing twice. Failed rows come out as retry and don't count
+    as seen (see again()). after_batch(spark, library) may then organise.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = gated(batch)
-        try:
-            known = spark.read.parquet(library).filter(F.col("batch") != number).filter("lifecycle = 'library'").select("sha256")
-            new = new.join(known, "sha256", "left_anti")
-        except Exception as error:  # there is no library before its first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-                raise
-        new.dropDuplicates(["sha256"]).write.mode("overwrite").parquet(f"{library}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{library}/batch={number}")
         if after_batch:
-            after_batch(spark, library)
+            after_batch(batch.sparkSession, library)
 
-    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = unseen(gated(stream), known)
+    return new.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def again(results: DataFrame, most: int = 3) -> DataFrame:
+    """Rows to stage once more: those of a drained library that only failed so far, less than `most` times."""
+    last = F.max_by(F.struct(*STAGED.names), F.col("batch")).alias("row")
+    per_item = results.groupBy("id").agg(F.count_if(F.col("lifecycle") == "retry").alias("failures"), F.count_if(F.col("lifecycle") != "retry").alias("settled"), last)
+    return per_item.filter((F.col("settled") == 0) & (F.col("failures") < most)).select("row.*").withColumn("failed", F.lit(False))
 
 
 def failure_counts(failures: DataFrame, most: int = 3) -> DataFrame:
