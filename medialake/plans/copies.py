@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..functions import hashes as H
 from ..functions.vectors import hamming_hex
@@ -95,13 +95,13 @@ def _by_arrival(s, d):
 
 def _staged(s, d):
     v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return D.staged(revised(s, d), v, least=0.35).select("id", "stage", F.round("similarity", 5).alias("similarity"))
+    return D.staged(revised(s, d), v, least=0.35, near=D.cosine_pairs).select("id", "stage", F.round("similarity", 5).alias("similarity"))
 
 
 LETTERS = 32
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _pairs(texts: pd.Series) -> pd.Series:
     out = []
     for text in texts:

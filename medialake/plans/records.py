@@ -101,8 +101,8 @@ QUERIES = {
     ),
     "sf16_taken_at": (
         _taken,
-        f"""{CTE}, t as (select *, {PATH_DATE} as day from media) select id, cast(case when id % 4 = 0 and taken_s is not null then taken_s when day is not null then epoch(day::timestamp) when id % 8 = 7 then created_s end as bigint) as seconds,
- case when id % 4 = 0 and taken_s is not null then 'exif:CreateDate' when day is not null then 'path' when id % 8 = 7 then 'birthtime' end as source from t""",
+        f"""{CTE}, t as (select *, {PATH_DATE} as day from media) select id, cast(case when id % 4 = 0 and year(taken_at) between 1970 and 2025 then taken_s when day is not null then epoch(day::timestamp) when id % 8 = 7 then created_s end as bigint) as seconds,
+ case when id % 4 = 0 and year(taken_at) between 1970 and 2025 then 'exif:CreateDate' when day is not null then 'path' when id % 8 = 7 then 'birthtime' end as source from t""",
     ),
     "sf17_numbers": (
         lambda s, d: media(s, d).withColumn("t", F.expr(NUMBER)).select("id", N.as_int(F.col("t")).alias("number"), N.as_text(F.concat(F.lit(" "), "t", F.lit("  "))).alias("text")),

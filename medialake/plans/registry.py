@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import albums, copies, deeds, listings, records, scalars, states
+from . import albums, contents, copies, deeds, listings, records, scalars, states
 
-MODULES = (listings, albums, copies, scalars, states, records, deeds)
+MODULES = (listings, albums, copies, scalars, states, records, deeds, contents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

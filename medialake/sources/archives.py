@@ -5,8 +5,11 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import udtf
 
@@ -32,24 +35,38 @@ def accepted_members(members: DataFrame, most_files: int = MOST_FILES, most_byte
     return summed.filter((F.col("number") <= most_files) & (F.col("sum_size") <= most_bytes)).drop("number", "sum_size")
 
 
-def members_of(name: str, content: bytes, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> Iterator[tuple[str, int, bytes]]:
-    """Media members (path, size, bytes) of a zip or tar, until a cap is first passed; unreadable archives have none."""
-    files = total = 0
+def _listed(content: bytes) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
+    """(path, size, reader) of the files of a zip or tar, by its directory or headers alone."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        yield from ((i.filename, i.file_size, partial(archive.read, i)) for i in archive.infolist() if not i.is_dir())
+    else:
+        archive = tarfile.open(fileobj=io.BytesIO(content))
+        yield from ((m.name, m.size, lambda m=m: archive.extractfile(m).read()) for m in archive if m.isfile())
+
+
+def _media(content: bytes) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
+    """Media members that stay inside a folder."""
+    for path, size, read in _listed(content):
+        clean = path.replace("\\", "/")
+        if is_media_member(path) and ".." not in clean.split("/"):
+            yield clean.lstrip("/"), size, read
+
+
+#: What reading a damaged archive can raise; zipfile says RuntimeError of encrypted members, NotImplementedError of odd methods.
+DAMAGED = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
+
+
+def members_of(content: bytes, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> Iterator[tuple[str, int, bytes]]:
+    """Media members (path, size, bytes) of a zip or tar, until a cap is first passed; a damaged archive has those before the damage."""
+    total = 0
     try:
-        if zipfile.is_zipfile(io.BytesIO(content)):
-            archive = zipfile.ZipFile(io.BytesIO(content))
-            entries = ((i.filename, i.file_size, lambda i=i: archive.read(i)) for i in archive.infolist() if not i.is_dir())
-        else:
-            archive = tarfile.open(fileobj=io.BytesIO(content))
-            entries = ((m.name, m.size, lambda m=m: archive.extractfile(m).read()) for m in archive if m.isfile())
-        for path, size, read in entries:
-            if not is_media_member(path) or ".." in path.replace("\\", "/").split("/"):
-                continue
-            files, total = files + 1, total + size
+        for files, (path, size, read) in enumerate(_media(content), 1):
+            total += size
             if files > most_files or total > most_bytes:
                 return
-            yield path.replace("\\", "/").lstrip("/"), size, read()
-    except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError):
+            yield path, size, read()
+    except DAMAGED:
         return
 
 
@@ -57,21 +74,25 @@ def members_of(name: str, content: bytes, most_files: int = MOST_FILES, most_byt
 class ArchiveMembers:
     """Media members of one archive: used with lateral joins over binary files."""
 
-    def eval(self, path: str, content: bytes):
-        yield from members_of(path or "", bytes(content or b""))
+    def eval(self, content: bytes):
+        yield from members_of(bytes(content or b""))
+
+
+def _lists_media(content: bytes | None) -> bool:
+    try:
+        return next(_media(bytes(content or b"")), None) is not None
+    except DAMAGED:
+        return False
 
 
-@F.udf(T.BooleanType())
-def has_media(path, content):
-    """Whether an archive lists a media member; false for unreadable ones."""
-    return next(members_of(path or "", bytes(content or b"")), None) is not None
+@F.pandas_udf(T.BooleanType())
+def has_media(contents: pd.Series) -> pd.Series:
+    """Whether an archive lists a media member, by its names; false for unreadable ones."""
+    return pd.Series([_lists_media(c) for c in contents], dtype=bool)
 
 
 def expanded(files: DataFrame) -> DataFrame:
     """Members of the archives among binary files (path, content), with a path under archives/."""
-    spark = files.sparkSession
-    spark.udtf.register("archive_members", ArchiveMembers)
-    files.createOrReplaceTempView("archive_files")
-    found = spark.sql("select f.path, m.* from archive_files f, lateral archive_members(f.path, f.content) m")
+    found = files.select("path", "content").withColumnRenamed("content", "whole").lateralJoin(ArchiveMembers(F.col("whole").outer()))
     stem = F.regexp_extract("path", r"([^/]+?)(\.tar)?\.[^./]+$", 1)
     return found.select(F.col("path").alias("archive"), "member", F.concat_ws("/", F.lit("archives"), stem, "member").alias("rel_path"), "size", "content")
