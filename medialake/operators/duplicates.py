@@ -77,10 +77,10 @@ def near_edges(items: DataFrame, column: str = "phash", most: int = DEFAULTS.pha
     return pairs.unionByName(exact_edges(items.filter(F.col(column).isNotNull()), column))
 
 
-def staged(items: DataFrame, vectors: DataFrame, most: int = DEFAULTS.phash_threshold, least: float = DEFAULTS.cosine_threshold, near=None) -> DataFrame:
+def staged(items: DataFrame, vectors: DataFrame, most: int = DEFAULTS.phash_threshold, least: float = DEFAULTS.cosine_threshold, vector_pairs=None) -> DataFrame:
     """Per item with a match the first stage that has one (exact, phash, embedding), and the best similarity there.
 
-    items have id, sha256 and phash; vectors id and embedding, whose pairs are found by near(vectors, least): by
+    items have id, sha256 and phash; vectors id and embedding, whose pairs vector_pairs(vectors, least) finds: by
     projections, if nothing else is given; cosine_pairs is exact, and better where thresholds are low. Items of equal content or hash are one class, so stages
     cost what the classes do; an item's best match is found by an aggregate, never by listing its matches.
     """
@@ -90,7 +90,7 @@ def staged(items: DataFrame, vectors: DataFrame, most: int = DEFAULTS.phash_thre
     nearest = pairs.select(F.col("a").alias("rep"), "distance").union(pairs.select("b", "distance")).groupBy("rep").agg(F.min("distance").alias("distance"))
     best = classes.select("phash", F.col("id").alias("rep"), "n").join(nearest, "rep", "left").withColumn("distance", F.when(F.col("n") > 1, 0).otherwise(F.col("distance"))).filter("distance is not null")
     near = items.join(best.select("phash", "distance"), "phash").select("id", F.lit(2).alias("stage"), (1 - F.col("distance") / 64).alias("similarity"))
-    alike = (near or projected_pairs)(vectors, least)
+    alike = (vector_pairs or projected_pairs)(vectors, least)
     close = alike.select(F.col("a").alias("id"), "similarity").union(alike.select("b", "similarity")).select("id", F.lit(3).alias("stage"), "similarity")
     found = exact.unionByName(near).unionByName(close).groupBy("id").agg(F.min(F.struct("stage", (-F.col("similarity")).alias("minus"))).alias("first"))
     name = F.element_at(F.array(F.lit("exact"), F.lit("phash"), F.lit("embedding")), F.col("first.stage"))
