@@ -102,34 +102,36 @@ def likeness(one: str, other: str) -> Column:
     return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.999), estimate)))
 
 
+def _before(buckets: DataFrame) -> DataFrame:
+    """A table of buckets, one row each, with the bucket before each, around the end: numbers alone, in one task."""
+    ring = W.orderBy("bucket")
+    last = F.last("bucket").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return buckets.withColumn("before", F.coalesce(F.lag("bucket").over(ring), last))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprint of each text and of its edited text, with likeness to that and to the next document.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document
-    in ascending id (after the last comes the first). Texts meet their successors in range buckets of ids; the few
-    rows at bucket ends get theirs from a table with one row per bucket. A text is shuffled once, to its bucket: it has
-    to meet its neighbour's. Ids are of any type that can be ordered, null ones first; rows with equal ids (ties) are
+    in ascending id (after the last comes the first). Texts meet their successors in range buckets of ids; the first
+    document of each bucket is also sent, as a guest, to the bucket before, where the last one needs it. So a text is
+    shuffled once, to its bucket, and no task has texts of many buckets. Ids are of any type that can be ordered, null ones first; rows with equal ids (ties) are
     ordered by their text's hash. Null texts are empty; very long ones are exploded piece by piece; a single row is its
     own next; repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
     cuts = range_buckets(docs.select(docs[id_column].alias("id")), "id", ROWS_PER_BUCKET)
-    rows = rows.withColumn("bucket", bucket_of(F.col("id"), cuts)).withColumn("tie", F.xxhash64("text"))
-    inside = W.partitionBy("bucket").orderBy(F.asc_nulls_first("id"), "tie")
-    placed = rows.withColumns({"place": F.row_number().over(inside), "after": F.lead("text").over(inside)})
-    starts = placed.filter("place = 1").select("bucket", F.struct("text").alias("start"))
-    # one row per bucket: the first text of the bucket that follows, around the end
-    ring = W.orderBy("bucket")
-    following = starts.select(
-        "bucket",
-        F.coalesce(F.lead("start").over(ring), F.first("start").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))["text"].alias("first_after"),
-    )
-    edited = (
-        placed.join(following, "bucket")
-        .withColumn("after", F.coalesce("after", "first_after"))
-        .withColumn("edited", F.concat(F.expr("left(text, int(length(text) - floor(length(text) / 2)))"), F.expr("left(after, int(floor(length(text) / 2)))")))
-        .withColumn("n_chars", F.length("text").cast("long"))
-    )
+    rows = rows.withColumn("bucket", bucket_of(F.col("id"), cuts)).withColumn("tie", F.xxhash64("text")).withColumn("guest", F.lit(False))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("first"))
+    before = _before(first).select(F.col("bucket").alias("own"), F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie"), F.col("before").alias("to"))
+    # one row per bucket, of which there are 65,536 at most
+    guests = rows.join(F.broadcast(before), (F.col("bucket") == F.col("own")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
+    hosted = rows.unionByName(guests.select("id", "text", F.col("to").alias("bucket"), "tie", F.lit(True).alias("guest")))
+    inside = W.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), "tie")
+    placed = hosted.withColumns({"place": F.row_number().over(inside), "after": F.lead("text").over(inside)}).filter("not guest")
+    edited = placed.withColumn(
+        "edited", F.concat(F.expr("left(text, int(length(text) - floor(length(text) / 2)))"), F.expr("left(after, int(floor(length(text) / 2)))"))
+    ).withColumn("n_chars", F.length("text").cast("long"))
     both = edited.select(
         "bucket",
         "id",
@@ -145,20 +147,15 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lanes = stored(sums(both, keys, "body"), "fingerprints")
     mine = lanes.filter("which = 0").drop("which", "sha")
     changed = lanes.filter("which = 1").select("bucket", "place", "sha", *[F.col(c).alias(f"e_{c}") for c in NAMES])
-    ordered = W.partitionBy("bucket").orderBy("place")
     lane_row = F.struct(*NAMES)
-    after = mine.withColumn("next", F.lead(lane_row).over(ordered))
-    starts = mine.filter("place = 1").select("bucket", lane_row.alias("start"))
-    following = starts.select(
-        "bucket",
-        F.coalesce(F.lead("start").over(ring), F.first("start").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("first_after"),
-    )
-    full = (
-        after.join(changed, ["bucket", "place"])
-        .join(F.broadcast(following), "bucket")
-        .withColumn("next", F.coalesce("next", "first_after"))
-        .select("*", *[F.col(f"next.{c}").alias(f"x_{c}") for c in NAMES])
-    )
+    heads = mine.filter("place = 1").select("bucket", lane_row.alias("lanes"))
+    ring = _before(mine.select("bucket").distinct()).withColumnRenamed("bucket", "own")
+    # the lanes of each bucket's first document go to the bucket before, behind its last
+    visiting = heads.join(F.broadcast(ring), F.col("bucket") == F.col("own")).select(F.col("before").alias("bucket"), F.lit(None).cast(mine.schema["place"].dataType).alias("place"), "lanes")
+    ordered = W.partitionBy("bucket").orderBy(F.asc_nulls_last("place"))
+    every = mine.select("bucket", "id", "place", "n_chars", lane_row.alias("lanes")).unionByName(visiting, allowMissingColumns=True)
+    after = every.withColumn("next", F.lead("lanes").over(ordered)).filter("place is not null").select("bucket", "id", "place", "n_chars", "lanes.*", "next")
+    full = after.join(changed, ["bucket", "place"]).select("*", *[F.col(f"next.{c}").alias(f"x_{c}") for c in NAMES])
     return full.select(
         F.col("id").alias(id_column),
         "n_chars",
