@@ -235,3 +235,15 @@ def test_trees_assign_whole_subtrees():
         assert (counts == np.bincount(codes, minlength=16)).all() and all((sums[k] == points[codes == k].sum(axis=0)).all() for k in range(16))
         singly = sum(len(which) for level, which, _ in vector_codes.filtered(tree, entries) if level < 0)
         assert spread > 3 or singly < 300
+
+
+def test_ranks_give_what_the_library_gives():
+    """The fast path for pre-tokens against the library's own model: on the whole vocabulary and on strings of its parts."""
+    from medialake.llm.encoding import SHOWN, encoder
+
+    coder = encoder(vocabulary_path())
+    byte = {ord(c): b for b, c in SHOWN.items()}
+    words = [bytes(s.translate(byte), "latin-1").decode(errors="ignore") for s in coder.tokenizer.get_vocab() if s not in coder.special]
+    r = random.Random(0)
+    words += ["".join(r.choice(words) for _ in range(r.randint(2, 5))) for _ in range(5_000)] + ["x" * 500, "é中😀" * 40]
+    assert coder.ranks and all(coder.tokens(w) == [t.id for t in coder.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))] for w in words if w)
