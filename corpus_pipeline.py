@@ -54,7 +54,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents; all columns of documents go through the filtering stages.
 
     Rows without an id and repeated rows: near copies keep each row without an id, and one of the rows of an id. Null
-    texts stay, as empty ones; an empty table gives no rows; very long texts go through whole.
+    texts stay, as empty ones; an empty table gives no rows; very long texts go through whole. Ties: of a group of near
+    copies the smallest id stays, a score at the threshold is toxic, pieces of equal length are ranked by their place.
+    Columns whose names the operators use themselves pass through the filtering stages as they are; the last stage
+    returns its own columns alone.
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
