@@ -98,13 +98,15 @@ class Index:
         order = np.argsort(terms, kind="stable")
         self.docs = np.repeat(np.arange(len(documents)), sizes)[order]
         self.values = np.concatenate([w for _, w in documents])[order]
-        self.terms, starts = np.unique(terms[order], return_index=True)
-        self.starts = np.append(starts, len(terms))
+        terms = terms[order]
+        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+        self.terms, self.starts = terms[starts], np.append(starts, len(terms))
         self.size = len(documents)
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """BM25 of every document of the shard for distinct query tokens."""
-        at = np.flatnonzero(np.isin(self.terms, query, assume_unique=True))
+        at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
+        at = at[self.terms[at] == query]
         spans = [slice(a, b) for a, b in zip(self.starts[at].tolist(), self.starts[at + 1].tolist())]
         if not spans:
             return np.zeros(self.size)
@@ -166,7 +168,7 @@ def _shard_packer(room: int, weigh, shard_tokens: int, query_terms: int):
             terms, times = np.frombuffer(r.terms, "<u4"), np.frombuffer(r.times, "<u4")
             w = weigh.value.of(terms, times, r.doc_tokens)
             documents.append((terms, w))
-            best = np.argsort(-w, kind="stable")[:query_terms]
+            best = np.argpartition(-w, query_terms - 1)[:query_terms] if len(w) > query_terms else np.arange(len(w))
             queries.append(np.sort(terms[best[w[best] > 0]]))
         out = []
         for window in fill([r.length for r in rows], queries, Index(documents), room):
@@ -228,8 +230,9 @@ def packed(
         for t, n, tokens in zip(terms, times, length):
             t = np.frombuffer(t, "<u4")
             w = weigh.value.of(t, np.frombuffer(n, "<u4"), tokens)
-            best = t[np.argsort(-w, kind="stable")[:2]].tolist()
-            out.append((best[0], best[-1]))
+            best = int(w.argmax())
+            w[best] = -1.0
+            out.append((int(t[best]), int(t[w.argmax()])))
         return pd.DataFrame(out, columns=["first", "second"])
 
     keyed = rest.select("id", "start", "length", "doc_tokens", "ids", "terms", "times", telling("terms", "times", "doc_tokens").alias("key"))
