@@ -71,7 +71,7 @@ def _projected(s, d):
     v = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     moved = F.zip_with("v", F.reverse("v"), lambda x, y: x + y * (F.col("vec_id") % 5) / 10)
     both = v.select((F.col("vec_id") * 2).alias("id"), F.col("v").alias("embedding")).union(v.select((F.col("vec_id") * 2 + 1).alias("id"), moved.alias("embedding")))
-    return D.projected_pairs(both, miss=1e-6).select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return D.projected_pairs(both, miss=1e-6, copies=True).select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
 def _nested(s, d):

@@ -83,3 +83,17 @@ def test_projections_find_what_the_exact_way_finds(spark, monkeypatch, together)
     assert found.keys() <= exact.keys() and len(found) >= 0.99 * len(exact) and all(abs(s - exact[p]) < 1e-9 for p, s in found.items())
     assert {(r.a, r.b) for r in got if r.b >= 9_000} == {(4, 9_000 + i) for i in range(30)}
     assert duplicates.projected_pairs(df.limit(0)).count() == 0 and duplicates.projected_pairs(df.filter("id >= 9100")).count() == 0
+
+
+def test_projected_pairs_of_copies(spark):
+    """With copies, every id of a class has the pairs of its class: what all vectors compared give."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 16))
+    rows = [(10 * i + k, (v + 0.05 * (k // 3) * rng.normal(size=16) if k > 2 else v).tolist()) for i, v in enumerate(base) for k in range(5)]
+    rows += [(1_000 + k, [0.0] * 16) for k in range(2)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    exact = {(r.a, r.b): round(r.similarity, 9) for r in duplicates.cosine_pairs(df, 0.92).collect()}
+    got = duplicates.projected_pairs(df, 0.92, miss=1e-9, copies=True).collect()
+    assert len(got) == len(exact) == 120 and {(r.a, r.b): round(r.similarity, 9) for r in got} == exact
+    alone = duplicates.projected_pairs(df, 0.92, miss=1e-9).collect()
+    assert len(alone) == 60 and {(r.a, r.b) for r in alone} < exact.keys()
