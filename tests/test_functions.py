@@ -44,6 +44,12 @@ def test_capture_dates(spark):
     assert got.c1.source == "path" and got.c2 is None
 
 
+def test_birth_times_near_the_clock_are_not_believed(spark):
+    born = lambda text: D.taken_at(F.create_map(F.lit("DateTime"), F.lit("bad")), F.lit("x.jpg"), F.lit(text).cast("timestamp"), _Now(), _Now())
+    near, after, good = one(spark, born("2024-06-02 00:00:00"), born("2026-06-01 00:00:00"), born("2024-05-20 00:00:00"))
+    assert near is None and after is None and good.source == "birthtime"
+
+
 def test_gates(spark):
     code = lambda p, size, w, h: G.path_code(F.lit(p), F.lit(size), F.lit(w), F.lit(h))
     got = one(spark, code("a/logo.svg", 9, 1, 1), code("a/b.jpg", 0, 9, 9), code("a/favicon_x.jpg", 90_000, 900, 900), code("downloads/ok.jpg", 90_000, 900, 900), code("web/ok.jpg", 90_000, 900, 900), code("a/b.jpg", 90_000, 200, 150), code("a/b.jpg", 90_000, 3000, 2000), code("a/b.jpg", 90_000, 5000, 500), code("a/b.png", 9_000, 900, 900))

@@ -61,3 +61,16 @@ def test_entry_imports_without_session():
 
     assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_capture_times_of_large_ids(spark, tmp_path):
+    """Ids whose birth times lie on the catalogue's clock, or years after it: what the query's SQL says."""
+    ids = [*range(283_700, 283_760), *range(286_640, 286_700), *range(289_500, 289_560), *range(1_120_400, 1_120_460), *range(2_999_900, 2_999_960)]
+    spark.createDataFrame([(i, "some words", "en", "web", 10) for i in ids], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(ids[0], 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    sql = con.execute(registry.oracle_sql()["sf16_taken_at"])
+    names, df = [c[0] for c in sql.description], registry.queries()["sf16_taken_at"](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows(names, sql.fetchall())
