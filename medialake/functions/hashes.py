@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F, types as T
 #: Fixed values of the common hashes: a picture of SIDE x SIDE for the cosine transform, LOW x LOW of whose coefficients
 #: are kept; LOW rows of LOW + 1 pixels for differences; the width of Lanczos's window in source pixels.
 SIDE, LOW, LOBES = 32, 8, 3
+#: Coefficients within this of the median are taken to equal it: far above rounding errors, far below a step of light.
+EQUAL = 1e-6
 #: Words of a text that are hashed together.
 SHINGLE = 3
 
@@ -51,9 +53,12 @@ def hexadecimal(bits: np.ndarray) -> str:
 
 
 def dct_hash(gray: np.ndarray) -> str:
-    """Which low coefficients of the two-dimensional cosine transform are above their median."""
+    """Which low coefficients of the two-dimensional cosine transform are above their median.
+
+    One that equals it is not: rounding errors, which differ from machine to machine, decide no bit.
+    """
     low = cosines() @ resized(gray, SIDE, SIDE) @ cosines().T
-    return hexadecimal(low > np.median(low))
+    return hexadecimal(low - np.median(low) > EQUAL)
 
 
 def difference_hash(gray: np.ndarray) -> str:

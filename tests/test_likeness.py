@@ -97,3 +97,12 @@ def test_projected_pairs_of_copies(spark):
     assert len(got) == len(exact) == 120 and {(r.a, r.b): round(r.similarity, 9) for r in got} == exact
     alone = duplicates.projected_pairs(df, 0.92, miss=1e-9).collect()
     assert len(alone) == 60 and {(r.a, r.b) for r in alone} < exact.keys()
+
+
+def test_coefficients_that_equal_the_median_are_not_above_it():
+    """Symmetric pictures have symmetric coefficients, so their hashes are symmetric; a flat one has its mean light alone."""
+    for seed in range(300):
+        p = np.random.default_rng(seed).integers(0, 40, (32, 32))
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(hashes.dct_hash((p + p.T).astype(float))), np.uint8)).reshape(8, 8)
+        assert (bits == bits.T).all(), seed
+    assert hashes.dct_hash(np.full((32, 32), 77.0)) == "8" + "0" * 15
