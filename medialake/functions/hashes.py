@@ -16,6 +16,8 @@ SIDE, LOW, LOBES = 32, 8, 3
 EQUAL = 1e-6
 #: Words of a text that are hashed together.
 SHINGLE = 3
+#: Runs whose bits are counted at once.
+COUNTED = 16_384
 
 
 def _window(x: np.ndarray) -> np.ndarray:
@@ -87,23 +89,21 @@ def picture_hashes(pixels: Column, width: Column) -> Column:
     return _picture_hashes(pixels, width)
 
 
-def simhash_of(text: str | None, known: dict[bytes, np.ndarray]) -> str | None:
+def simhash_of(text: str | None) -> str | None:
     words = (text or "").split()
     if not words:
         return None
-    shingles = [" ".join(words[i : i + SHINGLE]).encode() for i in range(max(1, len(words) - SHINGLE + 1))]
-    for s in shingles:
-        if s not in known:
-            known[s] = np.unpackbits(np.frombuffer(hashlib.md5(s).digest()[:8], np.uint8))
-    return hexadecimal(2 * np.sum([known[s] for s in shingles], axis=0, dtype=np.int64) > len(shingles))
+    runs = max(1, len(words) - SHINGLE + 1)
+    up = np.zeros(64, np.int64)
+    for at in range(0, runs, COUNTED):
+        digests = b"".join(hashlib.md5(" ".join(words[i : i + SHINGLE]).encode()).digest()[:8] for i in range(at, min(at + COUNTED, runs)))
+        up += np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return hexadecimal(2 * up > runs)
 
 
 @F.pandas_udf(T.StringType())
 def _simhash(texts: pd.Series) -> pd.Series:
-    out = []
-    for text in texts:
-        out.append(simhash_of(text, {}))
-    return pd.Series(out, dtype=object)
+    return pd.Series([simhash_of(t) for t in texts], dtype=object)
 
 
 def simhash(text: Column) -> Column:

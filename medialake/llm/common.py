@@ -7,15 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-
-#: Rows and bytes that Python workers get at once: documents may be long, and a batch is held several times over.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lets the session hand rows to Python in small batches: a setting that the queries and the pipeline make."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+from ..batches import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -106,3 +106,21 @@ def test_coefficients_that_equal_the_median_are_not_above_it():
         bits = np.unpackbits(np.frombuffer(bytes.fromhex(hashes.dct_hash((p + p.T).astype(float))), np.uint8)).reshape(8, 8)
         assert (bits == bits.T).all(), seed
     assert hashes.dct_hash(np.full((32, 32), 77.0)) == "8" + "0" * 15
+
+
+def test_simhash_counts_long_texts_in_blocks(monkeypatch):
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 4, 9, 10, 11, 300)]
+    whole = [hashes.simhash_of(t) for t in texts]
+    monkeypatch.setattr(hashes, "COUNTED", 4)
+    assert [hashes.simhash_of(t) for t in texts] == whole
+
+
+def test_queries_hand_few_rows_to_python(spark):
+    from medialake.plans import registry
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for name in ("sf23_simhash", "sf28_hash_embedding", "sc8_opened_archives"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
