@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import udtf
 
+from ..batches import BATCH_BYTES, BATCH_ROWS
 from ..functions.names import IMAGES, VIDEOS, media_type, suffix
 from ..operators.ordered import numbered
 
@@ -91,8 +92,24 @@ def has_media(contents: pd.Series) -> pd.Series:
     return pd.Series([_lists_media(c) for c in contents], dtype=bool)
 
 
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (archive, member, size, content) of the archives (path, content), in batches of bounded bytes."""
+    names = ["archive", "member", "size", "content"]
+    for rows in batches:
+        held, many = [], 0
+        for path, content in zip(rows["path"], rows["content"]):
+            for member, size, body in members_of(bytes(content or b"")):
+                held.append((path, member, size, body))
+                many += len(body)
+                if len(held) >= BATCH_ROWS or many >= BATCH_BYTES:
+                    yield pd.DataFrame(held, columns=names)
+                    held, many = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
+
+
 def expanded(files: DataFrame) -> DataFrame:
     """Members of the archives among binary files (path, content), with a path under archives/."""
-    found = files.select("path", "content").withColumnRenamed("content", "whole").lateralJoin(ArchiveMembers(F.col("whole").outer()))
-    stem = F.regexp_extract("path", r"([^/]+?)(\.tar)?\.[^./]+$", 1)
-    return found.select(F.col("path").alias("archive"), "member", F.concat_ws("/", F.lit("archives"), stem, "member").alias("rel_path"), "size", "content")
+    found = files.select("path", "content").mapInPandas(_members, "archive string, member string, size long, content binary")
+    stem = F.regexp_extract("archive", r"([^/]+?)(\.tar)?\.[^./]+$", 1)
+    return found.select("archive", "member", F.concat_ws("/", F.lit("archives"), stem, "member").alias("rel_path"), "size", "content")

@@ -69,3 +69,20 @@ def test_damaged_archives_give_what_they_have(spark):
     assert got[:3] == [f"archives/x/a/{k}.jpg" for k in range(3)] and "archives/y/b/1.png" in got and "archives/z/a/0.jpg" in got and len(got) <= 7
     assert {r.path: r.has for r in df.select("path", archives.has_media("content").alias("has")).collect()} == {"x.zip": True, "y.tar.gz": True, "z.zip": True, "e.zip": False, "n.zip": False, "t.tar": False}
     assert "archive_files" not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_members_leave_in_bounded_batches(monkeypatch):
+    """However many members archives have, few bytes are held before they go on."""
+    import pandas as pd
+
+    packs = []
+    for k in range(3):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i in range(10):
+                z.writestr(f"{k}-{i}.jpg", bytes(100))
+        packs.append(out.getvalue())
+    monkeypatch.setattr(archives, "BATCH_BYTES", 350)
+    got = list(archives._members(iter([pd.DataFrame({"path": ["/a.zip", "/b.zip", "/c.zip", "/none.zip"], "content": [*packs, None]})])))
+    assert sum(map(len, got)) == 30 and max(map(len, got)) <= 4
+    assert set(pd.concat(got)["archive"]) == {"/a.zip", "/b.zip", "/c.zip"}
