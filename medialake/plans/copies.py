@@ -95,7 +95,7 @@ def _by_arrival(s, d):
 
 def _staged(s, d):
     v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return D.staged(revised(s, d), v, least=0.35, vector_pairs=D.cosine_pairs).select("id", "stage", F.round("similarity", 5).alias("similarity"))
+    return D.staged(revised(s, d), v, least=0.35, vector_best=D.nearest_cosines).select("id", "stage", F.round("similarity", 5).alias("similarity"))
 
 
 LETTERS = 32
