@@ -16,6 +16,8 @@ PLAIN = r"\t\n\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я‐-‧‰-›€"
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я", "0-9²³¹¼-¾"
 #: Fixed value of the vocabulary's file format: its split pattern, with its classes as they are among PLAIN.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
+#: The same where white space never stands beside white space: nothing looks ahead, so that automata can split whole texts.
+SPLIT_SINGLE = rf" ?[{LETTERS}]+| ?[{DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{LETTERS}{DIGITS}]+|\s"
 #: Pre-tokens in each of the two generations of a worker's cache: about 80 MB together.
 CACHED = 200_000
 #: Longer pre-tokens aren't cached, so that the bound holds in bytes too.
@@ -54,7 +56,8 @@ class Known(dict):
 def by_rank(path: str, special: list[str]):
     """The vocabulary as byte ranks, where its merges come in the order of their ids; otherwise None.
 
-    Merging by the least id is then the file's own merging, and tiktoken does it several times as fast.
+    Merging by the least id is then the file's own merging, and tiktoken does it several times as fast. Returns an
+    encoding of single pre-tokens and one of texts that SPLIT_SINGLE splits.
     """
     model = json.loads(Path(path).read_text())["model"]
     if model.get("type", "BPE") != "BPE" or not all(c in model["vocab"] for c in SHOWN.values()):
@@ -66,13 +69,14 @@ def by_rank(path: str, special: list[str]):
     ranks = {bytes(s.translate(byte), "latin-1"): i for s, i in model["vocab"].items() if s not in special}
     import tiktoken
 
-    return tiktoken.Encoding("pre-tokens", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return tuple(tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("pre-tokens", r"[\s\S]+"), ("texts", SPLIT_SINGLE)))
 
 
 class Encoder:
     """Encodes texts as the tokenizers library does with one vocabulary file, without added special tokens.
 
-    Each pre-token is encoded once and kept; texts with special strings or rare characters go to the library whole.
+    Texts without runs of white space go to tiktoken whole, where it has the vocabulary. In others each pre-token is
+    encoded once and kept. Texts with special strings or rare characters go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -82,7 +86,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.split, self.odd = re.compile(SPLIT).findall, re.compile(f"[^{PLAIN}]").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranks = by_rank(path, self.special)
+        self.runs = re.compile(r"\s\s").search
+        self.ranks, self.texts = by_rank(path, self.special) or (None, None)
         self.known = Known(lambda piece: array("I", self.tokens(piece)).tobytes())
 
     def whole(self, text: str) -> bytes:
@@ -102,6 +107,8 @@ class Encoder:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if not self.plainly(text):
             return self.whole(text)
+        if self.texts and self.runs(text) is None:
+            return array("I", self.texts.encode_ordinary(text)).tobytes()
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
 

@@ -247,3 +247,18 @@ def test_ranks_give_what_the_library_gives():
     r = random.Random(0)
     words += ["".join(r.choice(words) for _ in range(r.randint(2, 5))) for _ in range(5_000)] + ["x" * 500, "é中😀" * 40]
     assert coder.ranks and all(coder.tokens(w) == [t.id for t in coder.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))] for w in words if w)
+
+
+def test_texts_without_runs_of_white_space_are_encoded_whole():
+    """Against the library: all plain characters, contractions and mixtures; such texts leave nothing in the cache of pre-tokens."""
+    from medialake.llm.encoding import PLAIN, Encoder
+
+    coder = Encoder(vocabulary_path())
+    plain = [chr(c) for c in range(0x2100) if re.match(f"[{PLAIN}]", chr(c))]
+    parts = [*plain, *plain, "'s", "'re", "don't", "''ll", " '", "Привет", "12", "½", "über", "the", " ", "\n", "\t", "\xa0"] + [" "] * 200
+    r = random.Random(1)
+    texts = ["".join(f"{a}{b}" for b in parts) for a in ("a", "7", "-")] + ["".join(r.choice(parts) for _ in range(n)) for n in range(400)]
+    single = [re.sub(r"(\s)\s+", r"\1", t) for t in texts]
+    library = lambda t: np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(coder.ids(t) == library(t) for t in single) and not coder.known and not coder.known.older
+    assert all(coder.ids(t) == library(t) for t in texts) and coder.known
