@@ -18,13 +18,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label"))
+    none = F.lit(None).cast(edges.schema["a"].dataType).alias("old")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooks = step.filter("label < old").groupBy(F.col("old").alias("id")).agg(F.min("label").alias("hook"))
-        hooked = step.join(hooks, "id", "left").select("id", "old", F.least("label", "hook").alias("label"))  # least() skips nulls
+        # a vertex's own row says its old label; unions and one aggregate each, where joins would make the plan twice as large
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), none, "label")
+        step = _least(labels.select("id", F.col("label").alias("old"), "label").union(near))
+        hooked = _least(step.union(step.filter("label < old").select(F.col("old").alias("id"), none, "label")))
         onward = hooked.select(F.col("id").alias("label"), F.col("label").alias("further"))
         moved = cut(hooked.join(onward, "label").select("id", "old", F.least("label", "further").alias("label")))
         labels = moved.select("id", "label")
         if moved.filter("label != old").isEmpty():
             return labels
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """Each vertex once, with its old label and the smallest of its labels."""
+    return rows.groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("label"))

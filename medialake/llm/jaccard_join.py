@@ -21,8 +21,8 @@ RARE_MOST = 32
 PAIRS_OF = 12
 #: Share of a set, in percent, by which prefixes of rare shingles are extended: what they have in common bounds the rest.
 EXTENDED = 10
-#: Bits of the broadcast tables of repeated and of frequent shingles: 8 MB each, whatever the input.
-SLOT_BITS = 26
+#: Most and least bits of the slots of a broadcast bit table (8 MB and 8 kB), and the slots that it has for each word of the input up to there.
+SLOT_BITS, LEAST_BITS, SLOTS_A_WORD = 26, 16, 16
 #: Shingles counted in one group.
 COUNTED_TOGETHER = 4_000_000
 #: Bits of a set's sketch: a set bit says that an odd number of its shingles fell there.
@@ -122,6 +122,11 @@ def prefix_length(n: int, k: int) -> int:
     return n - -(-PERCENT * n // 100) + k
 
 
+def slot_bits(total: int) -> int:
+    """Bits of a table's slots for an input of so many words: small inputs have small tables, in the driver too."""
+    return min(SLOT_BITS, max(LEAST_BITS, (SLOTS_A_WORD * total).bit_length()))
+
+
 def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Index keys of a set, their kinds, how many of its shingles are frequent, and how many follow its prefix.
 
@@ -134,7 +139,7 @@ def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> t
     n = len(tokens)
     if n < 100 // (100 - PERCENT) - 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), 0, -1  # nothing but an equal set is near enough
-    slots = tokens >> np.uint64(64 - SLOT_BITS)
+    slots = tokens >> np.uint64(65 - (8 * len(repeated)).bit_length())
     byte, bit = (slots >> np.uint64(3)).astype(np.int64), (slots & np.uint64(7)).astype(np.uint8)
     common = (frequent[byte] >> bit) & 1 == 1
     rare, often = tokens[~common], tokens[common]
@@ -159,13 +164,14 @@ def keys_of(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> t
 
 
 def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables of repeated and of frequent shingles, by the first SLOT_BITS bits of their hashes.
+    """Bit tables of repeated and of frequent shingles, by the first slot_bits(total) bits of their hashes.
 
     All shingles of all documents are counted: tasks send them sorted, 32 bits each, to the group of their first bits;
     there are as many groups as the input needs. A slot is set if any of its shingles is repeated (frequent), so at
     sizes where slots are shared the tables only say "repeated" too often, which costs work and loses nothing.
     """
-    shard_bits = min(SLOT_BITS - 3, max(2, (total // COUNTED_TOGETHER).bit_length()))
+    bits_of_slots = slot_bits(total)
+    shard_bits = min(bits_of_slots - 3, max(2, (total // COUNTED_TOGETHER).bit_length()))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (p for batch in batches for p in chunks(batch, 8 << 20)):
@@ -181,7 +187,7 @@ def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 rows.append((r[t == 1].tobytes(), r[t > 1].tobytes(), t[t > 1].tobytes()))
             yield pd.DataFrame(rows, columns=["once", "more", "times"]).assign(shard=shard[np.concatenate(([0], edges))])
 
-    slots = 1 << (SLOT_BITS - shard_bits)
+    slots = 1 << (bits_of_slots - shard_bits)
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         once = np.frombuffer(b"".join(group["once"]), np.uint32)
@@ -191,7 +197,7 @@ def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(every, kind="stable")
         every, times = every[order], times[order]
         starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        sums, slot = np.add.reduceat(times, starts), every[starts] >> np.uint32(32 - SLOT_BITS + shard_bits)
+        sums, slot = np.add.reduceat(times, starts), every[starts] >> np.uint32(32 - bits_of_slots + shard_bits)
         bits = []
         for least in (2, RARE_MOST + 1):
             table = np.zeros(slots, np.uint8)
@@ -200,8 +206,8 @@ def _tables(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         return pd.DataFrame({"shard": [key[0]], "repeated": [bits[0]], "frequent": [bits[1]]})
 
     sent = docs.mapInPandas(send, "once binary, more binary, times binary, shard long")
-    repeated, frequent = (np.zeros(1 << (SLOT_BITS - 3), np.uint8) for _ in range(2))
-    # 16 MB in all, whatever the input
+    repeated, frequent = (np.zeros(1 << (bits_of_slots - 3), np.uint8) for _ in range(2))
+    # 16 MB in all at most
     for row in sent.groupBy("shard").applyInPandas(count, "shard long, repeated binary, frequent binary").toLocalIterator():
         at = slice(row.shard * slots // 8, (row.shard + 1) * slots // 8)
         repeated[at], frequent[at] = np.frombuffer(row.repeated, np.uint8), np.frombuffer(row.frequent, np.uint8)
@@ -252,13 +258,12 @@ def _may_link(one: str, other: str) -> Column:
     return sizes & ((c(one, "kind") == RARE) | (bound & ~strict))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """Shingle sets of the wanted ids, made where the texts lie, without a shuffle.
 
-    A bit table of the wanted ids' hashes, 8 MB whatever the input, keeps other rows from being worked on; few others
-    of equal hash bits get in, and do no harm.
+    A table of 2^bits bits for the wanted ids' hashes keeps other rows from being worked on; few others of equal hash
+    bits get in, and do no harm.
     """
-    bits = 26
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
     words = wanted.withColumn("place", slot.bitwiseAND(F.lit(63)).cast("int")).select(F.shiftrightunsigned(slot, 6).alias("word"), F.col("place")).withColumn("bit", F.expr("shiftleft(1L, place)"))
     table = np.zeros(1 << (bits - 6), np.int64)
@@ -323,10 +328,11 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
     length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    index = _indexed(rows, _tables(rows, length // 6))  # about six bytes a word
+    words = length // 6  # about six bytes a word
+    index = _indexed(rows, _tables(rows, words))
     members = index.filter("key is null").select("id", "n", "c1", "c2")
     classes = stored(members.filter("id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "class-reps")
-    found = _components_of_classes(rows, classes, index.filter("key is not null"))
+    found = _components_of_classes(rows, classes, index.filter("key is not null"), slot_bits(words))
     by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("component"))
     return members.join(by_class, ["c1", "c2"], "left").select(
         F.col("id").alias(id_column),
@@ -335,8 +341,8 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
 
 
-def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
-    """Labels (id, label) of the classes, by their smallest ids, that link with others."""
+def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFrame, bits: int) -> DataFrame:
+    """Labels (id, label) of the classes, by their smallest ids, that link with others; bits: of the tables of ids."""
     first = [F.first(c).alias(c) for c in ("n", "kind", "often", "rest")]
     # a rare key has RARE_MOST documents at most: one shuffle deals it, and a window counts its classes
     rare = postings.filter(F.col("kind") == RARE).repartition("key").groupBy("key", "c1", "c2").agg(*first)
@@ -370,7 +376,7 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
         if best.isEmpty():
             break
         if sets is None:
-            sets = _sets(rows, pool)
+            sets = _sets(rows, pool, bits)
         new = _verified(best, sets, each=2)
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
@@ -387,7 +393,7 @@ def _components_of_classes(rows: DataFrame, classes: DataFrame, postings: DataFr
         .select("a", "b")
     )
     rest = stored(rest, "candidates")
-    last = _sets(rows, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
+    last = _sets(rows, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct(), bits)
     new = _verified(rest, last)
     return components(new if edges is None else edges.union(new))
 

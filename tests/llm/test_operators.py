@@ -279,6 +279,18 @@ def test_prefix_bounds():
     assert apart <= 50
 
 
+def test_tables_follow_the_input(spark):
+    """Bit tables that the driver gathers and sends out: small for a small input, of bounded size for any, and right at both."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(10 * (i % 3), 10 * (i % 3) + 30))) for i in range(40)], "id long, text string")
+    found = {}
+    for words in (1_200, 10**12):
+        repeated, frequent = jaccard_join._tables(docs, words)
+        assert len(repeated) == len(frequent) == (1 << jaccard_join.slot_bits(words) - 3) <= 8 << 20
+        found[words] = [(n, len(k)) for _, k, n, _ in (jaccard_join.keys_of(jaccard_join.shingles(r.text), repeated, frequent) for r in docs.collect())]
+        assert np.unpackbits(repeated).sum() == 46  # shingles of words 0 to 49
+    assert len(jaccard_join._tables(docs, 1_200)[0]) <= 1 << 13 and found[1_200] == found[10**12]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(70, 60), (60, 60)], "a long, b long")
     assert {r.id: r.label for r in components.components(edges).collect()} == {i: 0 for i in range(31)} | {60: 60, 70: 60}
