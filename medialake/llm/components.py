@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label"))
     none = F.lit(None).cast(edges.schema["a"].dataType).alias("old")
     while True:
-        # a vertex's own row says its old label; unions and one aggregate each, where joins would make the plan twice as large
+        # a vertex's own row says its old label; unions and one aggregate each, in place of joins
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), none, "label")
         step = _least(labels.select("id", F.col("label").alias("old"), "label").union(near))
         hooked = _least(step.union(step.filter("label < old").select(F.col("old").alias("id"), none, "label")))
