@@ -33,3 +33,21 @@ def test_merged_and_repeated_documents(spark, monkeypatch, tmp_path, sent):
     for query in ("w1", "old", "w1 w2"):
         rows = lambda found: [(r.id, round(r.score, 9)) for r in found.collect()]
         assert rows(kept.search(query)) == rows(S.search(frame(list(live.items())), query, "id", ["t"]))
+
+
+def test_segments_whose_joins_change_their_plan(spark, tmp_path):
+    """A large and a small segment are read by one scan: as a union, one part's join is replanned and the search fails or counts hidden rows."""
+    frame = lambda ids, text: spark.createDataFrame([(i, text) for i in ids], "id long, t string")
+    kept = S.KeptIndex(spark, f"file://{tmp_path}/index", ["t"], buckets=3)
+    kept.upsert(frame(range(20_000), "w1 old"), "id")
+    kept.upsert(frame(range(0, 20_000, 1_000), "w1 w1 new"), "id")
+    asked = S._asked("w1", ["t"], False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in ("1k", "4k", "16k", "64k"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            assert "Union" not in kept.hits(asked, kept._commits())._jdf.queryExecution().executedPlan().toString()
+            got = {r.id: round(r.score, 9) for r in kept.search("w1", limit=30_000).collect()}
+            assert got.keys() == set(range(20_000)) and len(set(got.values())) == 2, most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
